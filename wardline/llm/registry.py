@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, sharding
+from . import fingerprint, mixing, pieces, pii, quality, sharding, substring
 
 
 def queries():
     return {
+        "op1_pieces_suffix_array": pieces.op1_pieces_suffix_array,
         "op2_multiset_fingerprint": fingerprint.op2_multiset_fingerprint,
+        "op3_pii_skip_chain": pii.op3_pii_skip_chain,
         "op4_shard_label_propagation": sharding.op4_shard_label_propagation,
+        "op5_quality_subword": quality.op5_quality_subword,
         "op7_mix_sainte_lague": mixing.op7_mix_sainte_lague,
+        "op8_substring_suffix_array": substring.op8_substring_suffix_array,
     }
 
 
