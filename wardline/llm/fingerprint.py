@@ -1,7 +1,7 @@
 """Operator 2: homomorphic multiset fingerprints of documents (native).
 
 A text is cut into paragraphs (lines, sentences, and runs of at most 160 characters). Each paragraph hashes to a wide
-vector; a document's vector is the sum over its paragraphs: 8 lanes of SHA-256 bits modulo 2^32, and 128 lanes of
+vector; a document's vector is the sum over its paragraphs: 8 lanes of SHA-256 bits modulo 2^32, and 120 lanes of
 plus or minus one (MD5 bits) modulo 2^16. Sums do not depend on the order, and paragraphs can be added or taken away
 without reading the rest. Equal multisets have equal vectors; the inner product of the signed lanes estimates how many
 paragraphs two documents share, so likeness is 2<a,b> / (|a|^2 + |b|^2), held within 0 and 1.
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-EXACT, SIGNED = 8, 128
+EXACT, SIGNED = 8, 120
+HALF = 30
 PIECE = r"[^.!?\n]{1,160}[.!?]*|[.!?]+|\n"
 RANGE_ROWS = 64
 MOST_RANGES = 16384
@@ -33,17 +34,39 @@ def _word(h: Column, at: int) -> Column:
     return F.conv(F.substring(h, 8 * at + 1, 8), 16, 10).cast("long")
 
 
-def lane_sums(piece: Column) -> list[Column]:
-    """Aggregates that add up the vectors of the paragraphs of a group, before the modulus."""
-    strong, weak = F.sha2(piece, 256), F.md5(piece.cast("binary"))
-    exact = [F.sum(_word(strong, i)).alias(f"e{i}") for i in range(EXACT)]
-    blank = piece == "\n"
-    signs = [_word(weak, i) for i in range(4)]
-    signed = [
-        F.sum(F.when(blank, 0).otherwise(F.shiftright(signs[i // 32], i % 32).bitwiseAND(F.lit(1)) * 2 - 1)).alias(f"s{i}")
-        for i in range(SIGNED)
+def with_words(rows: DataFrame) -> DataFrame:
+    """Rows of paragraphs (piece) with the words of their vectors: e0 to e7 of 32 bits, s0 and s1 of 60 bits, one.
+
+    Hashes come first in a projection of their own, so that each is computed once. Line ends do not count for likeness.
+    """
+    rows = rows.withColumn("strong", F.sha2("piece", 256)).withColumn("weak", F.md5(F.col("piece").cast("binary")))
+    counts = F.col("piece") != "\n"
+    return rows.select(
+        *[c for c in rows.columns if c not in ("piece", "strong", "weak")],
+        *[_word(F.col("strong"), i).alias(f"e{i}") for i in range(EXACT)],
+        *[F.when(counts, F.conv(F.substring("weak", 15 * i + 1, 15), 16, 10).cast("long")).otherwise(0).alias(f"s{i}") for i in range(2)],
+        counts.cast("long").alias("one"),
+    )
+
+
+def lane_sums() -> list[Column]:
+    """Aggregates over with_words: sums of exact lanes, counts of set bits (two lanes a sum, 30 bits each), and of ones."""
+    two = F.lit((1 << HALF) + 1)
+    return [
+        *[F.sum(f"e{i}").alias(f"e{i}") for i in range(EXACT)],
+        *[F.sum(F.shiftright(f"s{i}", j).bitwiseAND(two)).alias(f"s{i}_{j}") for i in range(2) for j in range(HALF)],
+        F.sum("one").alias("one"),
     ]
-    return exact + signed
+
+
+def lanes() -> tuple[Column, Column]:
+    """Exact and signed lanes after the modulus, from lane_sums. Signed ones are centred on zero."""
+    exact = F.array(*[F.pmod(F.col(f"e{i}"), F.lit(1 << 32)) for i in range(EXACT)])
+    low = lambda i, j: F.col(f"s{i}_{j}").bitwiseAND(F.lit((1 << HALF) - 1))
+    high = lambda i, j: F.shiftright(f"s{i}_{j}", HALF)
+    counts = F.array(*[f(i, j) for i in range(2) for f in (low, high) for j in range(HALF)])
+    signed = F.transform(counts, lambda c: (F.pmod(2 * c - F.col("one") + 32768, F.lit(65536)) - 32768).cast("int"))
+    return exact, signed
 
 
 def _hex(x: Column, digits: int) -> Column:
@@ -114,15 +137,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     digest = [F.conv(F.substring("sha", 15 * i + 1, 15), 16, 10).cast("long").alias(f"h{i}") for i in range(5)]
     versions = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.when(F.col("halo"), F.lit("")).otherwise(F.col("edited")).alias("t")))
     rows = d.select("at", "rn", "doc_id", "halo", "n_chars", *digest, F.explode(versions).alias("x"))
-    rows = rows.select("at", "rn", "doc_id", "halo", "n_chars", *[f"h{i}" for i in range(5)], "x.v", F.explode(paragraphs(F.col("x.t"))).alias("piece"))
+    rows = with_words(rows.select("at", "rn", "doc_id", "halo", "n_chars", *[f"h{i}" for i in range(5)], "x.v", F.explode(paragraphs(F.col("x.t"))).alias("piece")))
     carried = [F.max(c).alias(c) for c in ("doc_id", "halo", "n_chars", *[f"h{i}" for i in range(5)])]
-    sums = rows.groupBy("at", "rn", "v").agg(*carried, *lane_sums(F.col("piece")))
-    centred = lambda c: F.pmod(F.col(c) + 32768, F.lit(65536)) - 32768
-    sums = sums.select(
-        "at", "rn", "v", "doc_id", "halo", "n_chars", *[f"h{i}" for i in range(5)],
-        F.array(*[F.pmod(F.col(f"e{i}"), F.lit(1 << 32)) for i in range(EXACT)]).alias("exact"),
-        F.array(*[centred(f"s{i}").cast("int") for i in range(SIGNED)]).alias("signed"),
-    )
+    sums = rows.groupBy("at", "rn", "v").agg(*carried, *lane_sums())
+    exact, signed = lanes()
+    sums = sums.select("at", "rn", "v", "doc_id", "halo", "n_chars", *[f"h{i}" for i in range(5)], exact.alias("exact"), signed.alias("signed"))
     sums = sums.withColumn("norm", _dot(F.col("signed"), F.col("signed")))
     sums = sums.withColumn("print", fingerprint_text(F.col("exact"), F.col("signed")))
     order = Window.partitionBy("at").orderBy("rn", "v")
@@ -144,7 +163,8 @@ def op2_multiset_fingerprint(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     word = lambda h, i: f"CAST('0x' || substr({h}, {8 * i + 1}, 8) AS BIGINT)"
     exact = ", ".join(f"CAST(sum({word('strong', i)}) % 4294967296 AS BIGINT)" for i in range(EXACT))
-    signed = ", ".join(f"CAST(sum(CASE WHEN piece = chr(10) THEN 0 ELSE (({word('weak', i // 32)} >> {i % 32}) & 1) * 2 - 1 END) AS BIGINT)" for i in range(SIGNED))
+    bit = lambda j: f"(CAST('0x' || substr(weak, {15 * (j // 60) + 1}, 15) AS BIGINT) >> {j % 60}) & 1"
+    signed = ", ".join(f"CAST(sum(CASE WHEN piece = chr(10) THEN 0 ELSE ({bit(j)}) * 2 - 1 END) AS BIGINT)" for j in range(SIGNED))
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, row_number() OVER w AS rn,
