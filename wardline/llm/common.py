@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +29,54 @@ def cut(df: DataFrame) -> DataFrame:
     """Lineage cut through the shared checkpoint folder; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def attach_by_key(df: DataFrame, keys: list[str], salt_by: list[str], partial: dict, final: dict, salts: int = 32) -> DataFrame:
+    """df joined with aggregates over all rows of the same keys, without ever bringing a key's rows together.
+
+    Rows are dealt by (keys, salt); partial aggregates (name: column) are per salt and final ones (name: column over the
+    partial names) per key, over at most `salts` rows; the result goes back to each (keys, salt). Keys are never null.
+    The partial step reads df once and the join once more: cut df first if it is costly.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    cells = salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
+    groups = cells.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()], F.collect_list("_salt").alias("_salts"))
+    back = groups.withColumn("_salt", F.explode("_salts")).drop("_salts")
+    return salted.join(back, [*keys, "_salt"]).drop("_salt")
+
+
+def components(edges: DataFrame, salts: int = 32, most_rounds: int = 60) -> DataFrame:
+    """Connected components of edges (a, b: bigint): node, root (the smallest node that can be reached).
+
+    Alternates two kinds of round: nodes point their larger neighbours, then their smaller ones, at the smallest node they
+    know, until nothing changes (a logarithmic number of rounds for paths). A hub's edges are only handled as (hub, salt).
+    Each round is cut through the checkpoint folder; only counts reach the driver.
+    """
+    least = {"low": F.min("b")}, {"low": F.min("low")}
+
+    def round_of(e: DataFrame, large: bool) -> DataFrame:
+        if large:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            seen = attach_by_key(both, ["a"], ["b"], *least, salts).withColumn("low", F.least("a", "low"))
+            out = seen.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        else:
+            down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            seen = attach_by_key(down, ["a"], ["b"], *least, salts)
+            out = seen.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(seen.select("a", F.col("low").alias("b")))
+        return out.where("a <> b").distinct()
+
+    def state(e: DataFrame):
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b") % 1000003)).first())
+
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).distinct())
+    before = state(e)
+    for _ in range(most_rounds):
+        if not before[0]:
+            break
+        e = cut(round_of(cut(round_of(e, True)), False))
+        now = state(e)
+        if now == before:
+            break
+        before = now
+    stars = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return stars.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

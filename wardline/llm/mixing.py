@@ -72,12 +72,12 @@ def source_quotas(sources: DataFrame, n_shards: int = 1, block_words: int = BLOC
     return s.select("source", "ord", "source_size", "target", "shard", "seats", (F.col("seats") - before).alias("quota"))
 
 
-def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = 3, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = 3, seed: str = SEED, keep: tuple[str, ...] = (), keep_source: bool = False) -> DataFrame:
     """docs and what the mix takes of each: doc_id, size, source_size, target, taken, passes, part_from, part_to.
 
     A document is taken `passes` times in full and once more its words [part_from, part_to) and, where the run wraps
     around within it, [0, part_wrap). Null texts have no words; a null source is a source of its own, the last.
-    Repeated rows are documents of their own. keep: further columns that the result carries along.
+    Repeated rows are documents of their own. keep: further columns that the result carries along, keep_source: and source.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
@@ -105,7 +105,7 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = 3,
     d = d.withColumn("part_from", inside(F.col("run_from"))).withColumn("part_to", inside(F.col("run_to")))
     d = d.withColumn("part_wrap", F.when(some, inside(F.col("run_to") - F.col("source_size"))).otherwise(0).cast("long"))
     taken = F.col("passes") * F.col("size") + F.col("part_to") - F.col("part_from") + F.col("part_wrap")
-    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "part_from", "part_to", "part_wrap", *keep)
+    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "part_from", "part_to", "part_wrap", *keep, *(["source"] if keep_source else []))
 
 
 def op7_mix_sainte_lague(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, pieces, pii, quality, sharding, substring
+from . import fingerprint, jaccard, mixing, pieces, pii, quality, sharding, substring, vectors, warc
 
 
 def queries():
@@ -12,10 +12,17 @@ def queries():
         "op3_pii_skip_chain": pii.op3_pii_skip_chain,
         "op4_shard_label_propagation": sharding.op4_shard_label_propagation,
         "op5_quality_subword": quality.op5_quality_subword,
+        "op6_vectors_grid_order": vectors.op6_vectors_grid_order,
         "op7_mix_sainte_lague": mixing.op7_mix_sainte_lague,
         "op8_substring_suffix_array": substring.op8_substring_suffix_array,
+        "op9_jaccard_bayes": jaccard.op9_jaccard_bayes,
+        "op10_warc_boundary_chain": warc.op10_warc_boundary_chain,
     }
 
 
 def oracle_sql():
-    return {"op2_multiset_fingerprint": fingerprint.OP2_SQL, "op7_mix_sainte_lague": mixing.OP7_SQL}
+    return {
+        "op2_multiset_fingerprint": fingerprint.OP2_SQL,
+        "op7_mix_sainte_lague": mixing.OP7_SQL,
+        "op10_warc_boundary_chain": warc.OP10_SQL,
+    }
