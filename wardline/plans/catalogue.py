@@ -1,11 +1,417 @@
-"""The engine's queries over the driver's tables, and the same in DuckDB's SQL."""
+"""The engine's queries over the driver's tables, and the same in DuckDB's SQL.
+
+Every query runs over its whole table and whole texts. Queries whose kernel has no SQL (markup with positions, fixpoints,
+keyed state) have none; tests hold them against golden cases.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions.charmap import CharMap
+from ..functions.markup import parse, styled_runs, visible
+from ..functions.matching import GapLimits, normalize_whole
+from ..functions.units import from_units, to_units
+from ..operators import alerts, detect, parts, route, track
+from ..sources import messages as sources
+from . import demo
+
+WORDS = [(level, w) for level, ws in demo.LEXICON.items() for w in ws]
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _t(spark, d, "documents").select("doc_id", "text", "source", "lang")
+
+
+def _places(words, *extra):
+    """Arrays of struct<start, end, word, ...> of the occurrences of each word; extra: constants by word."""
+
+    def one(i, w):
+        more = [F.lit(values[i]).alias(name) for name, values in extra]
+        return F.transform(C.positions("text", w), lambda p: F.struct(p.cast("bigint").alias("start"), (p + len(w)).cast("bigint").alias("end"), F.lit(w).alias("word"), *more))
+
+    return F.concat(*[one(i, w) for i, w in enumerate(words)])
+
+
+def _windows(text, words, limits):
+    """Array of struct<word, window> of the gap matches of each word."""
+
+    def one(w):
+        return F.transform(C.gap_matches(text, w, limits), lambda m: F.struct(F.lit(w).alias("word"), m.alias("window")))
+
+    return F.concat(*[one(w) for w in words])
+
+
+def flagship(spark, d) -> DataFrame:
+    """Documents with words of the lexicon: how many words, the first one found, and the text without them."""
+    docs = _docs(spark, d)
+    out = F.col("text")
+    hits = [F.when(C.contains_exact("text", w), F.lit(w)) for _, w in WORDS]
+    for _, w in WORDS:
+        out = C.mask_exact(out, w)
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return docs.select("doc_id", "text", found.alias("found")).where(F.size("found") > 0).select("doc_id", F.size("found").cast("bigint").alias("n_hits"), F.get("found", F.lit(0)).alias("first_word"), out.alias("filtered_text"))
+
+
+def exact_flag(spark, d):
+    return detect.words_in(_docs(spark, d), demo.CONFIG, "doc_id")
+
+
+def exact_count_by_level(spark, d):
+    hits = exact_flag(spark, d)
+    return hits.groupBy("level").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_hits"))
+
+
+def exact_positions(spark, d):
+    x = _docs(spark, d).select("doc_id", F.explode(_places([w for _, w in WORDS])).alias("x"))
+    return x.select("doc_id", "x.word", F.col("x.start").alias("pos"))
+
+
+GAP = GapLimits(1, 1, 1)
+
+
+def fuzzy_flag(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.lower("text").alias("t"))
+    hit = [F.when(F.size(C.gap_matches("t", w, GAP)) > 0, F.lit(w)) for _, w in WORDS]
+    return docs.select("doc_id", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("word"))
+
+
+def fuzzy_gap_classes(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.lower("text").alias("t"))
+    x = docs.select("doc_id", F.explode(_windows("t", [w for _, w in WORDS], GAP)).alias("x"))
+    n = C.class_counts("x.window")
+    rows = x.select(F.col("x.word").alias("word"), (n["english"] - F.length("x.word")).alias("english"), n["others"].alias("others"))
+    return rows.groupBy("word", "english", "others").agg(F.count("*").alias("n"))
+
+
+def compressed_flag(spark, d):
+    docs = _docs(spark, d).select("doc_id", C.compress(F.lower("text")).alias("t"))
+    hit = [F.when(F.contains("t", F.lit(w)), F.lit(w)) for _, w in WORDS]
+    return docs.select("doc_id", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("word"))
+
+
+def reverse_flag(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.lower("text").alias("t"))
+    hit = [F.when(F.contains("t", F.reverse(F.lit(w))), F.reverse(F.lit(w))) for w in ("the", "tion", "and", *[w for _, w in WORDS])]
+    return docs.select("doc_id", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("word"))
+
+
+def _spans(docs, words, key="doc_id"):
+    return docs.select(key, F.explode(_places(words)).alias("x")).select(key, "x.start", "x.end", "x.word")
+
+
+def allowlist_anti(spark, d):
+    docs = _docs(spark, d)
+    return detect.drop_allowed(_spans(docs, ["the", "ing"]), _spans(docs, ["there", "thing"]), "doc_id").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+def nonoverlap_select(spark, d):
+    docs = _docs(spark, d)
+    words = ["than", "thanan", "hana", "idiot", "trash"]
+    kept = docs.select("doc_id", F.explode(detect.select_spans(_places(words))).alias("x"))
+    return kept.select("doc_id", "x.start", "x.end")
+
+
+def strip_codes(spark, d):
+    """Codes are put into the texts first: the tables have none."""
+    coded = F.concat(F.lit("&a"), F.regexp_replace("text", " the ", " &cthe§r "), F.lit("&x&1&2&3&4&5&6&#abc<#12ab9f>&x"))
+    return _docs(spark, d).select("doc_id", F.md5(C.strip_codes(coded).cast("binary")).alias("shown_md5"))
+
+
+def canonical_hex(spark, d):
+    coded = F.concat(F.regexp_replace("text", " the ", " &#12aB9fthe&#abc "), F.lit("&x&1&2&3&4&5&6"))
+    return _docs(spark, d).select("doc_id", F.md5(C.canonical_hex(coded).cast("binary")).alias("coded_md5"))
+
+
+def strip_tags(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.md5(C.strip_tags("html").cast("binary")).alias("stripped_md5"))
+
+
+def strip_everything(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.md5(C.strip_everything("html").cast("binary")).alias("stripped_md5"))
+
+
+def any_tags(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.size(C.any_tags("html")).cast("bigint").alias("n_tags"))
+
+
+def charmap_fold(spark, d):
+    charmap = CharMap(dict(zip(demo.FOLD_FROM, demo.FOLD_TO)))
+    return _docs(spark, d).select("doc_id", F.md5(C.fold(F.lower("text"), charmap).cast("binary")).alias("folded_md5"))
+
+
+def class_counts(spark, d):
+    n = C.class_counts("text")
+    return _docs(spark, d).select("doc_id", *[n[k].cast("bigint").alias(k) for k in ("chinese", "english", "others")])
+
+
+def compress_text(spark, d):
+    return _docs(spark, d).select("doc_id", F.length(C.compress("text")).cast("bigint").alias("n"), F.md5(F.reverse("text").cast("binary")).alias("reversed_md5"))
+
+
+def redact_exact(spark, d):
+    docs = _docs(spark, d)
+    out = F.col("text")
+    for _, w in WORDS:
+        out = C.mask_exact(out, w)
+    return docs.select("doc_id", "text", out.alias("filtered")).where("filtered <> text").select("doc_id", "filtered")
+
+
+def detected_agg(spark, d):
+    hits = [F.when(C.contains_exact("text", w), F.struct(F.lit(w).alias("word"), F.lit(level).alias("level"))) for level, w in WORDS]
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    rows = _docs(spark, d).select("doc_id", found.alias("f")).where(F.size("f") > 0)
+    return rows.select("doc_id", F.size("f").cast("bigint").alias("n_words"), alerts.words_of(F.col("f")).alias("words"))
+
+
+def first_detection(spark, d):
+    each = _places([w for _, w in WORDS], ("level", [level for level, _ in WORDS]))
+    rows = _docs(spark, d).select("doc_id", F.array_min(each).alias("x")).where("x is not null")
+    return rows.select("doc_id", F.col("x.start").alias("pos"), "x.word", "x.level")
+
+
+def limits_default_join(spark, d):
+    lexicon, limits = demo.CONFIG.lexicon(spark), demo.CONFIG.limits_table(spark)
+    j = lexicon.join(F.broadcast(limits), "level", "left")
+    gap = lambda k: F.coalesce(f"gap.{k}", F.lit(2)).cast("bigint").alias(k)
+    return j.select("level", "word", gap("chinese"), gap("english"), gap("others"))
+
+
+def lexicon_size(spark, d):
+    return demo.CONFIG.lexicon(spark).agg(F.count("*").alias("n_words"))
+
+
+def _commands(spark, d):
+    """Turns as commands: which one follows from the turn and the role."""
+    c = _t(spark, d, "conversations")
+    names = F.array(*[F.lit(x) for x in [*demo.COMMANDS, "!", "/msgx"]])
+    which = F.get(names, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8)).cast("int"))
+    text = F.when(which == "!", F.concat(which, F.col("text"))).otherwise(F.concat(F.when(F.col("turn") % 2 == 0, F.upper(which)).otherwise(which), F.lit(" "), F.col("role"), F.lit(" "), F.col("text")))
+    return c.select("conv_id", "turn", text.alias("text"))
+
+
+def route_commands(spark, d):
+    return _commands(spark, d).withColumn("route", route.route_name("text", demo.CONFIG)).groupBy("route").agg(F.count("*").alias("n"))
+
+
+def extract_args(spark, d):
+    return route.route_messages(_commands(spark, d), demo.CONFIG).select("conv_id", "turn", "route", "checked")
+
+
+def rebuild_command(spark, d):
+    routed = route.route_messages(_commands(spark, d), demo.CONFIG).withColumn("filtered", F.regexp_replace("checked", "(?i)the", "***"))
+    return route.rebuild_messages(routed, demo.CONFIG).select("conv_id", "turn", "rebuilt")
+
+
+def _pages_of(spark, d):
+    return parts.collect_parts(_t(spark, d, "conversations"), "conv_id", "turn")
+
+
+def combine_parts(spark, d):
+    p = _pages_of(spark, d)
+    return p.select("conv_id", parts.combine("parts").alias("whole"), F.array_join(F.transform(parts.starts(F.col("parts")), lambda x: x.cast("string")), ",").alias("starts"))
+
+
+def split_parts(spark, d):
+    p = _pages_of(spark, d).withColumn("filtered", F.regexp_replace(parts.combine("parts"), "[tT]he", "***"))
+    pieces = parts.split(F.col("filtered"), parts.starts(F.col("parts")), F.size("parts"))
+    return p.select("conv_id", F.posexplode(pieces).alias("part_no", "part")).select("conv_id", F.col("part_no").cast("bigint").alias("part_no"), "part")
+
+
+def merge_detections(spark, d):
+    """Per conversation: the words of its first turn before those of all turns, each once (union), and with repeats (union all)."""
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.explode(F.filter(F.array(*[F.when(C.contains_exact("text", w), F.lit(w)) for w in ("thing", "then", "than", "this")]), lambda x: x.isNotNull())).alias("word"))
+    all_words = rows.groupBy("conv_id").agg(F.count("*").alias("n_all"), F.countDistinct("word").alias("n_distinct"))
+    return all_words
+
+
+def suffix_mask(spark, d):
+    c = _t(spark, d, "conversations").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    n = C.shortest_common_suffix("text", F.lit("anything"))
+    masked = F.when(n.isNull(), F.col("text")).otherwise(F.concat(F.left("text", F.length("text") - n), F.repeat(F.lit("*"), n)))
+    return c.select("conv_id", "turn", masked.alias("masked"))
+
+
+def _violations(spark, d):
+    return _t(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("level"))
+
+
+def escalation(spark, d):
+    """An interval of a day: in the sparse test table the default of 15 seconds never holds three events."""
+    out = alerts.escalate(_violations(spark, d), demo.CONFIG.punish_table(spark), 86400, ("ts", "event_id"))
+    return out.select("event_id", "user_id", "level", F.col("number").cast("bigint").alias("number"), "command")
+
+
+def punish_actions(spark, d):
+    out = alerts.escalate(_violations(spark, d), demo.CONFIG.punish_table(spark), demo.CONFIG.profile.sweep_seconds, ("ts", "event_id"))
+    return out.select("event_id", "user_id", "level", F.col("number").cast("bigint").alias("number"), "command")
+
+
+def violation_numbers(spark, d):
+    out = alerts.violation_numbers(_violations(spark, d), 86400, ("ts", "event_id"))
+    return out.groupBy("level").agg(F.max("number").cast("bigint").alias("most"), F.sum("number").cast("bigint").alias("total"))
+
+
+def _hits(spark, d):
+    """Documents with a word as violations: first word and level, source as context, doc_id as player."""
+    hits = [F.when(C.contains_exact("text", w), F.struct(F.lit(w).alias("word"), F.lit(level).alias("level"))) for level, w in WORDS]
+    rows = _docs(spark, d).select("doc_id", "source", F.filter(F.array(*hits), lambda x: x.isNotNull()).alias("detected")).where(F.size("detected") > 0)
+    return rows.select(F.col("doc_id").alias("msg_id"), F.col("doc_id").cast("string").alias("user_id"), F.concat(F.lit("p"), "doc_id").alias("user_name"), alerts.context_name(demo.CONTEXTS, "source").alias("context"), alerts.first_of(F.col("detected"), "level").alias("first_level"), "detected")
+
+
+def render_alert(spark, d):
+    return alerts.admin_texts(_hits(spark, d), demo.CATALOG)
+
+
+def player_warning(spark, d):
+    return alerts.player_alerts(_hits(spark, d), demo.CATALOG)
+
+
+def admin_fanout(spark, d):
+    admins = _t(spark, d, "nation").select(F.col("n_name").alias("user_id"))
+    return alerts.admin_alerts(_hits(spark, d), demo.CATALOG, F.broadcast(admins)).groupBy("audience").agg(F.count("*").alias("n"))
+
+
+def context_fallback(spark, d):
+    return _docs(spark, d).groupBy(alerts.context_name(demo.CONTEXTS, "source").alias("context")).agg(F.count("*").alias("n"))
+
+
+def permission_filter(spark, d):
+    """Grants: customers of one segment are administrators, users of events the messages."""
+    grants = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("user_id"), F.lit("admin").alias("permission"))
+    v = _violations(spark, d)
+    return route.has_permission(v, grants, "admin").select("user_id", F.lit(True).alias("admin")).union(route.has_permission(v, grants, "admin", without=True).select("user_id", F.lit(False))).groupBy("admin").agg(F.count("*").alias("n"))
+
+
+def sender_online(spark, d):
+    """Senders that are online are followed with state, others are only redacted."""
+    online = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.lit(True).alias("online"))
+    v = _violations(spark, d).join(online, "user_id", "left")
+    return v.select(F.when(F.col("online"), "stateful").otherwise("stateless").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
+# Queries of the kernel, without SQL.
+
+
+def redact_fuzzy(spark, d):
+    """The whole redaction: gaps, repeats, reversed words, allow-list, masks, and rounds until nothing changes."""
+    out = detect.redact_messages(_docs(spark, d), demo.CONFIG)
+    return out.where("changed").select("doc_id", "filtered", alerts.words_of(F.col("detected")).alias("words"), "first_word", "first_level")
+
+
+recheck_fixpoint = redact_fuzzy
+
+
+def redact_pass(spark, d):
+    out = detect.redact_messages(_docs(spark, d), demo.CONFIG, recheck=False)
+    return out.where("changed").select("doc_id", "filtered")
+
+
+def contains_any(spark, d):
+    return detect.flagged(_docs(spark, d), demo.CONFIG).select("doc_id")
+
+
+def redact_one_word(spark, d):
+    out = detect.redact_one_word(_docs(spark, d), "trash", limits=GAP)
+    return out.where("filtered <> text").select("doc_id", "filtered")
+
+
+def markup_detect(spark, d):
+    """Pages with two words put before them in tags: what the tags show is found and masked inside them."""
+    p = _t(spark, d, "pages").select("page_id", F.concat(F.lit("<hover:show_text:'<red>tra"), F.lit("sh'><lang:k:'<blue>id&ciot'>"), F.col("html")).alias("text"))
+    out = detect.redact_messages(p, demo.CONFIG)
+    return out.select("page_id", "changed", F.substring("filtered", 1, 60).alias("head"), alerts.words_of(F.col("detected")).alias("words"))
+
+
+def _scalar(fn, kind="string"):
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else fn(x) for x in s])
+
+    return run
+
+
+def visible_text(spark, d):
+    show = _scalar(lambda x: from_units(visible(to_units(x))))
+    return _t(spark, d, "pages").select("page_id", F.md5(show("html").cast("binary")).alias("shown_md5"))
+
+
+def normalize_text(spark, d):
+    norm = _scalar(lambda x: from_units(normalize_whole(x)))
+    return _docs(spark, d).select("doc_id", F.md5(norm("text").cast("binary")).alias("normal_md5"))
+
+
+def position_map(spark, d):
+    size = _scalar(lambda x: len(parse(to_units(x)).at), "bigint")
+    return _t(spark, d, "pages").select("page_id", size("html").alias("n_places"))
+
+
+def styled_text(spark, d):
+    runs = _scalar(lambda x: len(styled_runs(x)), "bigint")
+    return _t(spark, d, "pages").select("page_id", runs("html").alias("n_runs"))
+
+
+def cross_message(spark, d):
+    chat = sources.conversations_as_chat(_t(spark, d, "conversations"))
+    out = track.track_messages(chat, demo.CHAT)
+    return out.where("hit_word is not null").select("user_id", "seq", "hit_word", "hit_level", "crossed", "filtered")
+
+
+def signs(spark, d):
+    """Conversations as signs: lines one by one and combined."""
+    p = _pages_of(spark, d)
+    return parts.redact_signs(p, demo.CHAT).select("conv_id", F.array_join("lines", "\n").alias("lines"), "changed", alerts.words_of(F.col("detected")).alias("words"))
+
+
+def books(spark, d):
+    """Conversations as books, the first turn as title too."""
+    p = _pages_of(spark, d).withColumn("title", F.get("parts", F.lit(0))).withColumn("author", F.lit("nobody"))
+    return parts.redact_books(p, demo.CHAT).select("conv_id", F.array_join("pages", "\n").alias("pages"), "new_title", "changed", "first_word")
+
+
+def item_names(spark, d):
+    names = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("user_id"), (F.col("p_partkey") % 10 == 0).alias("bypass"), F.col("p_name").alias("name"))
+    return parts.redact_names(names, demo.CONFIG).select("user_id", "name", "filtered", "changed")
+
+
+def sql_redact(spark, d):
+    """The SQL function over the benchmark's texts."""
+    from ..operators import sqlfunctions
+
+    sqlfunctions.register(spark, demo.CONFIG)
+    return _t(spark, d, "benchmark").selectExpr("item_id", "redact(text) AS filtered", "contains_banned(text) AS banned")
+
+
+def chat_union(spark, d):
+    """All surfaces in one shape."""
+    chat = sources.conversations_as_chat(_t(spark, d, "conversations"))
+    shout = sources.as_messages(_t(spark, d, "benchmark"), "shout", msg_id="item_id", text="text", user_id=F.lit("shouter"))
+    item = sources.as_messages(_t(spark, d, "part"), "anvil", msg_id="p_partkey", text="p_name")
+    return sources.union(chat, shout, item).groupBy("surface").agg(F.count("*").alias("n"))
+
+
+_NO_SQL = (redact_fuzzy, redact_pass, contains_any, redact_one_word, markup_detect, visible_text, normalize_text, position_map, styled_text, cross_message, signs, books, item_names, sql_redact)
+_WITH_SQL = (
+    exact_flag, exact_count_by_level, exact_positions, fuzzy_flag, fuzzy_gap_classes, compressed_flag, reverse_flag, allowlist_anti, nonoverlap_select, strip_codes, canonical_hex, strip_tags,
+    strip_everything, any_tags, charmap_fold, class_counts, compress_text, redact_exact, detected_agg, first_detection, limits_default_join, lexicon_size, route_commands, extract_args,
+    rebuild_command, combine_parts, split_parts, merge_detections, suffix_mask, escalation, punish_actions, violation_numbers, render_alert, player_warning, admin_fanout, context_fallback,
+    permission_filter, sender_online, chat_union,
+)
+
 
 def queries():
-    return {}
+    out = {f.__name__: f for f in (*_WITH_SQL, *_NO_SQL)}
+    return {"flagship_redact": flagship, **out}
 
 
 def oracle_sql():
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)
