@@ -80,7 +80,8 @@ def positions(text, word: str) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:
-        found = F.when(F.startswith(piece, w), F.concat(acc["found"], F.array(acc["at"]))).otherwise(acc["found"])
+        begins = (acc["at"] > 0) | F.startswith(t, w)  # the first piece may be what stands before all of them
+        found = F.when(begins, F.concat(acc["found"], F.array(acc["at"]))).otherwise(acc["found"])
         return F.struct((acc["at"] + F.length(piece)).alias("at"), found.alias("found"))
 
     pieces = F.split(t, f"(?={re.escape(word.lower())})", -1)
