@@ -31,6 +31,7 @@ from .common import table
 LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 2 << 20
+PART = 1 << 18
 
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _U = np.uint64
@@ -51,14 +52,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_tables(base, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse, at least n of each; kept by the worker."""
+    have = _tables.get(int(base))
+    if have is None or len(have[0]) < n:
+        have = _tables[int(base)] = _powers(base, n), _powers(_U(pow(int(base), -1, 1 << 64)), n)
+    return have
+
+
 class RangeHash:
     """Hashes of any ranges of some bytes, from prefix sums."""
 
     def __init__(self, data: np.ndarray, base):
         n = len(data)
+        up, self.down = _power_tables(base, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + _U(1)) * _powers(base, n), out=self.sums[1:])
-        self.down = _powers(_U(pow(int(base), -1, 1 << 64)), n + 1)
+        np.cumsum((data.astype(np.uint64) + _U(1)) * up[:n], out=self.sums[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.down[a])
@@ -89,30 +101,48 @@ class Shard:
         self._runs(length)
 
     def _runs(self, length: int) -> None:
-        """start (of the first window), count (of windows), key, and two hashes of the bytes the windows cover."""
-        n, gram = len(self.data), min(GRAM, length)
-        empty = np.zeros(0, np.int64)
-        self.start, self.count, self.row = empty, empty, empty
-        self.key = self.g1 = self.g2 = empty.astype(np.uint64)
+        """start (of the first window), count (of windows), key, and two hashes of the bytes the windows cover.
+
+        A few documents at a time, and a long one in parts: memory follows PART, whatever a shard holds.
+        """
+        found, i, begin = [], 0, 0
+        while i < len(self.ends):
+            j = i + 1
+            while j < len(self.ends) and begin == self.begins[i] and self.ends[j] - begin <= PART:
+                j += 1
+            last = min(begin + PART, self.ends[i]) if j == i + 1 else self.ends[j - 1]
+            stop = min(last + length - 1, self.ends[i]) if j == i + 1 else last  # windows that start before `last`
+            found.append(self._part(begin, int(stop), length))
+            if last < self.ends[j - 1]:
+                begin = int(last)
+            else:
+                i, begin = j, int(last)
+        names = ("start", "count", "row", "key", "g1", "g2")
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)
+        for k, (name, kind) in enumerate(zip(names, kinds)):
+            setattr(self, name, np.concatenate([np.zeros(0, kind), *[f[k] for f in found if f]]))
+        self.offset = self.start - (self.begins[self.row] if len(self.row) else 0)
+
+    def _part(self, begin: int, stop: int, length: int):
+        data = self.data[begin:stop]
+        n, gram = len(data), min(GRAM, length)
         if n < length:
-            return
-        h1 = RangeHash(self.data, _B1)
+            return None
+        h1 = RangeHash(data, _B1)
         at = np.arange(n - gram + 1)
         h = h1(at, at + gram)
         place = _window_min((h >> _U(32) << _U(32)) | at.astype(np.uint64), length - gram + 1) & _U(0xFFFFFFFF)
         starts = np.arange(len(place))
-        row = np.searchsorted(self.ends, starts, "right")
-        ok = starts + length <= self.ends[row]
+        row = np.searchsorted(self.ends, starts + begin, "right")
+        ok = starts + begin + length <= self.ends[row]
         starts, place, row = starts[ok], place[ok].astype(np.int64), row[ok]
         if not len(starts):
-            return
+            return None
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
-        self.start = starts[new]
-        self.count = np.diff(np.append(new, len(starts)))
-        self.row, self.key = row[new], h[place[new]]
-        stop = self.start + self.count + length - 1
-        self.g1, self.g2 = h1(self.start, stop), RangeHash(self.data, _B2)(self.start, stop)
-        self.offset = self.start - self.begins[self.row]
+        start, count = starts[new], np.diff(np.append(new, len(starts)))
+        end = start + count + length - 1
+        # The smallest of many hashes is small: mixed again, keys are spread evenly over the merging tasks.
+        return start + begin, count, row[new], _mix(h[place[new]]), h1(start, end), RangeHash(data, _B2)(start, end)
 
     def later_copies(self) -> np.ndarray:
         """Runs that are the same throughout as an earlier one of this shard."""
