@@ -1,14 +1,14 @@
 """Operator 10: WARC archives, written and read back with boundary-chain verification.
 
 Writing is native: digests (base32 of SHA-1) and records are column expressions, and Spark's text writer puts them into
-files of a bounded number of records, compressed. Reading: a task takes a file and emits, for every place where the
+files of a bounded number of records, compressed. Reading: a task takes a file and notes, for every place where the
 record magic stands after a record end, an edge from there to where its length says the next record begins. Payloads may
 hold the magic, even whole records; only what can be reached from the start of the file is a record. Pointer jumping finds
-that: each round joins the places reached so far with the jumps and doubles the jumps, so a file of n records takes log2 n
-rounds. Files are one gzip stream each; offsets are those of the text inside.
+that: each round follows the jumps from the places reached so far and doubles the jumps, so a file of n records takes
+log2 n rounds over arrays of its edges. Files are one gzip stream each; offsets are those of the text inside.
 
 Scale: pages are shuffled once, by payload digest and salt; a payload that many pages share is not brought together. A
-file is what one task holds, bounded by the records a writer puts into it. Jumps are narrow rows of two numbers.
+file is what one task holds, bounded by the records a writer puts into it; only reached records are hashed.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import hashlib
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, cut, ensure_checkpoint_dir, table
+from .common import attach_by_key, ensure_checkpoint_dir, table
 
 MAGIC = "WARC/1.0"
 DATE = "2024-01-01T00:00:00Z"
@@ -88,7 +89,7 @@ def write_archives(records: DataFrame, path: str, file_records: int = FILE_RECOR
 
 
 def candidates(data: bytes):
-    """(offset, next offset, headers, payload) of every place that looks like a record: magic at the start or after a
+    """(offset, next offset, headers, payload start and end) of every place that looks like a record: magic at the start or after a
     record end, headers that end, a length, and a record end where the payload ends."""
     n = len(data)
     for m in _START.finditer(data):
@@ -108,59 +109,64 @@ def candidates(data: bytes):
         end = stop + 4 + int(length)
         if data[end : end + 4] != b"\r\n\r\n" or end + 4 > n:
             continue
-        yield at, end + 4, headers, data[stop + 4 : end]
+        yield at, end + 4, headers, stop + 4, end
+
+
+def reachable(at: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Which of the ascending places are reached from place 0 over the edges at -> following, by pointer jumping."""
+    n = len(at)
+    reached = np.zeros(n + 1, bool)  # the last one stands for the end of the file and for nowhere
+    if not n or at[0] != 0:
+        return reached[:n]
+    place = np.minimum(np.searchsorted(at, following), n - 1)
+    jump = np.append(np.where(at[place] == following, place, n), n)
+    reached[0] = True
+    while True:
+        new = reached.copy()
+        new[jump[reached]] = True
+        if (new == reached).all():
+            return reached[:n]
+        reached, jump = new, jump[jump]
 
 
 def _number(x):
     return int(x) if x is not None and re.fullmatch(rb"-?[0-9]{1,18}", x) else None
 
 
-CANDIDATE = "file string, at bigint, next bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, digest_ok boolean"
+RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, digest_ok boolean"
+
+
+def records_of(data: bytes) -> list[tuple]:
+    """The records of an archive, as rows of RECORD."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    found = list(candidates(data))
+    keep = reachable(np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64))
+    rows = []
+    for (_, _, h, begin, end), ok in zip(found, keep):
+        if not ok:
+            continue
+        kind = h.get(b"warc-type", b"").decode("utf-8", "replace")
+        said = h.get(b"warc-payload-digest", b"").decode("utf-8", "replace").removeprefix("sha1:")
+        # A revisit has no payload here: size and digest of the full one are those of its headers.
+        digest = said if kind == "revisit" else base64.b32encode(hashlib.sha1(data[begin:end]).digest()).decode()
+        size = _number(h.get(b"x-payload-length")) if kind == "revisit" else end - begin
+        rows.append((_number(h.get(b"x-page-id")), size, digest, kind, _number(h.get(b"x-refers-to-page")), digest == said))
+    return rows
 
 
 def _scan(batches):
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
     for b in batches:
-        for path, content in zip(b.column(0), b.column(1)):
-            data = content.as_py()
-            if data[:2] == b"\x1f\x8b":
-                data = gzip.decompress(data)
-            rows = []
-            for at, to, h, payload in candidates(data):
-                kind = h.get(b"warc-type", b"").decode("utf-8", "replace")
-                said = h.get(b"warc-payload-digest", b"").decode("utf-8", "replace").removeprefix("sha1:")
-                # A revisit has no payload here: size and digest of the full one are those of its headers.
-                digest = said if kind == "revisit" else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                size = _number(h.get(b"x-payload-length")) if kind == "revisit" else len(payload)
-                rows.append((path.as_py(), at, to, _number(h.get(b"x-page-id")), size, digest, kind, _number(h.get(b"x-refers-to-page")), digest == said))
-            columns = list(zip(*rows)) if rows else [[]] * 9
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in CANDIDATE.split(", ")])
-
-
-def reachable(edges: DataFrame) -> DataFrame:
-    """(file, at) of the places reached from 0 over edges (file, at, next), by pointer jumping."""
-    jumps = edges.select("file", "at", "next")
-    reached = edges.where("at = 0").select("file", "at")
-    known = -1
-    while True:
-        reached = cut(reached)
-        count = reached.count()
-        if count == known:
-            return reached
-        known = count
-        onwards = reached.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))
-        # What is reached has no jump in common before: after k rounds it is the first 2^k records of each file.
-        reached = reached.unionByName(onwards.join(edges.select("file", "at"), ["file", "at"], "left_semi")).distinct()
-        ahead = jumps.select("file", F.col("at").alias("from"), F.col("next").alias("at"))
-        jumps = cut(ahead.join(jumps, ["file", "at"]).select("file", F.col("from").alias("at"), "next"))
+        for content in b.column(0):
+            rows = records_of(content.as_py())
+            columns = list(zip(*rows)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in RECORD.split(", ")])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, digest_ok of the records under a path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = cut(files.mapInArrow(_scan, CANDIDATE).withColumn("file", F.xxhash64("file")))
-    starts = reachable(found.select("file", "at", "next"))
-    return found.join(starts, ["file", "at"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_scan, RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, file_records: int = FILE_RECORDS) -> DataFrame:
