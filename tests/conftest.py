@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -46,7 +47,7 @@ def rows_of(frame):
     """Rows as comparable text, columns by name, floats to nine places."""
 
     def text(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "NULL"
         return repr(round(float(v), 9)) if isinstance(v, float) else str(v)
 
