@@ -365,3 +365,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
 def op9_jaccard_bayes(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same over all pairs of documents with a common shingle and the closure of their links.
+OP9_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x09-\\x0D\\x20]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+  SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE c >= 0.8::DOUBLE * (nx.n + ny.n - c) - 1e-9),
+k AS (SELECT doc_id, least(doc_id, coalesce(min(y) FILTER (same), doc_id)) AS class_id, count(*) FILTER (same) + 1 AS class_docs, count(y) AS n_links FROM documents LEFT JOIN e ON x = doc_id GROUP BY doc_id),
+l AS (SELECT x, count(DISTINCT class_id) AS class_links FROM e JOIN k ON k.doc_id = y WHERE NOT same GROUP BY x),
+r AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.node),
+g AS (SELECT doc_id, min(node) AS group_id FROM r GROUP BY doc_id)
+SELECT k.doc_id, coalesce(n, 0) AS n_shingles, class_id, CAST(class_docs AS BIGINT) AS class_docs, coalesce(class_links, 0) AS class_links, n_links, group_id, k.doc_id = group_id AS kept
+FROM k LEFT JOIN n USING (doc_id) JOIN g USING (doc_id) LEFT JOIN l ON l.x = k.doc_id
+"""

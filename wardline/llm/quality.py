@@ -232,7 +232,9 @@ def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with a column score (0 to 1). Null and empty texts have the prior's score; other columns pass through."""
+    """docs with a column score (0 to 1). Null and empty texts have the prior's score; other columns pass through, but for
+    one of that name, which gives way."""
+    docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 

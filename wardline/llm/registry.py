@@ -23,6 +23,9 @@ def queries():
 def oracle_sql():
     return {
         "op2_multiset_fingerprint": fingerprint.OP2_SQL,
+        "op6_vectors_grid_order": vectors.OP6_SQL,
         "op7_mix_sainte_lague": mixing.OP7_SQL,
+        "op8_substring_suffix_array": substring.OP8_SQL,
+        "op9_jaccard_bayes": jaccard.OP9_SQL,
         "op10_warc_boundary_chain": warc.OP10_SQL,
     }

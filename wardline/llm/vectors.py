@@ -278,3 +278,15 @@ def tile_pairs(tiles: DataFrame, eps: float) -> DataFrame:
 
 def op6_vectors_grid_order(spark, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: The same over all pairs and the closure of their links.
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS node FROM v UNION SELECT r.vec_id, p.y FROM r JOIN p ON p.x = r.node),
+c AS (SELECT vec_id, min(node) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON x = c.vec_id
+"""
