@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MOST_KEPT = 4_000_000
+MOST_KEPT = 3_000_000
+SLICE = 3 << 20
 
 
 def _fields(data: bytes):
@@ -133,6 +135,8 @@ class PieceVocabulary:
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.pair_keys, self.pair_to = keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
+        self.maybe = np.zeros(1 << 22, bool)  # most pairs are none, and this says so without a search
+        self.maybe[self._spot(self.pair_keys)] = True
         self.names, self.lengths, self.usable = names, np.array([len(p) for p in names]), usable
         self.longest = int(self.lengths.max())
         codes = np.zeros((len(names), -(-self.longest // 4) * 4), np.int64)
@@ -141,6 +145,10 @@ class PieceVocabulary:
         self.codes = codes
         self.run_of_mark = number[MARK]
 
+    @staticmethod
+    def _spot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the characters of a and b gives exactly a and b: no merge across may come before their own."""
         a, b = a.astype(np.int64), b.astype(np.int64)
@@ -151,8 +159,10 @@ class PieceVocabulary:
         while len(live):
             x, y = a[live], b[live]
             key = x << 20 | y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            across = np.where(self.pair_keys[at] == key, self.pair_to[at].astype(np.int64), 1 << 41)
+            across = np.full(len(key), 1 << 41, np.int64)
+            some = np.flatnonzero(self.maybe[self._spot(key)])
+            at = np.minimum(np.searchsorted(self.pair_keys, key[some]), len(self.pair_keys) - 1)
+            across[some] = np.where(self.pair_keys[at] == key[some], self.pair_to[at].astype(np.int64), 1 << 41)
             bad = across < limit[live]
             out[live[bad]] = False
             live = live[~bad]
@@ -167,9 +177,6 @@ class PieceVocabulary:
             b[live] = np.where(undo_a, y, self.left[y])
         return out
 
-    def known(self, c: str) -> bool:
-        return c in self.alphabet
-
 
 def merge(parts: list[int], names: list[str], number: dict[str, int], stop: int | None = None) -> list[int]:
     """Plain byte-pair merging, the best pair first, the leftmost of equal ones. stop: this piece is not put together."""
@@ -192,7 +199,7 @@ def suffix_array(codes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarra
     padded = np.zeros(n + 4, np.int64)
     padded[:n] = codes
     key = ((padded[:n] << 15 | padded[1 : n + 1]) << 15 | padded[2 : n + 2]) << 15 | padded[3 : n + 3]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     step = 4
     while step < longest:
         sorted_key = key[order] if step == 4 else rank[order]
@@ -204,7 +211,7 @@ def suffix_array(codes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarra
         after = np.zeros(n, np.int64)
         after[: max(0, n - step)] = rank[step:] + 1
         both = rank * (n + 2) + after
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         sorted_both = both[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(sorted_both[1:] != sorted_both[:-1])])
@@ -242,6 +249,25 @@ def ranges(vocabulary: PieceVocabulary, order: np.ndarray, key: np.ndarray) -> t
     return lo, hi
 
 
+class _Numbers(dict):
+    """Parts and their numbers; a part that is asked for and new gets the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = len(self)
+        self.fresh.append(part)
+        return n
+
+
+def _ranges_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of [start, start + size) of each range, one after the other."""
+    skip = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(starts, sizes) + skip
+
+
 class PieceEncoder:
     """Encodes batches; keeps the pieces of parts it has seen."""
 
@@ -252,28 +278,31 @@ class PieceEncoder:
         self.clear()
 
     def clear(self):
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.kept = 0
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 
     def learn(self, parts: list[str]) -> None:
-        """Pieces of new parts, through one suffix array over all of them."""
+        """Pieces of new parts, through one suffix array over all of them; other characters are bytes."""
         v = self.v
-        plain = [p for p in parts if v.known(p[-1]) and (len(p) > 1 or v.known(p))]
-        tokens: dict[str, np.ndarray] = {}
-        for p in parts:
-            if not v.known(p[-1]):
-                tokens[p] = v.byte_ids[np.frombuffer(p.encode("utf-8", "surrogatepass"), np.uint8)]
-        if plain:
-            for p, ids in zip(plain, self._relaxed(plain)):
-                tokens[p] = ids
-        sizes = [len(tokens[p]) for p in parts]
-        self.flat = np.concatenate([self.flat, *[tokens[p] for p in parts]])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        plain = np.fromiter((p[-1] in v.alphabet for p in parts), bool, len(parts))
+        sizes = np.zeros(len(parts), np.int64)
+        some = [p for p, k in zip(parts, plain) if k]
+        ids, sizes[plain] = self._relaxed(some) if some else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        raw = [v.byte_ids[np.frombuffer(parts[i].encode("utf-8", "surrogatepass"), np.uint8)] for i in np.flatnonzero(~plain)]
+        sizes[~plain] = [len(x) for x in raw]
+        ends = np.cumsum(sizes)
+        new = np.zeros(int(ends[-1]), np.int32)
+        new[_ranges_of((ends - sizes)[plain], sizes[plain])] = ids
+        for i, x in zip(np.flatnonzero(~plain), raw):
+            new[ends[i] - sizes[i] : ends[i]] = x
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        self.flat = np.concatenate([self.flat, new])
         self.kept += sum(map(len, parts))
 
-    def _relaxed(self, parts: list[str]) -> list[np.ndarray]:
+    def _relaxed(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after the other, and how many each one has."""
         v = self.v
         sizes = np.array([len(p) for p in parts])
         text = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le"), np.uint32)
@@ -293,7 +322,7 @@ class PieceEncoder:
         first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         owner = np.repeat(np.arange(len(parts)), sizes + 1)
         depth = end - first[owner[begin]]
-        by_depth = np.argsort(depth, kind="stable")
+        by_depth = np.argsort(depth)
         begin, end, piece, depth = begin[by_depth], end[by_depth], piece[by_depth], depth[by_depth]
         is_first = np.zeros(len(text) + 1, bool)
         is_first[first] = True
@@ -319,38 +348,23 @@ class PieceEncoder:
             live = live[at[live] > first[live]]
         part, chosen = np.concatenate(seen_part)[::-1], np.concatenate(seen_piece)[::-1]
         by_part = np.argsort(part, kind="stable")
-        ids = v.ids[chosen[by_part]]
-        return np.split(ids, np.cumsum(np.bincount(part, minlength=len(parts)))[:-1])
+        return v.ids[chosen[by_part]], np.bincount(part, minlength=len(parts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them; an empty text has none."""
         if self.kept > MOST_KEPT:
             self.clear()
         v, number = self.v, self.number
-        found, fresh = [], []
-        for t in texts:
-            if not t:
-                found.append([])
-                continue
-            t = t.replace(" ", MARK)
-            parts = self.cut.findall(MARK + t if v.front else t)
-            row = []
-            for p in parts:
-                n = number.get(p)
-                if n is None:
-                    n = number[p] = len(number)
-                    fresh.append(p)
-                row.append(n)
-            found.append(row)
-        if fresh:
-            self.learn(fresh)
+        front = MARK if v.front else ""
+        found = [list(map(number.__getitem__, self.cut.findall(front + t.replace(" ", MARK)))) if t else [] for t in texts]
+        if number.fresh:
+            self.learn(number.fresh)
+            number.fresh = []
         mark_id = v.ids[v.run_of_mark]
         out = []
         for row in found:
             r = np.array(row, np.int64)
-            size = self.starts[r + 1] - self.starts[r]
-            skip = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            ids = self.flat[np.repeat(self.starts[r], size) + skip]
+            ids = self.flat[_ranges_of(self.starts[r], self.starts[r + 1] - self.starts[r])]
             out.append(self._runs(ids, mark_id) if len(ids) > 1 and v.runs else ids)
         return out
 
@@ -380,6 +394,19 @@ class PieceEncoder:
         return text[1:] if self.v.front and text.startswith(" ") else text
 
 
+def _slices(texts):
+    """(first row, rows) of parts of at most SLICE bytes, or of one text: the arrays of an index follow these."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64))
+    at, have = 0, 0.0
+    for i, n in enumerate(sizes):
+        if i > at and have + n > SLICE:
+            yield at, i - at
+            at, have = i, 0.0
+        have += n
+    if len(sizes):
+        yield at, len(sizes) - at
+
+
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
 
 
@@ -394,8 +421,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         encoder = PieceEncoder(sent.value)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at, rows in _slices(b.column(1)):
+                part = b.slice(at, rows)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = encoder.encode(texts)
                 back = [encoder.decode(x.tolist() if len(x) else []) for x in ids]
