@@ -175,11 +175,14 @@ class SkipChainModel:
         return SkipChainModel(unary, np.zeros((LABELS, LABELS)), 2.5)
 
     def skip_table(self) -> np.ndarray:
-        return np.eye(LABELS) * self.skip
+        table = np.eye(LABELS) * self.skip
+        table[0, 0] = 0.0  # that both are nothing is no agreement
+        return table
 
     def marginals(self, f: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
         """Beliefs of all nodes by loopy sum-product; every graph of a batch at once."""
         own = f @ self.unary
+        own[:, 1:] += 20.0 * f[:, 1 + N_SHAPES :]  # base spans stay
         edges = np.concatenate([chain, skip]) if len(chain) + len(skip) else np.zeros((0, 2), np.int64)
         if len(edges):
             src = np.concatenate([edges[:, 0], edges[:, 1]])
@@ -220,16 +223,19 @@ def fit(node_lists, steps: int = 300, rate: float = 1.0, pull: float = 0.005, se
     rng = np.random.default_rng(seed)
     lists = []
     for nodes in node_lists:
-        lists.append([(*x, 0 if x[2] is None else 1 + x[2]) for x in nodes])
+        cores = {x[4]: 1 + x[2] for x in nodes if x[2] is not None}
+        # Without evidence but of a base token's core: taken for the same where it is a neighbour, itself not learned from.
+        lists.append([(*x, cores.get(x[4], 0) if x[2] is None else 1 + x[2], float(x[2] is not None or x[4] not in cores)) for x in nodes])
         for i, (_, _, k, s, core) in enumerate(nodes):
             if k is not None:
                 # Without evidence a token of the same shape is the same data beside its like, and none when alone.
-                lists.append([(0, 1, k, s, core, 1 + k), (10**6, 10**6 + 1, None, s, core, 1 + k)])
-                lists.append([(0, 1, None, s, f"lone{i}", 0)])
+                lists.append([(0, 1, k, s, core, 1 + k, 1.0), (10**6, 10**6 + 1, None, s, core, 1 + k, 1.0)])
+                lists.append([(0, 1, None, s, f"lone{i}", 0, 1.0)])
     f, chain, skip = _assemble([[x[:5] for x in nodes] for nodes in lists])
     if not len(f):
         return model
     y = np.array([x[5] for nodes in lists for x in nodes])
+    counts = np.array([x[6] for nodes in lists for x in nodes])
     one_hot = np.eye(LABELS)[y]
     src = np.concatenate([chain[:, 0], chain[:, 1]])
     dst = np.concatenate([chain[:, 1], chain[:, 0]])
@@ -244,14 +250,14 @@ def fit(node_lists, steps: int = 300, rate: float = 1.0, pull: float = 0.005, se
             np.add.at(z, s_dst, model.skip_table()[y[s_src]])
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        d = (one_hot - p) / len(g)
+        d = (one_hot - p) * counts[:, None] / len(g)
         model.unary += rate * (g.T @ d - pull * (model.unary - prior.unary))
         if len(src):
             grad = np.zeros_like(model.chain)
             np.add.at(grad, y[src], d[dst])
             model.chain += rate * ((grad + grad.T) / 2 - pull * model.chain)
         if len(s_src):
-            gain = float(sum(d[t, y[s]] for s, t in zip(s_src, s_dst)))
+            gain = float(sum(d[t, y[s]] for s, t in zip(s_src, s_dst) if y[s]))
             model.skip += rate * (gain - pull * (model.skip - prior.skip))
     model.skip = max(model.skip, 0.0)
     return model
@@ -260,8 +266,12 @@ def fit(node_lists, steps: int = 300, rate: float = 1.0, pull: float = 0.005, se
 def train_model(docs: DataFrame, most_docs: int = 400, most_bytes: int = 16384) -> SkipChainModel:
     """Fits on at most `most_docs` documents with digits or at signs and at most `most_bytes` bytes, the first by hash."""
     some = docs.select("doc_id", "text").where(F.col("text").rlike(r"@|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]") & (F.octet_length("text") <= most_bytes))
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_docs).collect()
-    lists = [nodes_of(r["text"], b) for r in rows if (b := base_spans(r["text"]))]
+    # Hashes alone are ranked, so that tasks send numbers and the texts of the chosen few are fetched by them.
+    chosen = some.select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(most_docs)
+    every = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    rows = every.join(F.broadcast(chosen.distinct()), "h").limit(2 * most_docs).collect()
+    texts = sorted({(r["h"], r["text"]) for r in rows})
+    lists = [nodes_of(t, b) for _, t in texts if (b := base_spans(t))]
     return fit(lists)
 
 
