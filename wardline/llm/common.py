@@ -78,5 +78,7 @@ def components(edges: DataFrame, salts: int = 32, most_rounds: int = 60) -> Data
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return stars.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
