@@ -408,3 +408,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
 
 def op8_substring_suffix_array(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The same over every window of 100 bytes.
+OP8_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i AS s, b[i + 1 : i + 100] AS w FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM b)),
+f AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS rn FROM w) WHERE rn > 1),
+i AS (SELECT *, sum(CASE WHEN s <= prev + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM f)),
+r AS (SELECT doc_id, island, min(s) AS a, max(s) + 100 AS e FROM i GROUP BY doc_id, island),
+k AS (SELECT r.doc_id, a, e, hex(b[coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY a), 0) + 1 : a]) AS piece, max(e) OVER (PARTITION BY r.doc_id) AS last, b FROM r JOIN b USING (doc_id)),
+d AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY a) || hex(any_value(b)[any_value(last) + 1 :]) AS kept FROM k GROUP BY doc_id)
+SELECT b.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN d.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM b LEFT JOIN d ON d.doc_id = b.doc_id
+"""
