@@ -128,6 +128,19 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {(r.user_id, r.command) for r in got} == {("a", "mute a"), ("a", "say x"), ("d", "mute d"), ("d", "say x"), ("d", "ban d")}
 
 
+def test_shout(spark):
+    d = chat(spark, [("a", "fu", 0), ("a", "ck", 1), ("b", "fu", 0), ("b", "ck", 1), ("b", "fuck", 2)])
+    online = spark.createDataFrame([("a",), ("a",)], "user_id string")
+    out = {(r.user_id, r.text): r for r in track.shout_messages(d, online, CHAT).collect()}
+    assert out["a", "ck"].filtered == "c*" and out["b", "ck"].filtered == "ck" and out["b", "fuck"].filtered == "****" and out["b", "fuck"].detected == [] and len(out) == 5
+
+
+def test_counter_resets(spark):
+    v = chat(spark, [("u", "x", 0), ("u", "x", 1), ("u", "reset", 2), ("u", "x", 3), ("u", "x", 4)]).withColumn("level", F.lit("l")).withColumn("r", F.col("text") == "reset")
+    assert [r.number for r in alerts.violation_numbers(v, 15, ("ts", "seq"), reset="r").orderBy("seq").collect()] == [1, 2, 1, 2]
+    assert alerts.violation_counts(v, 15).first().n == 5
+
+
 def test_alerts(spark):
     v = chat(spark, [("u", "x", i) for i in range(6)] + [("u", "x", 40)]).withColumn("level", F.lit("level-1"))
     out = alerts.escalate(v, CHAT.punish_table(spark), 15, ("ts", "seq"))

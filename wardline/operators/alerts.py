@@ -42,11 +42,25 @@ def admin_alerts(violations: DataFrame, catalog: dict[str, str], admins: DataFra
     return admin_texts(violations, catalog).join(admins.select(F.col("user_id").alias("audience")), F.lit(True)).select("msg_id", "audience", "text")
 
 
-def violation_numbers(violations: DataFrame, seconds: int, order: tuple[str, ...] = ("ts",), user: str = "user_id", level: str = "level") -> DataFrame:
-    """Adds bucket and number: how many violations of a level the user has had in this sweep interval, this one included."""
+def violation_numbers(violations: DataFrame, seconds: int, order: tuple[str, ...] = ("ts",), user: str = "user_id", level: str = "level", reset: str | None = None) -> DataFrame:
+    """Adds bucket and number: how many violations of a level the user has had in this sweep interval, this one included.
+
+    reset: a boolean column; such rows are no violations but start the user's counters anew, and are left out.
+    """
     bucket = F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds")["start"]
     d = violations.withColumn("bucket", bucket)
-    return d.withColumn("number", F.row_number().over(Window.partitionBy(user, level, "bucket").orderBy(*order)))
+    if not reset:
+        return d.withColumn("number", F.row_number().over(Window.partitionBy(user, level, "bucket").orderBy(*order)))
+    clear = F.coalesce(F.col(reset), F.lit(False))
+    since = Window.partitionBy(user, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_era", F.sum(clear.cast("int")).over(since)).where(~clear)
+    return d.withColumn("number", F.row_number().over(Window.partitionBy(user, level, "bucket", "_era").orderBy(*order))).drop("_era")
+
+
+def violation_counts(violations: DataFrame, seconds: int, user: str = "user_id", level: str = "level") -> DataFrame:
+    """Counters as they stand at the end of each interval: user, level, bucket, n."""
+    bucket = F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds")["start"].alias("bucket")
+    return violations.groupBy(user, level, bucket).agg(F.count("*").alias("n"))
 
 
 def escalate(violations: DataFrame, punish: DataFrame, seconds: int, order: tuple[str, ...] = ("ts",), user: str = "user_id", level: str = "level") -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions.charmap import CharMap
 from ..functions.markup import visible
 from ..functions.matching import GapLimits, Rules, contains_word, mask_raw_suffix, mask_suffix, redact, reverse_word
 from ..functions.units import to_units
+from .detect import redact_messages
 
 IDLE_MS = 60_000
 
@@ -172,3 +173,16 @@ def track_messages(messages: DataFrame, config: EngineConfig, user: str = "user_
             yield pd.concat([b.drop(columns=["_ms", "_reset"]), out], axis=1)
 
     return d.mapInPandas(run, f"{fields}, {TRACKED}")
+
+
+def shout_messages(messages: DataFrame, online: DataFrame, config: EngineConfig, user: str = "user_id", text: str = "text", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """The entry for other programs: senders that are online are tracked; for others a message is redacted on its own and
+    nothing is reported. online: a column of users; it may be any size, so the join is left to the optimizer."""
+    here = online.select(F.col(user)).distinct().withColumn("_here", F.lit(True))
+    d = messages.join(here, user, "left")
+    tracked = track_messages(d.where(F.col("_here")).drop("_here").select(*messages.columns), config, user, text, order)
+    alone = redact_messages(d.where(F.col("_here").isNull()).select(*messages.columns), config, text)
+    none = F.lit(None).cast("string")
+    quiet = F.array().cast("array<struct<word:string,level:string>>")
+    alone = alone.select(*messages.columns, "filtered", none.alias("hit_word"), none.alias("hit_level"), F.lit(False).alias("crossed"), quiet.alias("detected"))
+    return tracked.unionByName(alone)

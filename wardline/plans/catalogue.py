@@ -364,6 +364,19 @@ def cross_message(spark, d):
     return out.where("hit_word is not null").select("user_id", "seq", "hit_word", "hit_level", "crossed", "filtered")
 
 
+def shout_api(spark, d):
+    """Conversations of users that are online (those with a customer of their number) are tracked, others only redacted."""
+    chat = sources.conversations_as_chat(_t(spark, d, "conversations"))
+    online = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
+    out = track.shout_messages(chat, online, demo.CHAT)
+    return out.select("user_id", "seq", "filtered", "hit_word", "crossed")
+
+
+def violation_counts(spark, d):
+    out = alerts.violation_counts(_violations(spark, d), 86400)
+    return out.select("user_id", "level", F.date_format("bucket", "yyyy-MM-dd").alias("day"), "n")
+
+
 def signs(spark, d):
     """Conversations as signs: lines one by one and combined."""
     p = _pages_of(spark, d)
@@ -397,11 +410,11 @@ def chat_union(spark, d):
     return sources.union(chat, shout, item).groupBy("surface").agg(F.count("*").alias("n"))
 
 
-_NO_SQL = (redact_fuzzy, redact_pass, contains_any, redact_one_word, markup_detect, visible_text, normalize_text, position_map, styled_text, cross_message, signs, books, item_names, sql_redact)
+_NO_SQL = (redact_fuzzy, redact_pass, contains_any, redact_one_word, markup_detect, visible_text, normalize_text, position_map, styled_text, cross_message, shout_api, signs, books, item_names, sql_redact)
 _WITH_SQL = (
     exact_flag, exact_count_by_level, exact_positions, fuzzy_flag, fuzzy_gap_classes, compressed_flag, reverse_flag, allowlist_anti, nonoverlap_select, strip_codes, canonical_hex, strip_tags,
     strip_everything, any_tags, charmap_fold, class_counts, compress_text, redact_exact, detected_agg, first_detection, limits_default_join, lexicon_size, route_commands, extract_args,
-    rebuild_command, combine_parts, split_parts, merge_detections, suffix_mask, escalation, punish_actions, violation_numbers, render_alert, player_warning, admin_fanout, context_fallback,
+    rebuild_command, combine_parts, split_parts, merge_detections, suffix_mask, escalation, punish_actions, violation_numbers, violation_counts, render_alert, player_warning, admin_fanout, context_fallback,
     permission_filter, sender_online, chat_union,
 )
 

@@ -147,6 +147,7 @@ FROM (SELECT *, list_min(list_filter(range(1, least(length(text), 8) + 1), lambd
     "escalation": _escalation(_day),
     "punish_actions": _escalation(_fifteen),
     "violation_numbers": f"SELECT level, max(number) AS most, CAST(sum(number) AS BIGINT) AS total FROM (SELECT level, row_number() OVER (PARTITION BY user_id, level, {_day} ORDER BY ts, event_id) AS number FROM ({_events})) GROUP BY level",
+    "violation_counts": f"SELECT user_id, level, strftime({_day}, '%Y-%m-%d') AS day, count(*) AS n FROM ({_events}) GROUP BY ALL",
     "render_alert": f"SELECT doc_id AS msg_id, {_admin_text} AS text FROM ({_found})",
     "player_warning": f"SELECT doc_id AS msg_id, CAST(doc_id AS VARCHAR) AS user_id, 'player' AS audience, CASE WHEN levels[1] = 'level-1' THEN {q(_catalog['levels.level-1.player-warning'])} ELSE {q(_catalog['warnings.player-warning'])} END AS text FROM ({_found})",
     "admin_fanout": f"SELECT n_name AS audience, (SELECT count(*) FROM ({_found})) AS n FROM nation",
