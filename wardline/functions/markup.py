@@ -211,21 +211,27 @@ STYLE_CODES = {
 }
 
 
-def styled_runs(text: str) -> list[tuple[str, str]]:
-    """(text, style) runs: a tag adds its code (a colour or a reset starts anew), any closing tag resets, unknown tags go."""
-    out, style, done = [], "", 0
+_STYLE_TAG = re.compile(r"</?([a-zA-Z0-9_]+)(?::[^>]*)?>")
 
-    def put(piece: str):
-        if piece:
-            out.append((piece, style))
 
-    for m in re.finditer(r"<(/?)([a-zA-Z0-9_]+)(?::[^>]*)?>", text):
-        put(text[done : m.start()])
-        done = m.end()
-        code = STYLE_CODES.get(m[2].lower())
-        if m[1] or code == "r":
-            style = ""
-        elif code:
-            style = code if code in "0123456789abcdef" else style + code
-    put(text[done:])
+def to_style_codes(text: str) -> str:
+    """Tags as section-sign codes: closing ones reset, unknown ones go."""
+    return _STYLE_TAG.sub(lambda m: "§r" if m[0].startswith("</") else f"§{STYLE_CODES[m[1]]}" if m[1] in STYLE_CODES else "", text)
+
+
+def styled_runs(text: str) -> list[tuple[str, str]]:
+    """(text, style) runs. A style is its colour, if any, and its decorations in alphabetical order; colours replace colours,
+    decorations add up, a reset ends both, and a code that is none is passed over."""
+    out, colour, marks = [], "", set()
+    first, *rest = re.split("§(?=.)", to_style_codes(text), flags=re.S)
+    pieces = [("", first), *((x[0].lower(), x[1:]) for x in rest)]
+    for code, piece in pieces:
+        if code == "r":
+            colour, marks = "", set()
+        elif code and code in "0123456789abcdef":
+            colour = code
+        elif code and code in "klmno":
+            marks = marks | {code}
+        if piece:
+            out.append((piece, colour + "".join(sorted(marks))))
     return out
