@@ -125,7 +125,7 @@ def test_markup():
     assert markup.split_any_tags("a<x:1>b") == ["a", "<x:1>", "b"]
     assert markup.first_plain_colon("'a:b':c") == 5 and markup.first_plain_colon("abc") == -1 and markup.first_plain_colon("'a:b") == -1
     assert markup.styled_runs("<red>a<bold>b<blue>c</bold>d") == [("a", "c"), ("b", "cl"), ("c", "9l"), ("d", "")]
-    assert markup.styled_runs("a§Lb§zc§") == [("a", ""), ("b", "l"), ("c§", "l")] and markup.styled_runs("") == []
+    assert markup.styled_runs("a§Lb§zc§") == [("a", ""), ("b", "l"), ("c§", "l")] and markup.styled_runs("") == [] and markup.styled_runs("a§§b") == [("a", ""), ("b", "")] and markup.styled_runs("<c:1>x") == [("<c:1>x", "")]
     depth = "<click:" * 8 + "x" + ">" * 8
     assert isinstance(markup.visible(depth), str)
     assert re.compile(markup.TAG).search('<red:"' + "\\" * 40) is None  # no runaway backtracking

@@ -211,7 +211,7 @@ STYLE_CODES = {
 }
 
 
-_STYLE_TAG = re.compile(r"</?([a-zA-Z0-9_]+)(?::[^>]*)?>")
+_STYLE_TAG = re.compile("</?([a-zA-Z0-9_]+)>")
 
 
 def to_style_codes(text: str) -> str:
@@ -222,16 +222,23 @@ def to_style_codes(text: str) -> str:
 def styled_runs(text: str) -> list[tuple[str, str]]:
     """(text, style) runs. A style is its colour, if any, and its decorations in alphabetical order; colours replace colours,
     decorations add up, a reset ends both, and a code that is none is passed over."""
-    out, colour, marks = [], "", set()
-    first, *rest = re.split("§(?=.)", to_style_codes(text), flags=re.S)
-    pieces = [("", first), *((x[0].lower(), x[1:]) for x in rest)]
-    for code, piece in pieces:
+    out, colour, marks, piece = [], "", set(), ""
+
+    def put():
+        if piece:
+            out.append((piece, colour + "".join(sorted(marks))))
+
+    for m in re.finditer(r"§(.)|§\Z|[^§]+", to_style_codes(text), re.S):
+        if m[1] is None:
+            piece += m[0]
+            continue
+        put()
+        piece, code = "", m[1].lower()
         if code == "r":
             colour, marks = "", set()
-        elif code and code in "0123456789abcdef":
+        elif code in "0123456789abcdef":
             colour = code
-        elif code and code in "klmno":
+        elif code in "klmno":
             marks = marks | {code}
-        if piece:
-            out.append((piece, colour + "".join(sorted(marks))))
+    put()
     return out
