@@ -95,6 +95,8 @@ def test_vectors(spark):
     d = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, root string")
     for tile in (64, 2048):
         assert sorted(map(tuple, vectors.link_vectors(d, tile=tile).collect())) == brute_vectors(rows)
+    wide = d.withColumn("embedding", d.embedding.cast("array<double>"))
+    assert sorted(map(tuple, vectors.link_vectors(wide).collect())) == brute_vectors(rows)
     assert vectors.link_vectors(spark.createDataFrame([], d.schema)).count() == 0
     assert [tuple(r) for r in vectors.link_vectors(d.where("vec_id = 2000")).collect()] == [(2000, 0, 2000, True)]
 

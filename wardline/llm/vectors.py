@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import attach_by_key, components, cut, table
 
-TILE = 2048
+TILE = 4096
 BLOCK = 256
 LEADING = 8
 FAN = 8
@@ -153,7 +153,9 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tile: int = TILE) ->
     with nothing and is its own component. Rows that repeat a vec_id are vectors of their own and link if they are alike;
     a null id is only given back, never a component's name. Empty input gives an empty result.
     """
-    v = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").alias("v"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, dtype = ("array<float>", np.float32) if single else ("array<double>", np.float64)
+    v = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast(kind).alias("v"))
     sizes = v.where(_usable(F.col("v")) & F.col("vec_id").isNotNull()).groupBy(F.size("v").alias("n")).count()
     common = sizes.orderBy(F.desc("count"), "n").first()
     alone = lambda d: d.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -178,7 +180,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tile: int = TILE) ->
                 cells = np.floor(unit(_matrix(b.column(1))) @ axes[:, :lead] / eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(cells))], ["vec_id", "v", "n", "cell"])
 
-    gridded = reps.select("vec_id", "v", "n").mapInArrow(to_cells, "vec_id bigint, v array<float>, n bigint, cell array<int>")
+    gridded = reps.select("vec_id", "v", "n").mapInArrow(to_cells, f"vec_id bigint, v {kind}, n bigint, cell array<int>")
     count = reps.count()
     # The sequence in grid order, cut into tiles: ranges of the order, then runs of `tile` rows within a range.
     ranges = max(1, -(-count // (2 * tile)))
@@ -200,7 +202,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tile: int = TILE) ->
                 x = unit(head[1]) @ axes
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part << 32 | k], pa.int64()), pa.array([head[0].tobytes()]), pa.array([head[1].astype(np.float32).tobytes()]),
+                        pa.array([part << 32 | k], pa.int64()), pa.array([head[0].tobytes()]), pa.array([head[1].astype(dtype).tobytes()]),
                         pa.array([head[2].tobytes()]), pa.array([x.min(0)]), pa.array([x.max(0)]),
                     ],
                     ["tile", "ids", "vs", "ns", "lo", "hi"],
@@ -224,7 +226,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tile: int = TILE) ->
         order = np.argsort(t.column("tile").to_numpy())
         parts = []
         for i in order:
-            m = np.frombuffer(t.column("vs")[int(i)].as_py(), np.float32).reshape(-1, dim).astype(np.float64)
+            m = np.frombuffer(t.column("vs")[int(i)].as_py(), dtype).reshape(-1, dim).astype(np.float64)
             parts.append((np.frombuffer(t.column("ids")[int(i)].as_py(), np.int64), m, np.frombuffer(t.column("ns")[int(i)].as_py(), np.int64)))
         a, b = parts[0], parts[1] if len(parts) > 1 else (None, None, None)
         links, roots = join_tiles(a[1], b[1], axes, a[2], b[2], cosine, eps)
