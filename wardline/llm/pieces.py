@@ -314,14 +314,13 @@ class PieceEncoder:
         order, key = suffix_array(codes, v.longest)
         lo, hi = ranges(v, order, key)
         count = np.where(v.usable, hi - lo, 0)
-        piece = np.repeat(np.arange(len(count)), count)
-        skip = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-        begin = order[lo[piece] + skip]
-        end = begin + v.lengths[piece]
+        # Edges are several times the text: 32-bit numbers do, as an index covers a slice.
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        begin = order.astype(np.int32)[_ranges_of(lo, count)]
+        end = begin + v.lengths.astype(np.int32)[piece]
         # Edges by how far into its part each one ends: all parts are relaxed side by side.
         first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        owner = np.repeat(np.arange(len(parts)), sizes + 1)
-        depth = end - first[owner[begin]]
+        depth = end - np.repeat(first, sizes + 1).astype(np.int32)[begin]
         by_depth = np.argsort(depth)
         begin, end, piece, depth = begin[by_depth], end[by_depth], piece[by_depth], depth[by_depth]
         is_first = np.zeros(len(text) + 1, bool)
