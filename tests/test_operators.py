@@ -1,6 +1,7 @@
 """Operators on small tables: detection against the kernel, routing, parts, tracking, alerts, SQL functions, streams."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ def chat(spark, rows):
 
 
 def test_redact_messages_equals_kernel(spark):
-    texts = ["fuck", None, "", "f.u.c.k", "hello", "&cfu<b>ck</b>", "ｆｕｃｋ", "kcuf 😀", "fffuck", "f" * 2000]
+    rng = random.Random(6)
+    texts = ["fuck", None, "", "f.u.c.k", "hello", "&cfu<b>ck</b>", "ｆｕｃｋ", "kcuf 😀", "fffuck", "f" * 2000, "FÜCK", "ªfuck", "fu\u00a0ck", "f中uck", "f中中中中uck"]
+    texts += ["".join(rng.choice("fuckFUCK.éß«-\n  ") for _ in range(rng.choice([6, 15, 60]))) for _ in range(400)]
     df = detect.redact_messages(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string"), CHAT)
     for r in df.collect():
         d = redact(texts[r.id], CHAT.rules())

@@ -92,10 +92,14 @@ def _unit(c: str) -> str:
     return re.escape(c) if c.isascii() else c
 
 
+def embedding_pattern(word: str, most: int) -> str:
+    """The earliest embedding of a word with at most so many characters in each gap; it never backtracks into a gap."""
+    return _unit(word[0]) + "".join((f"[^{_unit(c)}]{{0,{most}}}" if most else "") + _unit(c) for c in word[1:])
+
+
 def gap_pattern(word: str, limits: GapLimits) -> str:
     """Look-ahead with the earliest embedding of a word from each start; windows are filtered by gap_matches."""
-    body = _unit(word[0]) + "".join(f"[^{_unit(c)}]{{0,{limits.most}}}{_unit(c)}" for c in word[1:])
-    return f"(?s)(?=({body}))"
+    return f"(?s)(?=({embedding_pattern(word, limits.most)}))"
 
 
 def gap_matches(text, word: str, limits: GapLimits) -> Column:

@@ -96,6 +96,18 @@ def normalize_each(shown: str, charmap: CharMap) -> tuple[str, list[int]]:
 
 
 def normalize_word(word: str, charmap: CharMap) -> str:
+    known = _normal_words.get((word, id(charmap)))
+    if known is None:
+        if len(_normal_words) > 100_000:
+            _normal_words.clear()
+        known = _normal_words[word, id(charmap)] = (_normalize_word(word, charmap), charmap)
+    return known[0]
+
+
+_normal_words: dict = {}  # a word's form and its map, which is kept so that its identity stays its own
+
+
+def _normalize_word(word: str, charmap: CharMap) -> str:
     return charmap.normalize(to_units(unicodedata.normalize("NFKC", from_units(visible(to_units(word)))).lower()))
 
 
@@ -199,12 +211,17 @@ def contains_word(text: str | None, word: str | None, limits: GapLimits = GapLim
 
 
 def contains_any(text: str | None, rules: Rules) -> bool:
-    """Any word of the rules, as it is or reversed."""
-    return any(
-        contains_word(text, w, limits, rules.fuzzy, rules.allow, rules.charmap)
-        for word, _, limits, both in rules.words
-        for w in ([word, reverse_word(word)] if both and len(to_units(word)) >= 2 else [word])
-    )
+    """Any word of the rules, as it is or reversed; the text is normalised once."""
+    if not text:
+        return False
+    t = Text(normalize_whole(text), rules.allow, rules.charmap)
+    have = set(t.text)
+    for word, _, limits, both in rules.words:
+        for spelling in [word, reverse_word(word)] if both and len(to_units(word)) >= 2 else [word]:
+            needle = normalize_whole(spelling)
+            if needle and set(needle) <= have and any(not t.covered(p[0], p[-1] + 1) for p in spans(t, needle, limits, rules.fuzzy)):
+                return True
+    return False
 
 
 def candidates(t: Text, rules: Rules) -> list[Match]:

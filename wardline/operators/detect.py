@@ -1,8 +1,9 @@
 """Detection and redaction over DataFrames.
 
 The kernel runs over Arrow batches; what goes there is first narrowed by a native condition, and rows that cannot match
-are passed as nulls, which cost nothing. The condition is sound: a match needs every character of some word, in a text
-that normalisation leaves as it is; texts with markup or beyond ASCII always go to the kernel.
+are passed as nulls, which cost nothing. The condition is sound: in a text that normalisation leaves as it is but for case,
+a match is an embedding of some word with gaps of at most the largest limit, as the text stands or with repeats taken
+together; texts with markup or other characters always go to the kernel.
 """
 
 from __future__ import annotations
@@ -14,34 +15,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions import columns as C
+from ..functions.columns import embedding_pattern
 from ..functions.matching import Rules, contains_any, normalize_word, redact, redact_once, redact_word
 
 DETECTION = "filtered string, detected array<struct<word:string,level:string>>"
 
 
+#: Characters that normalisation leaves alone but for their case; everything else, and markup, is for the kernel.
+PLAIN = r"\x00-\x7FÀ-ÿ¡¿«»©®°"
+MOST_PATTERNS = 400
+
+
+def _patterns(rules: Rules) -> list[str]:
+    """For each spelling of each word a pattern that finds it, or more: every gap may be as long as the largest limit."""
+    out = []
+    for word, _, limits, both in rules.words:
+        for spelling in [word, word[::-1]] if both else [word]:
+            needle = normalize_word(spelling, rules.charmap)
+            if needle:
+                out.append(embedding_pattern(needle, limits.most if rules.fuzzy else 0))
+    return list(dict.fromkeys(out))
+
+
 def may_match(text, rules: Rules) -> Column:
-    """False only where the kernel would find nothing."""
+    """False only where the kernel would find nothing: one scan for all words, and one more with repeats taken together."""
     t = F.col(text) if isinstance(text, str) else text
-    low = F.lower(t)
-    tests = []
-    for word, _, _, both in rules.words:
-        needle = normalize_word(word, rules.charmap)
-        if not needle:
-            continue
-        if rules.fuzzy:
-            every = [F.contains(low, F.lit(c)) for c in sorted(set(needle))]
-            test = every[0]
-            for x in every[1:]:
-                test = test & x
-        else:
-            test = F.contains(low, F.lit(needle))
-            if both:
-                test = test | F.contains(low, F.lit(needle[::-1]))
-        tests.append(test)
-    hit = F.lit(False)
-    for x in tests:
-        hit = hit | x
-    return t.rlike(r"[^\x00-\x7F]|[<&]") | hit
+    low = C.fold(F.lower(t), rules.charmap)
+    patterns = _patterns(rules)
+    if not patterns:
+        return F.lit(False)
+    if len(patterns) > MOST_PATTERNS:  # too long an alternation: then the kernel sees every text
+        return t.isNotNull()
+    every = "(?s)" + "|".join(patterns)
+    hit = low.rlike(every)
+    if rules.fuzzy:
+        hit = hit | C.compress(low).rlike(every)
+    return t.rlike(f"[^{PLAIN}]|[<&§]") | hit
 
 
 def detection(text, rules: Rules, recheck: bool = True) -> Column:
