@@ -21,3 +21,8 @@ def test_runs(name, spark, sf):
 def test_scans_are_narrow(spark, sf):
     plan = QUERIES["exact_count_by_level"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_the_kernel_runs_once(spark, sf):
+    plan = QUERIES["redact_fuzzy"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

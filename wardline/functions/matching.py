@@ -1,8 +1,8 @@
 """The central operator: words found exactly, with gaps, through repeated characters and reversed; masked to a fixpoint.
 
 Pure Python on text units. A gap match from s is the earliest embedding of the word that starts there; it holds if no class
-of gap characters exceeds its limit and all of them together do not exceed the largest limit. Class counts come from prefix
-sums over the text, so a start costs one `find` for each character of the word.
+of gap characters exceeds its limit and all of them together do not exceed the largest limit. A start costs one `find` for
+each character of the word; classes are counted only in windows that hold it.
 """
 
 from __future__ import annotations
@@ -121,6 +121,9 @@ def compress(text: str) -> tuple[str, list[int]]:
     return "".join(text[i] for i in starts), starts
 
 
+_RUN = re.compile(r"(.)\1+", re.S)
+
+
 class Text:
     """A normalised text with what its matches share: prefix counts of classes and allow-listed intervals."""
 
@@ -129,6 +132,7 @@ class Text:
         self._covers = None
         self._counts = None
         self._compressed = None
+        self._starts = None
 
     def covered(self, start: int, end: int) -> bool:
         """Whether an allow-listed word holds all of the interval."""
@@ -147,12 +151,28 @@ class Text:
             self._counts = tuple([0, *accumulate(k == which for k in kinds)] for which in (CHINESE, ENGLISH))
         return self._counts
 
-    def compressed(self) -> tuple[Text, list[int]]:
+    def compressed(self) -> Text:
+        """The text with runs taken together; itself if it has none. Where runs start is asked for only where one matches."""
         if self._compressed is None:
-            short, starts = compress(self.text)
-            self._compressed = Text(short, (), self.charmap), starts
+            short = _RUN.sub(r"\1", self.text)
+            self._compressed = self if len(short) == len(self.text) else Text(short, (), self.charmap)
         return self._compressed
 
+    def run_starts(self) -> list[int]:
+        if self._starts is None:
+            self._starts = compress(self.text)[1]
+        return self._starts
+
+    def gaps(self, start: int, end: int, own: tuple[int, int], size: int) -> tuple[int, int, int]:
+        """Gap characters by class in a window that holds a word of `size` characters, `own` of them Chinese and English."""
+        if end - start <= 64:
+            kinds = [self.charmap.classify(c) for c in self.text[start:end]]
+            chinese, english = kinds.count(CHINESE) - own[0], kinds.count(ENGLISH) - own[1]
+        else:
+            c, e = self.counts()
+            chinese, english = c[end] - c[start] - own[0], e[end] - e[start] - own[1]
+        return chinese, english, end - start - size - chinese - english
+
 
 def exact_spans(t: Text, word: str):
     at = t.text.find(word)
@@ -179,10 +199,7 @@ def gap_spans(t: Text, word: str, limits: GapLimits):
                 if own is None:
                     kinds = [t.charmap.classify(c) for c in word]
                     own = kinds.count(CHINESE), kinds.count(ENGLISH)
-                chinese, english = t.counts()
-                gap_c = chinese[end] - chinese[start] - own[0]
-                gap_e = english[end] - english[start] - own[1]
-                gap_o = end - start - len(word) - gap_c - gap_e
+                gap_c, gap_e, gap_o = t.gaps(start, end, own, len(word))
                 if gap_c <= limits.chinese and gap_e <= limits.english and gap_o <= limits.others:
                     yield tuple(places)
             else:
@@ -196,10 +213,10 @@ def spans(t: Text, word: str, limits: GapLimits, fuzzy: bool):
         yield from exact_spans(t, word)
         return
     yield from gap_spans(t, word, limits)
-    short, starts = t.compressed()
-    if set(word) <= set(short.text):
+    short = t.compressed()
+    if short is not t:  # without runs the same matches would only come twice
         for places in gap_spans(short, word, limits):
-            yield tuple(starts[p] for p in places)
+            yield tuple(t.run_starts()[p] for p in places)
 
 
 def contains_word(text: str | None, word: str | None, limits: GapLimits = GapLimits(), fuzzy: bool = True, allow: Sequence[str] = (), charmap: CharMap = CharMap()) -> bool:

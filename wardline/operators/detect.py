@@ -65,7 +65,8 @@ def detection(text, rules: Rules, recheck: bool = True) -> Column:
             yield pd.DataFrame({"filtered": [d and d.filtered for d in found], "detected": [d and [{"word": w, "level": x} for w, x in d.found] for d in found]})
 
     t = F.col(text) if isinstance(text, str) else text
-    return kernel(F.when(may_match(t, rules), t))
+    # Not that it were random: a condition on the result must not make the optimizer run the kernel a second time.
+    return kernel.asNondeterministic()(F.when(may_match(t, rules), t))
 
 
 def redact_messages(messages: DataFrame, config: EngineConfig, text: str = "text", recheck: bool = True) -> DataFrame:
