@@ -66,6 +66,41 @@ def test_groups_stay_together(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
 
 
+def shards_of(got):
+    where = {}
+    for r in got:
+        where.setdefault(r.text_crc32, Counter())[r.shard] += 1
+    return where
+
+
+def test_groups_up_to_a_quota_are_not_cut(spark):
+    # quota 100: groups of 100, 99, 60 and 30 fit whole; one of 250 needs three shards and no more
+    sizes = [100, 99, 99, 60, 60, 30, 30, 30, 250]
+    texts = [f"group {i}" for i, n in enumerate(sizes) for _ in range(n)] + [f"pair {i // 2}" for i in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts + [f"single {i}" for i in range(2400 - len(texts))])]
+    got = sharding.shard_documents(table(spark, rows)).collect()
+    assert set(Counter(r.shard for r in got).values()) == {100}
+    where = shards_of(got)
+    for i, n in enumerate(sizes):
+        held = where[zlib.crc32(f"group {i}".encode())]
+        assert sum(held.values()) == n and len(held) == -(-n // 100), (n, held)
+    assert all(len(where[zlib.crc32(f"pair {i}".encode())]) == 1 for i in range(300))
+
+
+def test_groups_that_fit_nowhere_whole_stay_close(spark):
+    # 40 groups of 60 rows, quota 100: 24 fit whole, the others fill the 24 gaps of 40, each gap edge cutting one group
+    rows = [(i, f"group {i // 60}") for i in range(2400)]
+    got = sharding.shard_documents(table(spark, rows)).collect()
+    counts = Counter(r.shard for r in got)
+    assert set(counts.values()) == {100}
+    for s in counts:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(100))
+    held = [len(x) for x in shards_of(got).values()]
+    assert held.count(1) >= 24 and sum(held) <= 40 + 23
+    alone = sharding.shard_documents(table(spark, [(i, "same") for i in range(245)])).collect()
+    assert max(Counter(r.shard for r in alone).values()) == 11 and {r.group_rows for r in alone} == {245}
+
+
 # Vectors
 
 

@@ -2,12 +2,14 @@
 
 Documents with equal texts are linked through their group. Every document starts with a hashed shard label;
 groups then vote, documents move to the label most of their neighbours hold, and capacity quotas limit what a
-shard may take in a round. What is refused tries a shard with room in the next round. At the end documents
-without links fill the shards to counts that differ by one at most (the law `rows`).
+shard may take in a round. What is refused tries a shard with room for it in the next round, first one that holds other
+documents of its group. What fits nowhere whole is laid out group after group over the room that is left, and
+documents without links fill the shards to counts that differ by one at most (the law `rows`).
 
 Scale: a row's group is only ever handled as (group, salt), so a group that holds a third of all rows is spread
-over 64 pieces; votes are pre-aggregated before each shuffle; a group larger than a quarter of a shard is cut
-into blocks that move on their own. What reaches the driver is one row for each shard and round.
+over 64 pieces; votes are pre-aggregated before each shuffle. Only a group larger than a shard's quota is cut, into
+blocks of a whole quota and a rest: runs of its documents in the order of (salt, doc_id). What reaches the driver is one
+row for each shard and round.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 SALTS = 64
-CELLS = 256
+CELLS = 64
 BUCKETS = 1024
+LARGE = 16  # blocks of more than a LARGEth of a quota are placed before all others
 
 
 def _lookup(cumulative: list[int], value):
@@ -29,6 +32,57 @@ def _lookup(cumulative: list[int], value):
     return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cumulative]), lambda c: c <= value))
 
 
+def _pick(values: list[int], index):
+    return F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), (index + 1).cast("int"))
+
+
+def _settle(blocks: DataFrame, load: list[int], quota: int, rounds: int, ranked: bool) -> DataFrame:
+    """Rounds of letting in and moving on, until all blocks are settled or fit nowhere whole; `load` is brought up to date.
+
+    `ranked`: refused blocks, few by then, are dealt to the shards by size; otherwise each is hashed over the free room.
+    """
+    n_shards = len(load)
+    for r in range(rounds):
+        # Quotas: in each shard blocks are let in by cell, larger ones first, while the count stays within the quota.
+        w = Window.partitionBy("label").orderBy("cell")
+        waiting = blocks.where("not settled").groupBy("label", "cell").agg(F.sum("rows").alias("rows"))
+        granted = (
+            waiting.withColumn("sum", F.sum("rows").over(w))
+            .where(F.col("sum") <= _pick([quota - x for x in load], F.col("label")))
+            .groupBy("label")
+            .agg(F.max("cell").alias("cell"), F.max("sum").alias("rows"))
+            .collect()  # one row for each shard at most
+        )
+        limit = [-1] * n_shards
+        for row in granted:
+            limit[row["label"]] = row["cell"]
+            load[row["label"]] += row["rows"]
+        done = blocks.withColumn("settled", F.col("settled") | (F.col("cell") <= _pick(limit, F.col("label"))))
+
+        # Shards by free room, most first: those that can take a block whole are the first `fit` of them.
+        free = [quota - x for x in load]
+        order = sorted(range(n_shards), key=lambda s: (-free[s], s))
+        bounds = list(accumulate(free[s] for s in order))
+        fit = F.size(F.filter(F.array(*[F.lit(free[s]).cast("long") for s in order]), lambda f: f >= F.col("rows")))
+        if ranked:
+            turn = F.row_number().over(Window.partitionBy("settled").orderBy(F.desc("rows"), "g", "start")) - 1
+            place = F.pmod(turn, F.greatest(fit, F.lit(1)))
+        else:
+            total = F.greatest(_pick([0, *bounds], fit), F.lit(1))
+            place = F.least(_lookup(bounds, F.pmod(F.xxhash64("g", "start", F.lit(r)), total)), F.lit(n_shards - 1))
+        kin = done.where("settled and parts > 1").groupBy("g").agg(F.sort_array(F.collect_set("label")).alias("kin"))
+        near = F.get(F.filter("kin", lambda s: _pick(free, s) >= F.col("rows")), F.lit(0))
+        moved = done.join(kin, "g", "left").withColumn("place", place)
+        blocks = cut(
+            moved.withColumn(
+                "label", F.when(F.col("settled"), F.col("label")).otherwise(F.coalesce(near, _pick(order, F.col("place")))).cast("int")
+            ).drop("kin", "place")
+        )
+        if blocks.where((~F.col("settled")) & (F.col("rows") <= max(free))).isEmpty():
+            break
+    return blocks
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 8, seed: int = 7) -> DataFrame:
     """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows, linked.
 
@@ -48,80 +102,60 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 8, seed:
     )
     n_rows = base.count()
     quota, extra = divmod(n_rows, n_shards)
-    block_rows = max(1, quota // 4)
+    block_rows = max(1, quota)
 
-    # Votes: (group, salt, label) pre-aggregated; a group then has at most SALTS * n_shards rows.
-    votes = base.groupBy("g", "salt", "start").agg(F.count("*").alias("c"))
-    pieces = votes.groupBy("g", "salt").agg(
-        F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("start", "c"))).alias("votes")
+    # Documents of a group by salt: at most SALTS rows a group.
+    of_group = Window.partitionBy("g")
+    before_salt = of_group.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = base.groupBy("g", "salt").agg(F.count("*").alias("c")).select(
+        "g", "salt", F.sum("c").over(of_group).alias("n"), F.coalesce(F.sum("c").over(before_salt), F.lit(0)).alias("offset")
     )
-    groups = (
-        pieces.groupBy("g")
-        .agg(F.sum("c").alias("n"), F.collect_list(F.struct("salt", "c", "votes")).alias("p"))
-        .where("n > 1")
-        .withColumn("k", F.least(F.lit(SALTS), F.ceil(F.col("n") / block_rows)).cast("int"))
-        .select("g", "n", "k", F.explode("p").alias("p"))
-        .select("g", "n", "p.salt", "p.c", "p.votes", F.floor(F.col("p.salt") * F.col("k") / SALTS).cast("int").alias("block"))
-    )
-    piece_table = cut(groups)
 
-    # Round 0: a block's label is that of most of its documents; ties go to the label a hash of the group prefers.
+    # Round 0: a group's label is that of most of its documents; ties go to the label a hash of the group prefers. Further
+    # blocks of a group take the labels next in number, as a shard holds one at most.
     first = (
-        piece_table.select("g", "block", F.explode("votes").alias("label", "v"))
-        .groupBy("g", "block", "label")
-        .agg(F.sum("v").alias("v"))
-        .groupBy("g", "block")
-        .agg(
-            F.sum("v").alias("rows"),
-            F.max_by("label", F.struct("v", F.xxhash64("g", "label"))).alias("label"),
-        )
+        base.groupBy("g", "start")
+        .agg(F.count("*").alias("v"))
+        .groupBy("g")
+        .agg(F.sum("v").alias("n"), F.sort_array(F.collect_list(F.struct("v", F.xxhash64("g", "start").alias("h"), F.col("start").alias("label"))), asc=False).alias("labels"))
+        .where("n > 1")
+        .withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
+        .select("g", "n", "parts", "labels", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     )
-    blocks = cut(
-        first.select(
-            "g", "block", "rows", "label", F.lit(False).alias("settled"),
-            ((63 - F.floor(F.log2("rows"))) * CELLS + F.pmod(F.xxhash64("g", "block"), F.lit(CELLS))).cast("int").alias("cell"),
-        )
+    blocks = first.select(
+        "g", "parts", (F.col("j").cast("long") * block_rows).alias("start"),
+        F.least(F.lit(block_rows).cast("long"), F.col("n") - F.col("j").cast("long") * block_rows).alias("rows"),
+        F.element_at("labels", F.pmod("j", F.size("labels")) + 1)["label"].alias("label"), F.lit(False).alias("settled"),
     )
+    cell = (252 - F.floor(4 * F.log2("rows"))) * CELLS + F.pmod(F.xxhash64("g", "start"), F.lit(CELLS))
+    blocks = cut(blocks.withColumn("cell", cell.cast("int")))
     load = [0] * n_shards
-    for r in range(rounds):
-        # Quotas: in each shard blocks are let in by cell, larger ones first, while the count stays within the quota.
-        w = Window.partitionBy("label").orderBy("cell")
-        waiting = blocks.where("not settled").groupBy("label", "cell").agg(F.sum("rows").alias("rows"))
-        room = F.element_at(F.array(*[F.lit(quota - x).cast("long") for x in load]), F.col("label") + 1)
-        granted = (
-            waiting.withColumn("sum", F.sum("rows").over(w))
-            .where(F.col("sum") <= room)
-            .groupBy("label")
-            .agg(F.max("cell").alias("cell"), F.max("sum").alias("rows"))
-            .collect()  # one row for each shard at most
-        )
-        if not granted and r:
-            break
-        limit = [-1] * n_shards
-        for row in granted:
-            limit[row["label"]] = row["cell"]
-            load[row["label"]] += row["rows"]
-        free = [quota - x for x in load]
-        bounds, total = list(accumulate(free)), max(1, sum(free))
-        allowed = F.element_at(F.array(*map(F.lit, limit)), F.col("label") + 1)
-        blocks = cut(
-            blocks.withColumn("settled", F.col("settled") | (F.col("cell") <= allowed)).withColumn(
-                "label",
-                F.when(F.col("settled"), F.col("label")).otherwise(
-                    F.least(_lookup(bounds, F.pmod(F.xxhash64("g", "block", F.lit(r)), F.lit(total))), F.lit(n_shards - 1))
-                ),
-            )
-        )
-        if blocks.where("not settled").isEmpty():
-            break
-
-    labels = piece_table.join(blocks.where("settled").select("g", "block", "label"), ["g", "block"], "left").select(
-        "g", "salt", "n", "label"
+    large = F.col("rows") * LARGE > quota  # fewer than LARGE * (n_shards + 1)
+    blocks = _settle(blocks.where(large), load, quota, rounds, True).unionByName(_settle(blocks.where(~large), load, quota, rounds, False))
+
+    # What is not settled lies in the order of groups before the documents without links, in two levels as the ranks below.
+    rest_of = Window.partitionBy("b").orderBy("g", "start").rowsBetween(Window.unboundedPreceding, -1)
+    left = cut(blocks.where("not settled").withColumn("b", F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).cast("int")))
+    n_left = left.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    starts = left.groupBy("b").agg(F.sum("rows").alias("c")).select(
+        "b", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o")
+    )  # at most BUCKETS rows
+    left = left.withColumn("fill", F.coalesce(F.sum("rows").over(rest_of), F.lit(0))).join(F.broadcast(starts), "b").select(
+        "g", "start", "rows", F.lit(n_shards + 1).alias("label"), (F.col("fill") + F.col("o")).alias("fill")
     )
-    placed = base.join(labels, ["g", "salt"], "left").select(
+    spans = blocks.where("settled").select("g", "start", "rows", "label", F.lit(0).cast("long").alias("fill")).unionByName(left)
+    spans = spans.groupBy("g").agg(F.collect_list(F.struct("start", "rows", "label", "fill")).alias("spans"))
+
+    labels = pieces.where("n > 1").join(spans, "g")
+    at = F.col("offset") + F.row_number().over(Window.partitionBy("g", "salt").orderBy("doc_id")) - 1
+    placed = base.join(labels, ["g", "salt"], "left").withColumn("at", at)
+    placed = placed.withColumn("span", F.filter("spans", lambda x: (x["start"] <= F.col("at")) & (F.col("at") < x["start"] + x["rows"])))
+    placed = placed.withColumn("span", F.get("span", F.lit(0)))
+    placed = placed.select(
         "doc_id", "size", "text_crc32",
         F.coalesce("n", F.lit(1)).alias("group_rows"),
-        F.coalesce("label", F.lit(n_shards)).alias("part"),
+        F.coalesce("span.label", F.lit(n_shards)).alias("part"),
+        (F.col("span.fill") + F.col("at") - F.col("span.start")).alias("fill"),
         F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(BUCKETS)).cast("int").alias("bucket"),
     )
     placed = cut(placed)
@@ -135,14 +169,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 8, seed:
     )
     inner = Window.partitionBy("part", "bucket").orderBy("doc_id", "text_crc32", "size")
     rest = [quota + (s < extra) - load[s] for s in range(n_shards)]
-    bounds = list(accumulate(rest))
+    order = sorted(range(n_shards), key=lambda s: (-rest[s], s))
+    bounds = list(accumulate(rest[s] for s in order))
     ranked = placed.withColumn("r", F.row_number().over(inner)).join(
-        F.broadcast(offsets), ["part", "bucket"]  # at most (n_shards + 1) * BUCKETS rows
+        F.broadcast(offsets), ["part", "bucket"]  # at most (n_shards + 2) * BUCKETS rows
     )
     ranked = ranked.withColumn("r", F.col("r") - 1 + F.col("offset"))
-    loose = F.col("part") == n_shards
-    into = _lookup(bounds, F.col("r"))
-    slot_base = F.array(*[F.lit(load[s] - (bounds[s] - rest[s])).cast("long") for s in range(n_shards)])
+    ranked = ranked.withColumn(
+        "r", F.when(F.col("part") == n_shards, F.col("r") + n_left).when(F.col("part") > n_shards, F.col("fill")).otherwise(F.col("r"))
+    )
+    loose = F.col("part") >= n_shards
+    into = _pick(order, _lookup(bounds, F.col("r")))
+    slot_base = F.array(*[F.lit(load[s] - (bounds[order.index(s)] - rest[s])).cast("long") for s in range(n_shards)])
     out = ranked.withColumn("shard", F.when(loose, into).otherwise(F.col("part")).cast("int"))
     return out.select(
         "doc_id",
