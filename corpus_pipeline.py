@@ -18,6 +18,8 @@ ORACLE_SQL = None  # learned models and piece ids are beyond SQL; tests hold the
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least 0.5, by a model fitted on the labels. Without labels of both kinds all stay."""
     model = quality.train_model(docs, common.table(spark, sf_dir, "labels"))
+    if not model.both:
+        return docs.select(*COLUMNS)
     return quality.score_documents(docs.select(*COLUMNS), model).where("score >= 0.5").select(*COLUMNS)
 
 

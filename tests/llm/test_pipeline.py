@@ -74,3 +74,15 @@ def test_odd_documents(spark, sf):
     for name, stage in cp.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_labels_of_one_kind_reject_nothing(spark, tmp_path, kind):
+    rows = [(i, f"some words number {i}", "en", "a", 20) for i in range(12)] + [(None, None, "en", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(i, kind) for i in range(12)]
+    for extra in ([], [(10**6 + i, 1 - kind) for i in range(9)]):  # then those of the other kind have no document
+        path = str(tmp_path / f"{len(extra)}")
+        spark.createDataFrame(labels + extra, "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+        kept = cp.keep_good(spark, docs, path)
+        assert tuple(kept.columns) == cp.COLUMNS and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))

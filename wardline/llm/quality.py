@@ -120,10 +120,14 @@ def _slices(data: np.ndarray, begin: int, end: int):
 
 @dataclass
 class QualityModel:
-    """weight: what a bucket adds to the log odds of label 1, before the mean; bias: the rest."""
+    """weight: what a bucket adds to the log odds of label 1, before the mean; bias: the rest.
+
+    both: whether it has learned from rows of both labels; otherwise its scores tell no text from another.
+    """
 
     weight: np.ndarray
     bias: float
+    both: bool = True
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Scores of the texts data[offsets[i]:offsets[i + 1]]; one without words has the prior's score."""
@@ -214,10 +218,12 @@ def train_model(docs: DataFrame, labels: DataFrame, per_label: int = 1500, most_
     texts, marks = [r[1].encode() for r in rows], [r[2] for r in rows]
     if not rows or not all(counts.get(q) for q in (0, 1)):
         only = 0.0 if not counts or not rows else (4.0 if counts.get(1) else -4.0)
-        return QualityModel(np.zeros(1 << BITS, np.float32), only)
+        return QualityModel(np.zeros(1 << BITS, np.float32), only, False)
     n1 = max(1, sum(marks))
     n0 = max(1, len(marks) - sum(marks))
-    return train(texts, marks, float(np.log(counts[1] / counts[0]) - np.log(n1 / n0)))
+    model = train(texts, marks, float(np.log(counts[1] / counts[0]) - np.log(n1 / n0)))
+    model.both = len(set(marks)) == 2
+    return model
 
 
 def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
