@@ -145,6 +145,16 @@ def test_model_adds_linked_spellings_only():
     assert pii.fit([]).skip == start.skip
 
 
+def test_model_decides_without_base_spans(spark):
+    t = "Call +1 (826) 555-4081 or 826 555 4081, mail Jo.Doe@mail.example.com or jo.doe@mail."
+    model = pii.fit([pii.nodes_of(t, pii.base_spans(t))] * 20)
+    texts = ["555-123-4567 then " * 3, "jo.doe@mail, " * 3, "lone 555-123-4567", "jo.doe@mail and 555-123-4567"]
+    base, every = pii.find_spans(texts, model)
+    assert base == [[], [], [], []] and [len(x) for x in every] == [3, 3, 0, 0]
+    rows = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [rows[i].n_added for i in range(4)] == [3, 3, 0, 0] and rows[0].n_phone == 0
+
+
 def test_find_personal_data(spark):
     d = table(spark, ODD)
     model = pii.train_model(d)

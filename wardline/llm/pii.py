@@ -102,6 +102,7 @@ def _shape(token: str) -> int:
 
 
 N_SHAPES = 6
+BATCH_NODES = 4096
 N_FEATURES = 1 + N_SHAPES + len(KINDS)
 
 
@@ -280,22 +281,28 @@ def find_spans(texts: list[str], model: SkipChainModel, sure: float = 0.8):
     base = [base_spans(t) for t in texts]
     lists, owners = [], []
     for i, (t, b) in enumerate(zip(texts, base)):
-        if b:
-            nodes = nodes_of(t, b)
-            if len(nodes) > len(b):
-                lists.append(nodes)
-                owners.append(i)
+        nodes = nodes_of(t, b)
+        if len(nodes) > max(len(b), 1):  # a lone token has nothing to support it
+            lists.append(nodes)
+            owners.append(i)
     every = [list(b) for b in base]
-    if lists:
-        p = model.marginals(*_assemble(lists))
-        at = 0
-        for i, nodes in zip(owners, lists):
-            for x, q in zip(nodes, p[at : at + len(nodes)]):
+    at = 0
+    while at < len(lists):
+        # A few thousand tokens at a time, so that memory follows the longest text; graphs are apart from each other.
+        upto, n = at + 1, len(lists[at])
+        while upto < len(lists) and n + len(lists[upto]) <= BATCH_NODES:
+            n += len(lists[upto])
+            upto += 1
+        p = model.marginals(*_assemble(lists[at:upto]))
+        first = 0
+        for i, nodes in zip(owners[at:upto], lists[at:upto]):
+            for x, q in zip(nodes, p[first : first + len(nodes)]):
                 k = int(q.argmax())
                 if x[2] is None and k and q[k] >= sure:
                     every[i].append((x[0], x[1], k - 1))
             every[i].sort(key=lambda s: (s[0], s[2]))
-            at += len(nodes)
+            first += len(nodes)
+        at = upto
     return base, every
 
 
