@@ -270,6 +270,14 @@ def test_archives(spark, least):
     assert warc.round_trip(spark.createDataFrame([], d.schema)).count() == 0
 
 
+def test_archives_keep_ids_of_any_bigint(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    d = spark.createDataFrame([(least, "u", "a"), (10**18, "u", "b"), (most, "u", "b"), (most - 1, "u", "a")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.refers_to) for r in warc.round_trip(d).collect())
+    assert [x[0] for x in got] == [least, 10**18, most - 1, most] and [x[1] for x in got] == [None, None, least, 10**18]
+    assert warc._number(b"9223372036854775808") is None and warc._number(b"-9223372036854775809") is None and warc._number(b"1x") is None
+
+
 def test_only_reachable_records_count():
     body = EVIL.encode()
     one = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)

@@ -130,7 +130,9 @@ def reachable(at: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 def _number(x):
-    return int(x) if x is not None and re.fullmatch(rb"-?[0-9]{1,18}", x) else None
+    """The bigint that a header's value names; None for anything else."""
+    n = int(x) if x is not None and re.fullmatch(rb"-?[0-9]{1,19}", x) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
 RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, digest_ok boolean"
