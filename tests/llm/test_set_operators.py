@@ -136,6 +136,15 @@ def test_vectors(spark):
     assert [tuple(r) for r in vectors.link_vectors(d.where("vec_id = 2000")).collect()] == [(2000, 0, 2000, True)]
 
 
+def test_vectors_of_each_length_link(spark):
+    rows = [(i, [1.0, float(i), 2.0]) for i in range(1, 6)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [-1.0, 2.0]), (13, [1.0] * 4), (14, [1.0] * 4), (15, [1.0]), (16, [0.0, 0.0]), (17, None)]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, root string")
+    got = {r.vec_id: tuple(r)[1:] for r in vectors.link_vectors(d).collect()}
+    want = {i: (n, c, k) for i, n, c, k in brute_vectors(rows[:5])}
+    want |= {10: (1, 10, True), 11: (1, 10, False), 13: (1, 13, True), 14: (1, 13, False)} | {i: (0, i, True) for i in (12, 15, 16, 17)}
+    assert got == want
+
+
 def test_tiles_prune(spark):
     lo = [[float(10 * i), 0.0] for i in range(20)]
     d = spark.createDataFrame([(i, x, [x[0] + 1, 1.0]) for i, x in enumerate(lo)], "tile long, lo array<double>, hi array<double>")

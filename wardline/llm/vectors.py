@@ -149,22 +149,26 @@ def join_tiles(va: np.ndarray, vb: np.ndarray | None, axes: np.ndarray, weight_a
 def link_vectors(vectors: DataFrame, cosine: float = 0.95, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
-    A vector that is null, empty or zero, holds null or non-finite components, or has another length than most, links
-    with nothing and is its own component. Rows that repeat a vec_id are vectors of their own and link if they are alike;
+    A vector that is null, empty or zero, holds null or non-finite components, or is the only one of its length, links
+    with nothing and is its own component. Each length is joined by itself, one after the other. Rows that repeat a vec_id are vectors of their own and link if they are alike;
     a null id is only given back, never a component's name. Empty input gives an empty result.
     """
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     kind, dtype = ("array<float>", np.float32) if single else ("array<double>", np.float64)
     v = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast(kind).alias("v"))
-    sizes = v.where(_usable(F.col("v")) & F.col("vec_id").isNotNull()).groupBy(F.size("v").alias("n")).count()
-    common = sizes.orderBy(F.desc("count"), "n").first()
-    alone = lambda d: d.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if common is None:
-        return alone(v)
-    dim = common["n"]
-    good = _usable(F.col("v")) & F.col("vec_id").isNotNull() & (F.size("v") == dim)
-    rest = alone(v.where(~F.coalesce(good, F.lit(False))))
-    keyed = v.where(good).select("vec_id", "v", F.xxhash64("v").alias("k1"), F.hash("v", F.lit(17)).alias("k2"))
+    good = F.coalesce(_usable(F.col("v")) & F.col("vec_id").isNotNull(), F.lit(False))
+    sizes = v.where(good).groupBy(F.size("v").alias("n")).count().where("count > 1")
+    dims = sorted(r["n"] for r in sizes.collect())  # one number for each length
+    shared = good & (F.size("v").isin(dims) if dims else F.lit(False))
+    out = v.where(~shared).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for dim in dims:
+        out = _link_length(v.where(good & (F.size("v") == dim)), dim, kind, dtype, cosine, tile).unionByName(out)
+    return out
+
+
+def _link_length(v: DataFrame, dim: int, kind: str, dtype, cosine: float, tile: int) -> DataFrame:
+    """link_vectors for usable vectors (vec_id, v) of one length."""
+    keyed = v.select("vec_id", "v", F.xxhash64("v").alias("k1"), F.hash("v", F.lit(17)).alias("k2"))
     # Identical vectors: the smallest id stands for all, and weighs as many.
     groups = {"rep": F.min("vec_id"), "n": F.count("*")}, {"rep": F.min("rep"), "n": F.sum("n")}
     members = cut(attach_by_key(keyed.select("vec_id", "k1", "k2"), ["k1", "k2"], ["vec_id"], *groups).select("vec_id", "k1", "k2", "rep", "n"))
@@ -245,7 +249,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95, tile: int = TILE) ->
     out = m.join(spread, ["rep", "salt"], "left").select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id")
     )
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).unionByName(rest)
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def tile_pairs(tiles: DataFrame, eps: float) -> DataFrame:
