@@ -2,8 +2,8 @@
 
 Targets: sources share all words by weight; none goes beyond `cap` times its own words, the excess being shared
 again (closed form of water filling). The words are dealt out as blocks of `block_words`: seats go to the highest
-quotients target / (2s + 1). Seats are house-monotone, so the quotas of every shard of the mix follow from the
-apportionments at the shards' ends. A source's documents lie on a line in a seeded hash order; it is taken as often
+quotients target / (2s + 1). Seats are house-monotone, so `source_quotas` has the quotas of several shards from the
+apportionments at the shards' ends; `mix_documents` makes a mix of one shard. A source's documents lie on a line in a seeded hash order; it is taken as often
 in full as its seats allow, and the remainder is a run of the line from a seeded block on.
 
 Scale: a source is only handled as (source, one of 4096 hash buckets), so a source with a third of all rows is dealt
