@@ -105,50 +105,79 @@ def test_groups_that_fit_nowhere_whole_stay_close(spark):
 
 
 def brute_vectors(rows, c=0.95):
-    ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 3]
-    u = np.array([rows[i][1] for i in ok], np.float32).astype(float)
-    u = u / np.linalg.norm(u, axis=1, keepdims=True)
-    near = u @ u.T >= c
-    np.fill_diagonal(near, False)
-    ids = np.array([rows[i][0] for i in ok])
-    label = ids.copy()
-    while True:
-        new = np.minimum(label, np.where(near, label[None, :], 1 << 60).min(1))
-        if (new == label).all():
-            break
-        label = new
-    out = {rows[i][0]: (int(near[k].sum()), int(label[k])) for k, i in enumerate(ok)}
-    return sorted((i, *out.get(i, (0, i)), out.get(i, (0, i))[1] == i) for i, _ in rows)
+    """(vec_id, n_links, component_id, kept) of each row, row by row, lengths apart."""
+    links, label = [0] * len(rows), list(range(len(rows)))
+    ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    for n in {len(rows[i][1]) for i in ok}:
+        at = np.array([i for i in ok if len(rows[i][1]) == n])
+        u = np.array([rows[i][1] for i in at], float)
+        u = u / np.linalg.norm(u, axis=1, keepdims=True)
+        near = (u[:, None, :] * u[None, :, :]).sum(-1) >= c
+        np.fill_diagonal(near, False)
+        own = at.copy()
+        while True:
+            new = np.minimum(own, np.where(near, own[None, :], 1 << 60).min(1))
+            if (new == own).all():
+                break
+            own = new
+        for k, i in enumerate(at):
+            links[i], label[i] = int(near[k].sum()), int(own[k])
+    ids = {}
+    for i, (vec_id, _) in enumerate(rows):
+        ids.setdefault(label[i], []).append(vec_id)
+    name = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
+    return sorted(((vec_id, links[i], name[label[i]], vec_id == name[label[i]]) for i, (vec_id, _) in enumerate(rows)), key=str)
+
+
+def linked(d, **sizes):
+    return sorted(map(tuple, vectors.link_vectors(d, **sizes).collect()), key=str)
 
 
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 3))
-    rows = [(i, [float(np.float32(x)) for x in base[i % 150] * (1 + i % 4) + rng.normal(size=3) * 0.05 * (i % 3)]) for i in range(600)]
+    f = lambda v: [float(np.float32(x)) for x in v]
+    rows = [(i, f(base[i % 150] * (1 + i % 4) + rng.normal(size=3) * 0.05 * (i % 3))) for i in range(600)]
     rows += [(1000 + i, [1.0, 2.0, 3.0]) for i in range(200)]
     rows += [(2000, None), (2001, []), (2002, [0.0, 0.0, 0.0]), (2003, [1.0, None, 1.0]), (2004, [float("nan"), 1.0, 1.0]), (2005, [float("inf"), 1.0, 1.0]), (2006, [1.0, 2.0])]
     d = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, root string")
-    for tile in (64, 2048):
-        assert sorted(map(tuple, vectors.link_vectors(d, tile=tile).collect())) == brute_vectors(rows)
+    for sizes in ({"tile_bytes": 500, "block_bytes": 1500}, {}):
+        assert linked(d, **sizes) == brute_vectors(rows)
     wide = d.withColumn("embedding", d.embedding.cast("array<double>"))
-    assert sorted(map(tuple, vectors.link_vectors(wide).collect())) == brute_vectors(rows)
+    assert linked(wide) == brute_vectors(rows)
     assert vectors.link_vectors(spark.createDataFrame([], d.schema)).count() == 0
-    assert [tuple(r) for r in vectors.link_vectors(d.where("vec_id = 2000")).collect()] == [(2000, 0, 2000, True)]
+    assert linked(d.where("vec_id = 2000")) == [(2000, 0, 2000, True)]
 
 
-def test_vectors_of_each_length_link(spark):
-    rows = [(i, [1.0, float(i), 2.0]) for i in range(1, 6)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [-1.0, 2.0]), (13, [1.0] * 4), (14, [1.0] * 4), (15, [1.0]), (16, [0.0, 0.0]), (17, None)]
-    d = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, root string")
-    got = {r.vec_id: tuple(r)[1:] for r in vectors.link_vectors(d).collect()}
-    want = {i: (n, c, k) for i, n, c, k in brute_vectors(rows[:5])}
-    want |= {10: (1, 10, True), 11: (1, 10, False), 13: (1, 13, True), 14: (1, 13, False)} | {i: (0, i, True) for i in (12, 15, 16, 17)}
-    assert got == want
+def test_vectors_with_repeated_and_missing_ids_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.0, 2.0]), (8, [3.0, 0.0]), (None, [3.0, 0.1]), (None, [-1.0, 0.0]), (None, [-2.0, 0.0]), (None, None), (None, [0.0])]
+    rows += [(i % 17, [float(x) for x in rng.normal(size=3)]) for i in range(120)]
+    rows += [(i % 7 if i % 5 else None, [float(x) for x in np.repeat([1.0, 3.0], 10) + rng.normal(size=20) * 0.8]) for i in range(200)]
+    rows += [(300 + i, [float(i + 1)]) for i in range(4)] + [(400, [1.0] * 300), (401, [2.0] * 300), (402, [1.0] * 299 + [30.0])]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, node long")
+    assert linked(d) == brute_vectors(rows) == linked(d.repartition(7), tile_bytes=100, block_bytes=300)
+    assert [r for r in linked(d.limit(4))] == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (8, 1, 5, False)]
 
 
-def test_tiles_prune(spark):
+def test_blocks_prune_and_decide_exactly(spark, monkeypatch):
     lo = [[float(10 * i), 0.0] for i in range(20)]
-    d = spark.createDataFrame([(i, x, [x[0] + 1, 1.0]) for i, x in enumerate(lo)], "tile long, lo array<double>, hi array<double>")
-    assert sorted((r.a, r.b) for r in vectors.tile_pairs(d, 0.3).collect()) == [(i, i) for i in range(20)]
+    d = spark.createDataFrame([(2, i, x, [x[0] + 1, 1.0]) for i, x in enumerate(lo)], "dim int, block long, lo array<double>, hi array<double>")
+    assert sorted((r.a, r.b) for r in vectors.block_pairs(d, 0.3).collect()) == [(i, i) for i in range(20)]
+    monkeypatch.setattr(vectors, "PART", 8)
+    rng = np.random.default_rng(1)
+    u = vectors.unit(rng.normal(size=(60, 12)))
+    c = float(np.sort((u[:, None] * u[None]).sum(-1)[np.triu_indices(60, 1)])[-40])  # one pair is right on the threshold
+    axes = vectors.Axes()
+    axes.fitted[12] = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    side = lambda x: vectors._Side(x, np.ones(len(x), np.int64), axes)
+    eps = np.sqrt(2 - 2 * c) + 1e-4
+    near = np.triu((u[:, None] * u[None]).sum(-1) >= c, 1)
+    whole, _ = vectors.join_blocks(side(u), None, c, eps)
+    assert (whole == near.sum(0) + near.sum(1)).all() and near.sum() == 40
+    a, b = side(u[:25]), side(u[25:])
+    parts = [vectors.join_blocks(a, None, c, eps)[0], vectors.join_blocks(b, None, c, eps)[0]]
+    assert (np.concatenate(parts) + vectors.join_blocks(a, b, c, eps)[0] == whole).all()
 
 
 # Substrings

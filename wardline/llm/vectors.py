@@ -3,12 +3,14 @@
 Unit vectors with a cosine of at least c are within eps = sqrt(2 - 2c) of each other. Vectors are turned onto their
 principal axes (from the covariance of all of them), cut into grid cells of eps on the leading ones, and sorted by cell.
 Intervals of that sequence are joined recursively: a pair of intervals is cut into pairs of parts unless their bounding
-boxes are further apart than eps. On the cluster the recursion runs over a tree of tiles (joins by parent); inside a task
-it goes on over blocks of a tile, down to matrix products in double precision.
-
-Scale: identical vectors are one representative, found by (hash, salt); what a tile pair gives back is at most one row for
-each of its vectors (links counted, and one edge of a spanning forest), never the pairs. Tile pairs are narrow rows that
-are joined to the tiles' bytes; the tree is pruned before that.
+boxes are further apart than eps. On the cluster the recursion runs over a tree of blocks (joins by parent); inside a task
+it goes on over smaller parts, down to matrix products in single precision. What these put near the threshold, by more
+than their error, is decided in double precision.
+
+Scale: rows with the same vector are one node, whatever their ids, found by (hash, salt). The sequence is carried as tiles
+(rows of packed bytes); a block is a run of tiles, an eighth of the vectors of its length but BLOCK_BYTES at most, so a
+table of any size up to eight blocks sends each vector to at most nine tasks. What a pair of blocks gives back is at most one row
+for each of its vectors (links counted, and one edge of a spanning forest), never the pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import attach_by_key, components, cut, table
 
-TILE = 4096
-BLOCK = 256
+TILE_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
+LEAST_BLOCKS = 8
+PART = 512
 LEADING = 8
+BOX = 16
 FAN = 8
+MOST_AXES = 256  # components that axes are fitted to; the others are axes of their own
+MOST_LENGTHS = 8  # lengths, the most frequent ones, that have fitted axes
 
 
 def _usable(v):
@@ -31,44 +38,67 @@ def _usable(v):
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
-def _matrix(column) -> np.ndarray:
-    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(arr), -1)
+def _by_length(batch):
+    """(length, rows, matrix) for each length among the lists of a batch's column v."""
+    v = batch.column(batch.schema.get_field_index("v"))
+    sizes = v.value_lengths().to_numpy()
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        some = v if len(rows) == len(v) else v.take(pa.array(rows))
+        yield int(n), rows, some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
 
 
 def unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
     scaled = m / np.abs(m).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def principal_axes(reps: DataFrame, dim: int) -> np.ndarray:
-    """Axes by falling variance. Partitions add up their products; sums by row of the matrix are dim rows at the driver."""
+class Axes:
+    """Orthonormal axes for each length: by falling variance where they are fitted, those of the components elsewhere."""
+
+    def __init__(self):
+        self.fitted: dict[int, np.ndarray] = {}
+
+    def turn(self, u: np.ndarray) -> np.ndarray:
+        axes = self.fitted.get(u.shape[1])
+        if axes is None:
+            return u
+        k = len(axes)
+        return u @ axes if k == u.shape[1] else np.concatenate([u[:, :k] @ axes, u[:, k:]], 1)
+
+
+def principal_axes(reps: DataFrame, lengths: list[int]) -> Axes:
+    """Partitions add up their products; the driver gets MOST_AXES squared numbers for each length at most."""
 
     def run(batches):
-        total, count, mean = np.zeros((dim, dim)), 0, np.zeros(dim)
+        sums = {n: np.zeros((min(n, MOST_AXES), min(n, MOST_AXES) + 2)) for n in lengths}
         for b in batches:
-            if b.num_rows:
-                u = unit(_matrix(b.column(0)))
-                total += u.T @ u
-                mean += u.sum(0)
-                count += len(u)
-        rows = np.column_stack([total, mean, np.full(dim, count)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(list(rows))], ["i", "row"])
-
-    sums = reps.select("v").mapInArrow(run, "i bigint, row array<double>")
-    sums = sums.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
-    m = np.zeros((dim, dim + 2))
-    for r in sums.collect():  # dim * (dim + 2) numbers
-        m[r["i"], r["j"]] = r["x"]
-    count = max(1.0, m[0, dim + 1])
-    mean = m[:, dim] / count
-    _, axes = np.linalg.eigh(m[:, :dim] / count - np.outer(mean, mean))
-    return axes[:, ::-1]
+            for n, _, m in _by_length(b):
+                if n in sums:
+                    u = unit(m)[:, :MOST_AXES]
+                    sums[n][:, :-2] += u.T @ u
+                    sums[n][:, -2] += u.sum(0)
+                    sums[n][:, -1] += len(u)
+        for n, m in sums.items():
+            if m.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), n)), pa.array(np.arange(len(m))), pa.array(list(m))], ["n", "i", "row"])
+
+    out = Axes()
+    rows = reps.select("v").mapInArrow(run, "n bigint, i bigint, row array<double>")
+    rows = rows.select("n", "i", F.posexplode("row").alias("j", "x")).groupBy("n", "i", "j").agg(F.sum("x").alias("x"))
+    found = rows.groupBy("n", "i").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("row")).collect()
+    for n in lengths:
+        m = np.array([[x["x"] for x in r["row"]] for r in sorted((r for r in found if r["n"] == n), key=lambda r: r["i"])])
+        if len(m):
+            mean = m[:, -2] / m[0, -1]
+            _, axes = np.linalg.eigh(m[:, :-2] / m[0, -1] - np.outer(mean, mean))
+            out.fitted[n] = axes[:, ::-1]
+    return out
 
 
 class _Forest:
-    """Components of the vectors of a tile pair, as linked pairs come in."""
+    """Components of the vectors of a pair of blocks, as linked pairs come in."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
@@ -90,9 +120,19 @@ class _Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts = np.arange(0, len(x), BLOCK)
-    return starts, np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+class _Side:
+    """A block in a task: its vectors as they came, unit ones in single precision, and the boxes of its parts."""
+
+    def __init__(self, v: np.ndarray, weight: np.ndarray, axes: Axes):
+        self.v, self.weight = v, weight
+        self.u = np.empty(v.shape, np.float32)
+        self.starts = np.arange(0, len(v), PART)
+        self.lo, self.hi = (np.empty((len(self.starts), v.shape[1])) for _ in range(2))
+        for k, a in enumerate(self.starts):
+            u = unit(v[a : a + PART])
+            self.u[a : a + PART] = u
+            x = axes.turn(u)
+            self.lo[k], self.hi[k] = x.min(0), x.max(0)
 
 
 def _gap2(lo1, hi1, lo2, hi2):
@@ -100,26 +140,21 @@ def _gap2(lo1, hi1, lo2, hi2):
     return (d * d).sum(-1)
 
 
-def join_tiles(va: np.ndarray, vb: np.ndarray | None, axes: np.ndarray, weight_a, weight_b, cosine: float, eps: float):
-    """Links between the vectors of two tiles, or within one (vb is None): counts by weight, and roots within the pair."""
-    same = vb is None
-    ua = unit(va)
-    ub = ua if same else unit(vb)
-    xa = ua @ axes
-    xb = xa if same else ub @ axes
-    sa, lo_a, hi_a = _boxes(xa)
-    sb, lo_b, hi_b = (sa, lo_a, hi_a) if same else _boxes(xb)
-    na, nb = len(ua), len(ub)
-    shift = 0 if same else na
-    links = np.zeros(na if same else na + nb)
-    w = weight_a if same else np.concatenate([weight_a, weight_b])
+def join_blocks(a: _Side, b: _Side | None, cosine: float, eps: float):
+    """Links between the vectors of two blocks, or within one (b is None): counts by weight, and roots within the pair."""
+    same = b is None
+    b = a if same else b
+    shift = 0 if same else len(a.v)
+    links = np.zeros(shift + len(b.v))
+    weight = b.weight if same else np.concatenate([a.weight, b.weight])
     forest = _Forest(len(links))
-    stack = [(0, len(sa), 0, len(sb))]
+    error = max(1e-6, a.v.shape[1] * 1.2e-7)  # of a product in single precision, with room to spare
+    stack = [(0, len(a.starts), 0, len(b.starts))]
     while stack:
         a0, a1, b0, b1 = stack.pop()
         if same and b1 <= a0:
             continue
-        if _gap2(lo_a[a0:a1].min(0), hi_a[a0:a1].max(0), lo_b[b0:b1].min(0), hi_b[b0:b1].max(0)) > eps * eps:
+        if _gap2(a.lo[a0:a1].min(0), a.hi[a0:a1].max(0), b.lo[b0:b1].min(0), b.hi[b0:b1].max(0)) > eps * eps:
             continue  # provably distant
         if a1 - a0 > 1 or b1 - b0 > 1:
             ma, mb = (a0 + a1 + 1) // 2, (b0 + b1 + 1) // 2
@@ -129,157 +164,157 @@ def join_tiles(va: np.ndarray, vb: np.ndarray | None, axes: np.ndarray, weight_a
             continue
         if same and b0 < a0:
             continue
-        i0, j0 = sa[a0], sb[b0]
-        x, y = ua[i0 : i0 + BLOCK], ub[j0 : j0 + BLOCK]
-        c = x @ y.T
-        hit = c >= cosine
-        edge = np.argwhere(np.abs(c - cosine) < 1e-11)
-        for i, j in edge:  # too near for the product's rounding: by a sum that is the same for any blocks
-            hit[i, j] = float((x[i] * y[j]).sum()) >= cosine
-        if same and a0 == b0:
-            hit = np.triu(hit, 1)
+        i0, j0 = a.starts[a0], b.starts[b0]
+        c = a.u[i0 : i0 + PART] @ b.u[j0 : j0 + PART].T
+        hit = c >= cosine - error
+        if not hit.any():
+            continue
         i, j = np.nonzero(hit)
-        if len(i):
-            i, j = i + i0, j + j0 + shift
-            links += np.bincount(i, w[j], len(links)) + np.bincount(j, w[i], len(links))
-            forest.add(i, j)
+        if same and a0 == b0:
+            i, j = i[i < j], j[i < j]
+        close = np.flatnonzero(c[i, j] < cosine + error)
+        if len(close):
+            exact = (unit(a.v[i[close] + i0]) * unit(b.v[j[close] + j0])).sum(1) >= cosine
+            keep = np.ones(len(i), bool)
+            keep[close] = exact
+            i, j = i[keep], j[keep]
+        i, j = i + i0, j + j0 + shift
+        np.add.at(links, i, weight[j])
+        np.add.at(links, j, weight[i])
+        forest.add(i, j)
     return links.astype(np.int64), forest.roots(np.arange(len(links)))
 
 
-def link_vectors(vectors: DataFrame, cosine: float = 0.95, tile: int = TILE) -> DataFrame:
+def link_vectors(vectors: DataFrame, cosine: float = 0.95, tile_bytes: int = TILE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding).
 
-    A vector that is null, empty or zero, holds null or non-finite components, or is the only one of its length, links
-    with nothing and is its own component. Each length is joined by itself, one after the other. Rows that repeat a vec_id are vectors of their own and link if they are alike;
-    a null id is only given back, never a component's name. Empty input gives an empty result.
+    A vector that is null, empty or zero, or holds null or non-finite components, links with nothing and is its own
+    component; vectors of different lengths never link. Every other row counts as a vector of its own: rows that repeat a
+    vec_id, with the same vector or another one, and rows without an id. A component is named by the smallest id in it
+    (null if it has none), and kept says whether a row's id is that name. Empty input gives an empty result.
     """
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     kind, dtype = ("array<float>", np.float32) if single else ("array<double>", np.float64)
+    width = np.dtype(dtype).itemsize
     v = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast(kind).alias("v"))
-    good = F.coalesce(_usable(F.col("v")) & F.col("vec_id").isNotNull(), F.lit(False))
-    sizes = v.where(good).groupBy(F.size("v").alias("n")).count().where("count > 1")
-    dims = sorted(r["n"] for r in sizes.collect())  # one number for each length
-    shared = good & (F.size("v").isin(dims) if dims else F.lit(False))
-    out = v.where(~shared).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    for dim in dims:
-        out = _link_length(v.where(good & (F.size("v") == dim)), dim, kind, dtype, cosine, tile).unionByName(out)
-    return out
-
-
-def _link_length(v: DataFrame, dim: int, kind: str, dtype, cosine: float, tile: int) -> DataFrame:
-    """link_vectors for usable vectors (vec_id, v) of one length."""
-    keyed = v.select("vec_id", "v", F.xxhash64("v").alias("k1"), F.hash("v", F.lit(17)).alias("k2"))
-    # Identical vectors: the smallest id stands for all, and weighs as many.
-    groups = {"rep": F.min("vec_id"), "n": F.count("*")}, {"rep": F.min("rep"), "n": F.sum("n")}
-    members = cut(attach_by_key(keyed.select("vec_id", "k1", "k2"), ["k1", "k2"], ["vec_id"], *groups).select("vec_id", "k1", "k2", "rep", "n"))
-    firsts = members.where("vec_id = rep").select("vec_id", "n").dropDuplicates(["vec_id"])
-    reps = cut(keyed.select("vec_id", "v").dropDuplicates(["vec_id"]).join(firsts, "vec_id"))
-    axes = principal_axes(reps, dim)
-    eps = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
-    lead = min(LEADING, dim)
+    good = F.coalesce(_usable(F.col("v")), F.lit(False))
+    unlinked = v.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # Rows have numbers of their own from here on; the cut fixes them.
+    rows = cut(v.where(good).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(17), "v").alias("k2")))
+    # Rows with the same vector are one node, the first of them, and weigh as many.
+    groups = {"node": F.min("row"), "first": F.min("vec_id"), "n": F.count("*")}, {"node": F.min("node"), "first": F.min("first"), "n": F.sum("n")}
+    members = cut(attach_by_key(rows.select("row", "vec_id", "k1", "k2"), ["k1", "k2"], ["row"], *groups).select("row", "vec_id", "node", "first", "n"))
+    reps = cut(rows.select("row", "v").join(members.where("row = node").select("row", "first", "n"), "row"))
+    lengths = reps.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("count"))
+    most = lengths.where("count > 1").orderBy(F.desc("count"), "dim").limit(MOST_LENGTHS).collect()
+    total = lengths.agg(F.sum(F.col("dim") * F.col("count") * width)).first()[0] or 0
+    axes = principal_axes(reps, sorted(r["dim"] for r in most))
+    eps = float(np.sqrt(2 - 2 * cosine)) + 1e-4
 
     def to_cells(batches):
         for b in batches:
-            if b.num_rows:
-                cells = np.floor(unit(_matrix(b.column(1))) @ axes[:, :lead] / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(cells))], ["vec_id", "v", "n", "cell"])
-
-    gridded = reps.select("vec_id", "v", "n").mapInArrow(to_cells, f"vec_id bigint, v {kind}, n bigint, cell array<int>")
-    count = reps.count()
-    # The sequence in grid order, cut into tiles: ranges of the order, then runs of `tile` rows within a range.
-    ranges = max(1, -(-count // (2 * tile)))
-    ordered = gridded.repartitionByRange(ranges, "cell", "vec_id").sortWithinPartitions("cell", "vec_id")
+            cells = np.empty(b.num_rows, object)
+            for n, at, m in _by_length(b):
+                for i, c in zip(at, np.floor(axes.turn(unit(m))[:, :LEADING] / eps).astype(np.int32)):
+                    cells[i] = c
+            sizes = b.column(1).value_lengths()
+            yield pa.RecordBatch.from_arrays([*b.columns, sizes, pa.array(list(cells), pa.list_(pa.int32()))], ["row", "v", "n", "dim", "cell"])
+
+    gridded = reps.select("row", "v", "n").mapInArrow(to_cells, f"row bigint, v {kind}, n bigint, dim int, cell array<int>")
+    # The sequence in grid order, in ranges; a range is packed into tiles.
+    order = ["dim", "cell", "row"]
+    ordered = gridded.repartitionByRange(max(1, -(-int(total) // (4 * tile_bytes))), *order).sortWithinPartitions(*order)
 
     def to_tiles(batches):
         from pyspark import TaskContext
 
-        part, k, ids, vs, ns = TaskContext.get().partitionId(), 0, [], [], []
+        part, k, dim, held = TaskContext.get().partitionId(), 0, 0, []
 
         def tiles(last: bool):
-            nonlocal k, ids, vs, ns
-            have = sum(map(len, ids))
-            while have >= tile or (last and have):
-                i, m, n = np.concatenate(ids), np.concatenate(vs), np.concatenate(ns)
-                head = (i[:tile], m[:tile], n[:tile])
-                ids, vs, ns = [i[tile:]], [m[tile:]], [n[tile:]]
-                have = len(i) - len(head[0])
-                x = unit(head[1]) @ axes
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part << 32 | k], pa.int64()), pa.array([head[0].tobytes()]), pa.array([head[1].astype(dtype).tobytes()]),
-                        pa.array([head[2].tobytes()]), pa.array([x.min(0)]), pa.array([x.max(0)]),
-                    ],
-                    ["tile", "ids", "vs", "ns", "lo", "hi"],
-                )
+            nonlocal k, held
+            size = max(1, tile_bytes // (dim * width)) if dim else 1
+            while sum(len(h[0]) for h in held) >= size or (last and held):
+                i, m, n = (np.concatenate(x) for x in zip(*held))
+                x = axes.turn(unit(m[:size]))[:, :BOX]
+                columns = [
+                    pa.array([part << 32 | k], pa.int64()), pa.array([dim], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([i[:size].tobytes()]),
+                    pa.array([m[:size].astype(dtype).tobytes()]), pa.array([n[:size].tobytes()]), pa.array([x.min(0)]), pa.array([x.max(0)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["tile", "dim", "rows", "ids", "vs", "ns", "lo", "hi"])
                 k += 1
+                held = [(i[size:], m[size:], n[size:])] if len(i) > size else []
 
         for b in batches:
-            if b.num_rows:
-                ids.append(b.column(0).to_numpy())
-                vs.append(_matrix(b.column(1)))
-                ns.append(b.column(2).to_numpy())
+            for n, at, m in _by_length(b):  # lengths ascend, as the order has them first
+                if n != dim:
+                    yield from tiles(True)
+                    dim = n
+                held.append((b.column(0).to_numpy()[at], m, b.column(2).to_numpy()[at]))
                 yield from tiles(False)
         yield from tiles(True)
 
-    tiles = cut(ordered.mapInArrow(to_tiles, "tile bigint, ids binary, vs binary, ns binary, lo array<double>, hi array<double>"))
-    pairs = tile_pairs(tiles.select("tile", "lo", "hi"), eps)
-    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("tile"))
-    payload = sides.join(tiles.select("tile", "ids", "vs", "ns"), "tile")
+    tiles = cut(ordered.select("row", "v", "n").mapInArrow(to_tiles, "tile bigint, dim int, rows bigint, ids binary, vs binary, ns binary, lo array<double>, hi array<double>"))
+    # Blocks are runs of tiles; the windows go over one narrow row for each tile.
+    of_dim = Window.partitionBy("dim")
+    most_rows = F.greatest(F.lit(1024), F.least(F.ceil(F.sum("rows").over(of_dim) / LEAST_BLOCKS), F.floor(F.lit(block_bytes) / (F.col("dim") * width))))
+    before = F.coalesce(F.sum("rows").over(of_dim.orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = tiles.select("tile", "dim", "rows").withColumn("block", F.floor(before / most_rows).cast("long")).select("tile", "block")
+    tiles = tiles.join(placed, "tile")
+    pairs = block_pairs(tiles.select("dim", "block", "lo", "hi"), eps)
+    side = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block")
+    payload = pairs.select("dim", "a", "b", side).join(tiles.select("dim", "block", "tile", "ids", "vs", "ns"), ["dim", "block"])
 
     def join_pair(key, t):
-        order = np.argsort(t.column("tile").to_numpy())
-        parts = []
-        for i in order:
-            m = np.frombuffer(t.column("vs")[int(i)].as_py(), dtype).reshape(-1, dim).astype(np.float64)
-            parts.append((np.frombuffer(t.column("ids")[int(i)].as_py(), np.int64), m, np.frombuffer(t.column("ns")[int(i)].as_py(), np.int64)))
-        a, b = parts[0], parts[1] if len(parts) > 1 else (None, None, None)
-        links, roots = join_tiles(a[1], b[1], axes, a[2], b[2], cosine, eps)
-        ids = a[0] if b[0] is None else np.concatenate([a[0], b[0]])
+        dim, blocks = key[0].as_py(), t.column("block").to_numpy()
+        sides, ids = [], []
+        for block in np.unique(blocks):
+            at = np.flatnonzero(blocks == block)
+            at = at[np.argsort(t.column("tile").to_numpy()[at])]
+            unpack = lambda name, kind: np.concatenate([np.frombuffer(t.column(name)[int(i)].as_py(), kind) for i in at])
+            ids.append(unpack("ids", np.int64))
+            sides.append(_Side(unpack("vs", dtype).reshape(-1, dim), unpack("ns", np.int64), axes))
+        links, roots = join_blocks(sides[0], sides[1] if len(sides) > 1 else None, cosine, eps)
+        ids = np.concatenate(ids)
         some = np.flatnonzero(links)
         return pa.table({"node": ids[some], "links": links[some], "root": ids[roots[some]]})
 
-    found = cut(payload.groupBy("a", "b").applyInArrow(join_pair, "node bigint, links bigint, root bigint"))
+    found = cut(payload.groupBy("dim", "a", "b").applyInArrow(join_pair, "node bigint, links bigint, root bigint"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    by_rep = counts.join(roots, "node", "left").select(F.col("node").alias("rep"), "links", F.coalesce("root", "node").alias("root"))
-    # Back to all members: a representative's row is joined by (rep, salt), so a hot one is not brought together.
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(32)).cast("int")
-    m = members.withColumn("salt", salt)
-    spread = by_rep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    out = m.join(spread, ["rep", "salt"], "left").select(
-        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id")
+    linked = roots.join(members.where("row = node").select("node", "first"), "node")
+    named = attach_by_key(cut(linked), ["root"], ["node"], {"name": F.min("first")}, {"name": F.min("name")})
+    by_node = counts.join(named.select("node", "name"), "node", "left")
+    # Back to all rows: a node's result is joined by (node, salt), so a hot one is not brought together.
+    m = members.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(32)).cast("int"))
+    spread = by_node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    out = m.join(spread, ["node", "salt"], "left").select(
+        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("name", "first").alias("component_id")
     )
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).unionByName(unlinked)
 
 
-def tile_pairs(tiles: DataFrame, eps: float) -> DataFrame:
-    """(a, b), a <= b, of the tiles whose boxes are within eps: from the root of a tree over the sequence downwards.
+def block_pairs(tiles: DataFrame, eps: float) -> DataFrame:
+    """(dim, a, b), a <= b, of the blocks of a length whose boxes are within eps; tiles: dim, block, lo, hi.
 
-    A node is FAN parts of the sequence; a pair of nodes gives pairs of their children, by joins on the parents.
+    Goes down from the root of a tree over the sequence: a node is FAN parts of it, and a pair of nodes that are not
+    provably distant gives pairs of their children, by joins on the parents.
     """
-    numbers = tiles.select("tile").withColumn("at", F.row_number().over(Window.orderBy("tile")) - 1)  # one number for each tile
-    levels = [cut(tiles.join(numbers, "tile").select("at", "tile", "lo", "hi"))]
-    merged = lambda c, f: F.array(*[f(F.element_at(c, i + 1)) for i in range(len_dim)])
-    first = tiles.select(F.size("lo")).first()
-    len_dim = first[0] if first else 0
-    n = levels[0].count()
+    sides = [F.min(F.get("lo", F.lit(i))).alias(f"lo{i}") for i in range(BOX)], [F.max(F.get("hi", F.lit(i))).alias(f"hi{i}") for i in range(BOX)]
+    up = [F.min(f"lo{i}").alias(f"lo{i}") for i in range(BOX)] + [F.max(f"hi{i}").alias(f"hi{i}") for i in range(BOX)]
+    levels = [cut(tiles.groupBy("dim", F.col("block").alias("at")).agg(*sides[0], *sides[1]))]
+    n = (levels[0].agg(F.max("at")).first()[0] or 0) + 1
     while n > 1:
-        up = levels[-1].groupBy(F.floor(F.col("at") / FAN).alias("at")).agg(merged("lo", F.min).alias("lo"), merged("hi", F.max).alias("hi"))
-        levels.append(up)
+        levels.append(levels[-1].groupBy("dim", F.floor(F.col("at") / FAN).alias("at")).agg(*up))
         n = -(-n // FAN)
-    near = lambda: F.aggregate(
-        F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)),
-        F.lit(0.0), lambda s, d: s + d * d,
-    ) <= eps * eps
-    pairs = levels[-1].select(F.col("at").alias("p"), F.col("at").alias("q"))
+    gap = lambda i: F.coalesce(F.greatest(F.lit(0.0), F.col(f"x.lo{i}") - F.col(f"y.hi{i}"), F.col(f"y.lo{i}") - F.col(f"x.hi{i}")), F.lit(0.0))
+    far = sum((gap(i) * gap(i) for i in range(BOX)), F.lit(0.0)) > eps * eps
+    pairs = levels[-1].select("dim", F.col("at").alias("p"), F.col("at").alias("q"))
     for level in reversed(levels[:-1]):
         child = level.withColumn("parent", F.floor(F.col("at") / FAN))
-        a = child.select(F.col("parent").alias("p"), F.col("at").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-        b = child.select(F.col("parent").alias("q"), F.col("at").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-        pairs = pairs.join(a, "p").join(b, "q").where("a <= b").where(near()).select(F.col("a").alias("p"), F.col("b").alias("q"))
-    names = levels[0].select("at", "tile")
-    out = pairs.join(names.select(F.col("at").alias("p"), F.col("tile").alias("x")), "p").join(names.select(F.col("at").alias("q"), F.col("tile").alias("y")), "q")
-    return cut(out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        joined = pairs.join(child.alias("x"), (pairs["dim"] == F.col("x.dim")) & (F.col("p") == F.col("x.parent"))).drop(pairs["dim"])
+        joined = joined.join(child.alias("y"), (F.col("x.dim") == F.col("y.dim")) & (F.col("q") == F.col("y.parent")))
+        pairs = joined.where((F.col("x.at") <= F.col("y.at")) & ~far).select(F.col("x.dim").alias("dim"), F.col("x.at").alias("p"), F.col("y.at").alias("q"))
+    return cut(pairs.select("dim", F.col("p").alias("a"), F.col("q").alias("b")))
 
 
 def op6_vectors_grid_order(spark, sf_dir: str) -> DataFrame:
