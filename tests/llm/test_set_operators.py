@@ -73,6 +73,21 @@ def shards_of(got):
     return where
 
 
+def check_cut_links(got):
+    where = shards_of(got)
+    for r in got:
+        own = where[r.text_crc32]
+        assert r.cut_links == sum(own.values()) - own[r.shard] and r.group_rows == sum(own.values())
+
+
+@pytest.mark.parametrize("n,size", [(200, 4), (1000, 20), (1000, 40)])
+def test_groups_of_a_part_of_a_quota_are_not_cut(spark, n, size):
+    got = sharding.shard_documents(table(spark, [(i, f"group {i // size}" if i < n // 2 else f"single {i}") for i in range(n)])).collect()
+    check_cut_links(got)
+    counts = Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and not any(r.cut_links for r in got)
+
+
 def test_groups_up_to_a_quota_are_not_cut(spark):
     # quota 100: groups of 100, 99, 60 and 30 fit whole; one of 250 needs three shards and no more
     sizes = [100, 99, 99, 60, 60, 30, 30, 30, 250]
@@ -85,6 +100,7 @@ def test_groups_up_to_a_quota_are_not_cut(spark):
         held = where[zlib.crc32(f"group {i}".encode())]
         assert sum(held.values()) == n and len(held) == -(-n // 100), (n, held)
     assert all(len(where[zlib.crc32(f"pair {i}".encode())]) == 1 for i in range(300))
+    check_cut_links(got)
 
 
 def test_groups_that_fit_nowhere_whole_stay_close(spark):
@@ -97,7 +113,9 @@ def test_groups_that_fit_nowhere_whole_stay_close(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(100))
     held = [len(x) for x in shards_of(got).values()]
     assert held.count(1) >= 24 and sum(held) <= 40 + 23
+    check_cut_links(got)
     alone = sharding.shard_documents(table(spark, [(i, "same") for i in range(245)])).collect()
+    check_cut_links(alone)
     assert max(Counter(r.shard for r in alone).values()) == 11 and {r.group_rows for r in alone} == {245}
 
 
@@ -246,11 +264,17 @@ def brute_jaccard(rows, threshold=0.8, k=5):
                 links[j] += 1
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
-    return sorted((rows[i][0], links[i], rows[label[i]][0]) for i in range(len(rows)))
+    ids = {}
+    for i, r in enumerate(rows):
+        ids.setdefault(label[i], []).append(r[0])
+    name = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
+    return sorted(((rows[i][0], links[i], name[label[i]]) for i in range(len(rows))), key=str)
 
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)  # large groups are cut into blocks
+    monkeypatch.setattr(jaccard, "VERIFY_ROWS", 16)
+    monkeypatch.setattr(jaccard, "PART", 5)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
     rows, base = [(0, None), (1, ""), (2, " \n"), (3, "one two"), (4, "One  TWO"), (5, "one two three four five")], None
@@ -266,14 +290,26 @@ def test_near_duplicates(spark, monkeypatch):
         new = list(hot)
         new[rng.randrange(len(new))] = f"x{i % 50}"
         rows.append((i, " ".join(new)))
+    rows += [(2**60, " ".join(hot[:100]) + f" y{i}") for i in range(3)] + [(None, " ".join(hot[:100]) + f" z{i}") for i in range(3)] + [(None, "lone text"), (None, "lone  Text")]
+    rows += [(1, "k " * 30), (1, " ".join(words[:80])), (2, "k " * 30 + "j"), (3, " ".join(words[:79])), (4, " ".join(words[:80]) + " last"), (None, None), (None, None)]
     got = jaccard.near_duplicates(table(spark, rows)).collect()
-    assert sorted((r.doc_id, r.n_links, r.group_id) for r in got) == brute_jaccard(rows)
+    assert sorted(((r.doc_id, r.n_links, r.group_id) for r in got), key=str) == brute_jaccard(rows)
     assert all(r.kept == (r.doc_id == r.group_id) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.group, set()).add(r.group_id)
+    assert all(len(x) == 1 for x in by.values())
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
     twice = jaccard.near_duplicates(table(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None)])).collect()
     assert sorted((str(r.doc_id), r.n_links) for r in twice) == [("1", 2), ("1", 2), ("None", 0), ("None", 2)]
 
 
+def test_repeated_ids_do_not_merge_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    got = {(r.doc_id, r.n_shingles, r.n_links, r.group_id) for r in jaccard.near_duplicates(table(spark, [(1, a), (1, b), (2, a + " x"), (3, b + " y")])).collect()}
+    assert got == {(1, 36, 1, 1), (2, 37, 1, 1), (3, 37, 1, 1)}
+
+
 def test_pruning_bounds():
     least = jaccard.least_matches(0.8, 1e-6)
     assert len(least) == 8 and all(0 < m <= 16 * (i + 1) for i, m in enumerate(least)) and (np.diff(least) > 0).all()

@@ -6,10 +6,13 @@ of 5e-8). Pairs of a bucket are compared 16 values at a time: after m matches ou
 under a flat prior is Beta(m + 1, n - m + 1), and a pair goes as soon as the chance that it reaches the threshold falls
 below the tolerance. What is left is joined to components, and within a component every pair is verified exactly.
 
-Scale: pairs are never rows. A bucket that appears with the same members in several bands is looked at once; buckets and
-components beyond BLOCK members are cut into blocks, and tasks get pairs of blocks; what they give back is at most one row
-for each member: its links and one edge of a spanning forest. Keys are handled as (key, salt) where a key can be hot. Texts
-are shuffled once, for verification; sketches of 512 bytes do the rest.
+A class is a node of its own, whatever the ids of its documents; ids only name classes and groups at the end.
+
+Scale: pairs are never rows. A bucket that appears with the same members in several bands is looked at once; buckets
+beyond BLOCK members and components beyond VERIFY_ROWS members or VERIFY_BYTES of shingles are cut into blocks, and tasks
+get pairs of blocks, so a group of m different near copies is sent m / VERIFY_ROWS times; what tasks give back is at most
+one row for each member: its links and one edge of a spanning forest. Keys are handled as (key, salt) where a key can be
+hot. Texts are shuffled once, for verification; sketches of 512 bytes do the rest.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, components, cut, table
+from .common import attach_by_key, components, cut, forest, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -31,7 +34,10 @@ PERMS = 128
 BAND = 4
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 512
+BLOCK = 2048
+VERIFY_ROWS = 2048
+VERIFY_BYTES = 16 << 20
+PART = 512
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -106,13 +112,13 @@ def _texts(column):
         yield at, [np.frombuffer(x.as_buffer(), np.uint8) if len(x.as_py()) else np.zeros(0, np.uint8) for x in low]
 
 
-SKETCH = "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig binary"
+SKETCH = "row bigint, doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint, sig binary"
 
 
 def _sketch(words: int):
     def run(batches):
         for b in batches:
-            for at, texts in _texts(b.column(1)):
+            for at, texts in _texts(b.column(3)):
                 sets = [shingles(t, words) for t in texts]
                 some = [s for s in sets if len(s)]
                 sigs = iter(minhash(some)) if some else iter(())
@@ -120,10 +126,10 @@ def _sketch(words: int):
                 k2 = [int(_mix(s * _C[0]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()),
+                        *[b.column(i).slice(at, len(texts)) for i in range(3)], pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()),
                         pa.array(k2, pa.int64()), pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n", "k1", "k2", "sig"],
+                    ["row", "doc_id", "th", "n", "k1", "k2", "sig"],
                 )
 
     return run
@@ -177,23 +183,6 @@ def _pairs(sizes: np.ndarray):
     return i, j
 
 
-def _forest_edges(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The root of each of n rows that the pairs connect."""
-    parent = np.arange(n)
-    a, b = i, j
-    while len(a):
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-        a, b = parent[a], parent[b]
-        apart = a != b
-        a, b = a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-    return parent
-
-
 def _candidate_edges(least: np.ndarray):
     def run(key, t):
         """One group: a bucket, or two blocks of a large one. Surviving pairs come back as a spanning forest."""
@@ -201,14 +190,16 @@ def _candidate_edges(least: np.ndarray):
         order = np.argsort(ids)
         ids = ids[order]
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), PERMS)[order]
+        own = t.column("own").to_numpy()[order]
+        apart = own.min() != own.max()  # two blocks: pairs within one are for where it meets itself
         root = np.arange(len(ids))
-        kept_i, kept_j = [], []
-        for a in range(0, len(ids), 256):  # rows against all before them
-            i, j = np.nonzero(np.tri(min(256, len(ids) - a), len(ids), a - 1, dtype=bool))
-            live = prune(sig, i + a, j, least)
-            kept_i.append(i[live] + a)
-            kept_j.append(j[live])
-        root = _forest_edges(len(ids), np.concatenate(kept_i), np.concatenate(kept_j))
+        for a in range(0, len(ids), 128):  # rows against all before them; those that are connected already need no pair
+            i, j = np.nonzero(np.tri(min(128, len(ids) - a), len(ids), a - 1, dtype=bool))
+            i += a
+            open_ = (root[i] != root[j]) & ((own[i] != own[j]) | (not apart))
+            i, j = i[open_], j[open_]
+            live = prune(sig, i, j, least)
+            root = root[forest(len(ids), root[i[live]], root[j[live]])[root]]
         some = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table({"a": ids[some], "b": ids[root[some]]})
 
@@ -246,14 +237,14 @@ def candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> Data
     # Bands whose buckets have the same members: one of them is enough.
     sized = cut(sized)
     chosen = sized.where("id = s").groupBy("m", "x", "s").agg(F.min("band").alias("band"))
-    blocks = F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)))
     spread = chosen.select("band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("salt"))
     picked = salted.join(spread, ["band", "salt"], "left_semi").select("band", "id", "m", F.when(F.col("m") > BLOCK, blocks).otherwise(1).alias("nb"))
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("nb")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     placed = picked.withColumn("own", own).withColumn("other", other)
-    placed = placed.select("band", "id", "m", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    placed = placed.select("band", "id", "m", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     full = placed.join(reps.select("id", "sig"), "id")
     small = full.where(F.col("m") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("id", "sig")).alias("members"))
     few = small.select("members").mapInArrow(_small_candidate_edges(least), "a bigint, b bigint")
@@ -262,109 +253,145 @@ def candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> Data
 
 
 def _shingle_rows(words: int):
+    names = ["id", "root", "weight", "nb"]
+
     def run(batches):
         for b in batches:
-            for at, texts in _texts(b.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), b.column(3).slice(at, len(texts)), b.column(4).slice(at, len(texts)), pa.array([shingles(t, words).tobytes() for t in texts], pa.binary())],
-                    ["id", "root", "m", "weight", "set"],
-                )
+            for at, texts in _texts(b.column(4)):
+                sets = pa.array([shingles(t, words).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(at, len(texts)) for i in range(4)], sets], [*names, "set"])
 
     return run
 
 
-def exact_links(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), j < i, of sets with a Jaccard similarity of at least the threshold, from exact intersections."""
-    n = len(sets)
+def exact_links(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sets of a and of b with a Jaccard similarity of at least the threshold, from exact intersections.
+
+    b is None: pairs j < i within a.
+    """
+    sets = a if b is None else [*a, *b]
+    na, nb = len(a), len(a) if b is None else len(b)
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(flat, kind="stable")
     value, own = flat[order], owner[order]
     new = np.concatenate([[True], value[1:] != value[:-1]])
     column = np.cumsum(new) - 1
     often = np.bincount(column)[column] > 1  # a shingle of one set only adds nothing
     column, own = column[often], own[often]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((na, nb), np.float32)
     if len(column):
         column = np.cumsum(np.concatenate([[0], (column[1:] != column[:-1]).astype(np.int64)]))
-        width = max(64, (1 << 22) // n)
-        for a in range(0, int(column[-1]) + 1, width):
-            lo, hi = np.searchsorted(column, [a, a + width])
-            m = np.zeros((n, width), np.float32)
-            m[own[lo:hi], column[lo:hi] - a] = 1
-            common += m @ m.T  # counts below 2^24 are exact
+        width = max(64, (1 << 22) // len(sets))
+        for at in range(0, int(column[-1]) + 1, width):
+            lo, hi = np.searchsorted(column, [at, at + width])
+            m = np.zeros((len(sets), width), np.float32)
+            m[own[lo:hi], column[lo:hi] - at] = 1
+            common += m @ m.T if b is None else m[:na] @ m[na:].T  # counts below 2^24 are exact
     inter = common.astype(np.float64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    return np.nonzero(np.tril(inter >= threshold * union - 1e-9, -1))
+    union = sizes[:na, None] + (sizes[None, :] if b is None else sizes[None, na:]) - inter
+    hit = inter >= threshold * union - 1e-9
+    return np.nonzero(np.tril(hit, -1) if b is None else hit)
+
+
+def links_of(sets: list[np.ndarray], block: np.ndarray, threshold: float):
+    """Linked pairs (i, j) of a group's sets, a few hundred by a few hundred; parts whose sizes are too far apart for any
+    link are passed over. Of two blocks only pairs across count."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    apart = len(block) > 0 and block.min() != block.max()
+    for p in range(0, len(order), PART):
+        first = order[p : p + PART]
+        for q in range(p, len(order), PART):
+            second = order[q : q + PART]
+            if sizes[first[-1]] < threshold * sizes[second[0]] - 1e-9:
+                break
+            i, j = exact_links([sets[k] for k in first], None if p == q else [sets[k] for k in second], threshold)
+            i, j = first[i], second[j]
+            if apart:
+                across = block[i] != block[j]
+                i, j = i[across], j[across]
+            if len(i):
+                yield i, j
 
 
 def _verify(threshold: float):
     def run(key, t):
         ids, weight = t.column("id").to_numpy(), t.column("weight").to_numpy()
-        block = t.column("block").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-        i, j = exact_links(sets, threshold)
-        x, y = key[1].as_py(), key[2].as_py()
-        if x != y:  # pairs within a block are counted where the block meets itself
-            across = block[i] != block[j]
-            i, j = i[across], j[across]
         n = len(ids)
-        links = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
-        docs = np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)
-        root = _forest_edges(n, i, j)
+        links, docs, root = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        for i, j in links_of(sets, t.column("block").to_numpy(), threshold):
+            links += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            np.add.at(docs, i, weight[j])
+            np.add.at(docs, j, weight[i])
+            root = root[forest(n, root[i], root[j])[root]]
         some = np.flatnonzero(links)
-        return pa.table({"id": ids[some], "links": links[some].astype(np.int64), "docs": docs[some].astype(np.int64), "root": ids[root[some]]})
+        return pa.table({"id": ids[some], "links": links[some], "docs": docs[some], "root": ids[root[some]]})
 
     return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, class_id, class_docs, class_links, n_links, group_id, kept.
+    """One row for each document: doc_id, n_shingles, class_id, class_docs, class_links, n_links, group_id, kept, th, group.
 
     class_id: the smallest doc_id with the same set of shingles; class_links: other classes at or above the threshold;
-    n_links: other documents at or above it, copies included; group_id: the smallest class_id that links lead to; kept:
-    whether the document is its group's. A text without words (null, empty, blank) links with nothing and is a class of
-    its own. Rows that repeat a doc_id are counted as copies, and kept together; a null id is never a class's name.
+    n_links: other documents at or above it, copies included; group_id: the smallest doc_id that links lead to; kept: whether
+    the document's id is its group's. A text without words (null, empty, blank) links with nothing and is a class of its own.
+    Every row is a document of its own: rows that repeat a doc_id, with the same text or another one, and rows without an
+    id (which never name a class or group; one without any id has null, and all its rows are kept). group: a number of the
+    group, its own even where names repeat; th: xxhash64 of the text. Empty input gives an empty result.
     """
-    d = docs.select(F.col("doc_id").cast("bigint"), "text")
-    sketches = cut(d.mapInArrow(_sketch(words), SKETCH))
+    d = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("th"))
+    numbered = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "th", "text")
+    sketches = cut(numbered.mapInArrow(_sketch(words), SKETCH))  # the cut fixes the numbers
     some = sketches.where("n > 0")
-    same = {"first": F.min("doc_id"), "c": F.count("*")}, {"class_id": F.min("first"), "class_docs": F.sum("c")}
-    members = cut(attach_by_key(some.select("doc_id", "n", "k1", "k2"), ["n", "k1", "k2"], ["doc_id"], *same).select("doc_id", "n", "class_id", "class_docs"))
-    firsts = members.where("doc_id = class_id").select(F.col("doc_id").alias("id"), F.col("class_docs").alias("weight")).dropDuplicates(["id"])
-    reps = cut(some.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]).join(firsts, "id"))
+    same = {"node": F.min("row"), "first": F.min("doc_id"), "c": F.count("*")}, {"node": F.min("node"), "class_id": F.min("first"), "class_docs": F.sum("c")}
+    members = cut(attach_by_key(some.select("row", "doc_id", "th", "n", "k1", "k2"), ["n", "k1", "k2"], ["row"], *same).select("row", "doc_id", "th", "n", "node", "class_id", "class_docs"))
+    firsts = members.where("row = node").select(F.col("row").alias("id"), "class_id", F.col("class_docs").alias("weight"))
+    reps = cut(some.select(F.col("row").alias("id"), "doc_id", "th", "n", "sig").join(firsts, "id"))
     near = components(candidate_edges(reps, threshold, tolerance))
-    sized = attach_by_key(near, ["root"], ["node"], {"c": F.count("*")}, {"m": F.sum("c")})
-    todo = cut(sized.join(reps.select("id", "weight"), F.col("node") == F.col("id")).select("id", "root", "m", "weight"))
-    texts = d.withColumnRenamed("doc_id", "id").join(todo, "id").dropDuplicates(["id"]).select("id", "text", "root", "m", "weight")
-    sets = texts.mapInArrow(_shingle_rows(words), "id bigint, root bigint, m bigint, weight bigint, set binary")
-    nb = F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(1).cast("int")
-    sets = sets.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    nodes = cut(near.join(reps.select("id", "doc_id", "th", "n", "weight"), F.col("node") == F.col("id")).select("id", "root", "doc_id", "th", "n", "weight"))
+    sized = attach_by_key(nodes, ["root"], ["id"], {"m": F.count("*"), "w": F.sum("n")}, {"m": F.sum("m"), "w": F.sum("w")})
+    blocks = F.greatest(F.ceil(F.col("m") / VERIFY_ROWS), F.ceil(F.col("w") * 8 / VERIFY_BYTES)).cast("int")
+    todo = sized.select("id", "root", "weight", blocks.alias("nb"), F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+    # Rows that repeat an id and its text are one here, whichever of them comes.
+    texts = d.join(todo, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).dropDuplicates(["id"])
+    sets = texts.select("id", "root", "weight", "nb", "text").mapInArrow(_shingle_rows(words), "id bigint, root bigint, weight bigint, nb int, set binary")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     sets = sets.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "weight", "block", "set")
     found = cut(sets.groupBy("root", "x", "y").applyInArrow(_verify(threshold), "id bigint, links bigint, docs bigint, root bigint"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    linked = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs")).join(groups.withColumnRenamed("root", "group"), F.col("id") == F.col("node"), "left")
+    # A group is named by its smallest doc_id.
+    named = cut(groups.join(firsts.select(F.col("id").alias("node"), "class_id"), "node"))
+    named = attach_by_key(named, ["root"], ["node"], {"name": F.min("class_id")}, {"name": F.min("name")})
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
+    linked = counts.join(named.select(F.col("node").alias("id"), "name", F.col("root").alias("group")), "id")
     # Back to the documents by (class, salt): a class may hold a large part of them.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")
-    spread = linked.select(F.col("id").alias("class_id"), "links", "docs", "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    out = members.withColumn("salt", salt).join(spread, ["class_id", "salt"], "left").select(
+    salt = F.pmod(F.xxhash64("row"), F.lit(32)).cast("int")
+    spread = linked.withColumnRenamed("id", "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    out = members.withColumn("salt", salt).join(spread, ["node", "salt"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", "class_docs",
         F.coalesce("links", F.lit(0)).alias("class_links"),
         (F.coalesce("docs", F.lit(0)) + F.col("class_docs") - 1).alias("n_links"),
-        F.coalesce("group", "class_id").alias("group_id"),
+        F.when(F.col("links").isNull(), F.col("class_id")).otherwise(F.col("name")).alias("group_id"),
+        "th", F.coalesce("group", "node").alias("group"),
     )
     zero = F.lit(0).cast("bigint")
     blank = sketches.where("n = 0").select(
         "doc_id", zero.alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_docs"),
-        zero.alias("class_links"), zero.alias("n_links"), F.col("doc_id").alias("group_id"),
+        zero.alias("class_links"), zero.alias("n_links"), F.col("doc_id").alias("group_id"), "th", F.col("row").alias("group"),
     )
-    return out.unionByName(blank).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.col("group_id").isNull()))
+    return out.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id"))).select(*RESULT, "th", "group")
+
+
+RESULT = ("doc_id", "n_shingles", "class_id", "class_docs", "class_links", "n_links", "group_id", "kept")
 
 
 def op9_jaccard_bayes(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select(*RESULT)
 
 
 #: The same over all pairs of documents with a common shingle and the closure of their links.

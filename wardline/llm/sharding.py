@@ -1,10 +1,13 @@
 """Operator 4: balanced label propagation over document shards (native).
 
-Documents with equal texts are linked through their group. Every document starts with a hashed shard label;
-groups then vote, documents move to the label most of their neighbours hold, and capacity quotas limit what a
-shard may take in a round. What is refused tries a shard with room for it in the next round, first one that holds other
-documents of its group. What fits nowhere whole is laid out group after group over the room that is left, and
-documents without links fill the shards to counts that differ by one at most (the law `rows`).
+Documents with equal texts are linked; what a group of them must agree on is a shard label. Every document starts with a
+hashed label. Then, in rounds: blocks (groups, or quota-sized runs of a larger one) are joined with the labels of all
+documents they are linked to, and move to the label that most of those hold among the shards with room for the whole
+block; capacity quotas let in what fits, larger blocks first; a block that is let in carries its label into the next
+round's votes, one that was refused looks for room elsewhere and then votes again. Rounds end when no block that is left
+fits anywhere. Such blocks are laid out group after group over the room that is left, and documents without links fill the
+shards to counts that differ by one at most (the law `rows`). `cut_links` says how many of a document's links lead into
+other shards.
 
 Scale: a row's group is only ever handled as (group, salt), so a group that holds a third of all rows is spread
 over 64 pieces; votes are pre-aggregated before each shuffle. Only a group larger than a shard's quota is cut, into
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 SALTS = 64
-CELLS = 64
+CELLS = 256
 BUCKETS = 1024
 LARGE = 16  # blocks of more than a LARGEth of a quota are placed before all others
 
@@ -36,55 +39,64 @@ def _pick(values: list[int], index):
     return F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), (index + 1).cast("int"))
 
 
-def _settle(blocks: DataFrame, load: list[int], quota: int, rounds: int, ranked: bool) -> DataFrame:
-    """Rounds of letting in and moving on, until all blocks are settled or fit nowhere whole; `load` is brought up to date.
+def _settle(blocks: DataFrame, votes: DataFrame, load: list[int], quota: int, rounds: int, few: bool) -> DataFrame:
+    """Rounds of voting and letting in, until all blocks are settled or fit nowhere whole; `load` is brought up to date.
 
-    `ranked`: refused blocks, few by then, are dealt to the shards by size; otherwise each is hashed over the free room.
+    blocks: g, start, rows, parts; votes: g, label, v (documents of g that start with the label). Adds label and settled.
+    few: blocks are that few that each has a place of its own in the order of letting in.
     """
     n_shards = len(load)
+    blocks = blocks.select("g", "start", "rows", "parts", F.lit(-1).alias("label"), F.lit(False).alias("settled"), F.lit(0).alias("refused"))
     for r in range(rounds):
+        free = [quota - x for x in load]
+        # The votes: labels of linked documents, those of settled blocks as they are now, where the block has room.
+        settled = blocks.where("settled and parts > 1").select("g", "label", F.col("rows").alias("v"))
+        heard = blocks.where("not settled").select("g", "start", "rows").join(votes.unionByName(settled).groupBy("g", "label").agg(F.sum("v").alias("v")), "g")
+        ballot = F.sort_array(F.collect_list(F.struct("v", F.xxhash64("g", "label").alias("h"), "label")), asc=False)
+        heard = heard.where(_pick(free, F.col("label")) >= F.col("rows")).groupBy("g", "start").agg(ballot.alias("ballot"))
+        turn = F.pmod((F.col("start") / F.greatest(F.col("rows"), F.lit(quota))).cast("int"), F.size("ballot"))  # blocks of one group ask for different shards
+        wanted = F.get("ballot", turn)["label"]
+
+        # Elsewhere: shards by free room, most first; those that can take the block whole are the first `fit` of them.
+        order = sorted(range(n_shards), key=lambda s: (-free[s], s))
+        bounds = list(accumulate(max(0, free[s]) for s in order))
+        fit = F.size(F.filter(F.array(*[F.lit(free[s]).cast("long") for s in order]), lambda f: f >= F.col("rows")))
+        total = F.greatest(_pick([0, *bounds], fit), F.lit(1))
+        place = F.least(_lookup(bounds, F.pmod(F.xxhash64("g", "start", F.lit(r)), total)), F.lit(n_shards - 1))
+        elsewhere = F.when(fit > 0, _pick(order, place))
+        asked = F.when(F.col("settled"), F.col("label")).when(F.col("refused") % 2 == 1, elsewhere).otherwise(F.coalesce(wanted, elsewhere))
+        if few:
+            cell = F.row_number().over(Window.orderBy("settled", F.desc("rows"), F.xxhash64("g", "start", F.lit(r)), "g", "start"))
+        else:
+            cell = (252 - F.floor(4 * F.log2("rows"))) * CELLS + F.pmod(F.xxhash64("g", "start", F.lit(r)), F.lit(CELLS))
+        blocks = cut(blocks.join(heard, ["g", "start"], "left").withColumn("asked", asked.cast("int")).withColumn("cell", cell.cast("int")).drop("ballot"))
+
         # Quotas: in each shard blocks are let in by cell, larger ones first, while the count stays within the quota.
-        w = Window.partitionBy("label").orderBy("cell")
-        waiting = blocks.where("not settled").groupBy("label", "cell").agg(F.sum("rows").alias("rows"))
+        w = Window.partitionBy("asked").orderBy("cell")
+        waiting = blocks.where("not settled and asked is not null").groupBy("asked", "cell").agg(F.sum("rows").alias("rows"))
         granted = (
             waiting.withColumn("sum", F.sum("rows").over(w))
-            .where(F.col("sum") <= _pick([quota - x for x in load], F.col("label")))
-            .groupBy("label")
+            .where(F.col("sum") <= _pick(free, F.col("asked")))
+            .groupBy("asked")
             .agg(F.max("cell").alias("cell"), F.max("sum").alias("rows"))
             .collect()  # one row for each shard at most
         )
         limit = [-1] * n_shards
         for row in granted:
-            limit[row["label"]] = row["cell"]
-            load[row["label"]] += row["rows"]
-        done = blocks.withColumn("settled", F.col("settled") | (F.col("cell") <= _pick(limit, F.col("label"))))
-
-        # Shards by free room, most first: those that can take a block whole are the first `fit` of them.
-        free = [quota - x for x in load]
-        order = sorted(range(n_shards), key=lambda s: (-free[s], s))
-        bounds = list(accumulate(free[s] for s in order))
-        fit = F.size(F.filter(F.array(*[F.lit(free[s]).cast("long") for s in order]), lambda f: f >= F.col("rows")))
-        if ranked:
-            turn = F.row_number().over(Window.partitionBy("settled").orderBy(F.desc("rows"), "g", "start")) - 1
-            place = F.pmod(turn, F.greatest(fit, F.lit(1)))
-        else:
-            total = F.greatest(_pick([0, *bounds], fit), F.lit(1))
-            place = F.least(_lookup(bounds, F.pmod(F.xxhash64("g", "start", F.lit(r)), total)), F.lit(n_shards - 1))
-        kin = done.where("settled and parts > 1").groupBy("g").agg(F.sort_array(F.collect_set("label")).alias("kin"))
-        near = F.get(F.filter("kin", lambda s: _pick(free, s) >= F.col("rows")), F.lit(0))
-        moved = done.join(kin, "g", "left").withColumn("place", place)
-        blocks = cut(
-            moved.withColumn(
-                "label", F.when(F.col("settled"), F.col("label")).otherwise(F.coalesce(near, _pick(order, F.col("place")))).cast("int")
-            ).drop("kin", "place")
-        )
-        if blocks.where((~F.col("settled")) & (F.col("rows") <= max(free))).isEmpty():
+            limit[row["asked"]] = row["cell"]
+            load[row["asked"]] += row["rows"]
+        entered = ~F.col("settled") & F.coalesce(F.col("cell") <= _pick(limit, F.col("asked")), F.lit(False))
+        blocks = blocks.withColumn("entered", entered).select(
+            "g", "start", "rows", "parts", F.when(F.col("entered"), F.col("asked")).otherwise(F.col("label")).alias("label"),
+            (F.col("settled") | F.col("entered")).alias("settled"), (F.col("refused") + (~F.col("entered")).cast("int")).alias("refused"),
+        )
+        if blocks.where((~F.col("settled")) & (F.col("rows") <= quota - min(load))).isEmpty():
             break
     return blocks
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 8, seed: int = 7) -> DataFrame:
-    """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows, linked.
+def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 60, seed: int = 7) -> DataFrame:
+    """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows, cut_links.
 
     Null texts count as empty ones and are linked with them. Rows that repeat a doc_id are rows of their own.
     Empty input gives an empty result; columns other than doc_id and text are ignored.
@@ -111,27 +123,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 8, seed:
         "g", "salt", F.sum("c").over(of_group).alias("n"), F.coalesce(F.sum("c").over(before_salt), F.lit(0)).alias("offset")
     )
 
-    # Round 0: a group's label is that of most of its documents; ties go to the label a hash of the group prefers. Further
-    # blocks of a group take the labels next in number, as a shard holds one at most.
-    first = (
-        base.groupBy("g", "start")
-        .agg(F.count("*").alias("v"))
-        .groupBy("g")
-        .agg(F.sum("v").alias("n"), F.sort_array(F.collect_list(F.struct("v", F.xxhash64("g", "start").alias("h"), F.col("start").alias("label"))), asc=False).alias("labels"))
-        .where("n > 1")
-        .withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
-        .select("g", "n", "parts", "labels", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    )
-    blocks = first.select(
-        "g", "parts", (F.col("j").cast("long") * block_rows).alias("start"),
-        F.least(F.lit(block_rows).cast("long"), F.col("n") - F.col("j").cast("long") * block_rows).alias("rows"),
-        F.element_at("labels", F.pmod("j", F.size("labels")) + 1)["label"].alias("label"), F.lit(False).alias("settled"),
-    )
-    cell = (252 - F.floor(4 * F.log2("rows"))) * CELLS + F.pmod(F.xxhash64("g", "start"), F.lit(CELLS))
-    blocks = cut(blocks.withColumn("cell", cell.cast("int")))
+    votes = cut(base.groupBy("g", F.col("start").alias("label")).agg(F.count("*").alias("v")))
+    groups = votes.groupBy("g").agg(F.sum("v").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
+    blocks = groups.select("g", "n", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    begin = F.col("j").cast("long") * block_rows
+    blocks = cut(blocks.select("g", "parts", begin.alias("start"), F.least(F.lit(block_rows).cast("long"), F.col("n") - begin).alias("rows")))
+    votes = votes.join(groups.select("g"), "g", "left_semi")
     load = [0] * n_shards
     large = F.col("rows") * LARGE > quota  # fewer than LARGE * (n_shards + 1)
-    blocks = _settle(blocks.where(large), load, quota, rounds, True).unionByName(_settle(blocks.where(~large), load, quota, rounds, False))
+    blocks = _settle(blocks.where(large), votes, load, quota, rounds, True).unionByName(_settle(blocks.where(~large), votes, load, quota, rounds, False))
 
     # What is not settled lies in the order of groups before the documents without links, in two levels as the ranks below.
     rest_of = Window.partitionBy("b").orderBy("g", "start").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,9 +151,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 8, seed:
     placed = base.join(labels, ["g", "salt"], "left").withColumn("at", at)
     placed = placed.withColumn("span", F.filter("spans", lambda x: (x["start"] <= F.col("at")) & (F.col("at") < x["start"] + x["rows"])))
     placed = placed.withColumn("span", F.get("span", F.lit(0)))
+    whole = (F.size("spans") == 1) & (F.get("spans", F.lit(0))["label"] < n_shards)
     placed = placed.select(
         "doc_id", "size", "text_crc32",
         F.coalesce("n", F.lit(1)).alias("group_rows"),
+        F.when(~whole, F.col("spans")).alias("spans"),
         F.coalesce("span.label", F.lit(n_shards)).alias("part"),
         (F.col("span.fill") + F.col("at") - F.col("span.start")).alias("fill"),
         F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(BUCKETS)).cast("int").alias("bucket"),
@@ -182,6 +184,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 8, seed:
     into = _pick(order, _lookup(bounds, F.col("r")))
     slot_base = F.array(*[F.lit(load[s] - (bounds[order.index(s)] - rest[s])).cast("long") for s in range(n_shards)])
     out = ranked.withColumn("shard", F.when(loose, into).otherwise(F.col("part")).cast("int"))
+    # Of its group in the same shard: settled blocks with that label, and what of the others lies within the shard's loose room.
+    upto = _pick([bounds[order.index(s)] for s in range(n_shards)], F.col("shard"))
+    since = upto - _pick(rest, F.col("shard"))
+    overlap = lambda x: F.greatest(F.lit(0).cast("long"), F.least(x["fill"] + x["rows"], upto) - F.greatest(x["fill"], since))
+    held = lambda x: F.when(x["label"] == F.col("shard"), x["rows"]).when(x["label"] > n_shards, overlap(x)).otherwise(F.lit(0).cast("long"))
+    together = F.when(F.col("spans").isNotNull(), F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + held(x))).otherwise(F.col("group_rows"))
     return out.select(
         "doc_id",
         "size",
@@ -191,7 +199,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 8, seed:
         F.when(loose, F.col("r") + F.element_at(slot_base, F.col("shard") + 1)).otherwise(F.col("r")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "group_rows",
-        (~loose).alias("linked"),
+        (F.col("group_rows") - together).alias("cut_links"),
     )
 
 
