@@ -16,7 +16,10 @@ ORACLE_SQL = None  # learned models and piece ids are beyond SQL; tests hold the
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.5, by a model fitted on the labels. Without labels of both kinds all stay."""
+    """Documents whose score is at least 0.5, by a model fitted on the labels. Without labels of both kinds all stay.
+
+    Null and empty texts have the score of the model's prior; rows that repeat another share its fate.
+    """
     model = quality.train_model(docs, common.table(spark, sf_dir, "labels"))
     if not model.both:
         return docs.select(*COLUMNS)
@@ -24,17 +27,21 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; one row of those that repeat it.
+    """One document of each group of near duplicates: that with the smallest doc_id (null only if none has one).
 
-    Rows without an id cannot be told apart by it and stay.
+    Of several rows of a group with that id one text stays, and one of the rows that repeat it. Texts without words (null,
+    empty, blank) are groups of their own; rows that repeat such a one are one row afterwards.
     """
-    kept = jaccard.near_duplicates(docs.where(F.col("doc_id").isNotNull())).where("kept").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    kept = jaccard.near_duplicates(docs).where("kept").groupBy("group", "doc_id").agg(F.min("th").alias("th"))
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    own = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text"))
+    named = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    return named.dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
 
 
 def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts gives way to its kind in angle brackets; n_chars follows."""
+    """Personal data in the texts gives way to its kind in angle brackets; n_chars follows. Null texts, and their n_chars,
+    stay as they are; repeated rows are rows of their own."""
     masked = pii.mask_documents(docs.select(*COLUMNS), pii.train_model(docs))
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
@@ -54,7 +61,8 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256, round_trip of each row of the mix."""
+    """doc_id, n_tokens, ids, decoded_sha256, round_trip of each row of the mix, repeated ones too; null and empty texts
+    have no ids."""
     return pieces.encode_documents(docs)
 
 
