@@ -37,6 +37,14 @@ def test_one_of_each_group_stays(stages):
     assert not [r for r in jaccard.near_duplicates(after).collect() if r.n_links]
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark, sf):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (0, a + " x"), (3, b + " y"), (5, a + " z"), (None, "one two three"), (None, "one  two three"), (7, "q r s"), (7, "Q r s"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, (r.text or "").lower().split()) for r in cp.keep_one_of_each_group(spark, docs, sf).collect()]
+    assert sorted(kept, key=str) == sorted([(0, (a + " x").split()), (1, b.split()), (None, ["one", "two", "three"]), (7, ["q", "r", "s"]), (8, [])], key=str)
+
+
 def test_nothing_personal_is_left(stages):
     before, after = ({r.doc_id: r for r in x.collect()} for x in stages["personal_data"])
     assert set(before) == set(after)
