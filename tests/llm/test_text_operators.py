@@ -103,8 +103,19 @@ def test_fingerprints_of_odd_rows(spark, monkeypatch):
     assert one.near_next == 1.0 and one.fingerprint == brute_print("same text here")
 
 
-def test_order_does_not_matter():
-    assert brute_print("a\nb\n") == brute_print("b\na\n") and brute_print("a") != brute_print("a\n")
+def test_paragraphs_are_added_and_removed(spark):
+    from pyspark.sql import functions as F
+
+    texts = {"ab": "a one.\nb two.\n", "ba": "b two.\na one.\n", "a": "a one.\n", "b": "b two.\n", "abb": "a one.\nb two.\nb two.\n", "long": "x" * 400 + "\n" * 70000}
+    d = spark.createDataFrame(list(texts.items()), "key string, text string").select("key", F.explode(fingerprint.paragraphs(F.col("text"))).alias("piece"))
+    prints = {r.key: r.fingerprint for r in fingerprint.fingerprint_paragraphs(d, "key").collect()}
+    assert prints == {k: brute_print(t) for k, t in texts.items()} and prints["ab"] == prints["ba"] != prints["abb"]
+    one = spark.createDataFrame([tuple(prints.values())], list(prints))
+    r = one.select(
+        fingerprint.add(one.a, one.b).alias("ab"), fingerprint.remove(one.ab, one.a).alias("b"), fingerprint.add(fingerprint.add(one.b, one.a), one.b).alias("abb"),
+        fingerprint.remove(fingerprint.add(one.long, one.a), one.long).alias("a"), fingerprint.add(one.a, F.lit(None).cast("string")).alias("none"),
+    ).first()
+    assert r.none is None and all(r[k] == prints[k] for k in ("ab", "b", "abb", "a"))
 
 
 # Personal data
@@ -145,6 +156,62 @@ def test_model_adds_linked_spellings_only():
     assert pii.fit([]).skip == start.skip
 
 
+def test_tokens_equal_the_patterns():
+    random.seed(7)
+    number, at = r"[0-9(][0-9 ().-]{5,}[0-9]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*"
+    for _ in range(3000):
+        t = "".join(random.choice("aB1234567890..@@-- ()%") for _ in range(40))
+        assert list(pii._number_tokens(t)) == [m.span() for m in re.finditer(number, t)], t
+        assert list(pii._at_words(t)) == [m.span() for m in re.finditer(at, t)], t
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    model = pii.SkipChainModel.start()
+    for tail in ("a" * 10**6, "(" * 10**6, "1" * 300_000, "1.(" * 100_000, "a@" * 100_000, "@a" * 100_000, " " * 10**6, "1-" * 100_000, "x+" * 200_000, "a.b" * 200_000):
+        began = time.process_time()
+        pii.find_spans(["jo.doe@mail.example.com " + tail], model)
+        assert time.process_time() - began < 60, tail[:6]  # a quadratic scan takes many minutes
+
+
+def test_marginals_equal_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    L = pii.LABELS
+    for trial in range(6):
+        model = pii.SkipChainModel(rng.normal(size=(pii.N_FEATURES, L)), rng.normal(size=(L, L)), 1.5)
+        model.chain = (model.chain + model.chain.T) / 2
+        f = (rng.random((4, pii.N_FEATURES)) < 0.2).astype(float)
+        f[:, pii.EVIDENCE] = 0
+        if trial % 2:
+            f[0, pii.EVIDENCE.start + trial % 4] = 1
+        chain, skip = np.array([[0, 1], [2, 3]]), np.array([[1, 2]])  # a tree: passing is exact
+        own = f @ model.unary
+        own[:, 1:] += 20.0 * f[:, pii.EVIDENCE]
+        want = np.zeros((4, L))
+        top = None
+        for y in itertools.product(range(L), repeat=4):
+            e = sum(own[i, y[i]] for i in range(4)) + sum(model.chain[y[a], y[b]] for a, b in chain) + sum(model.skip_table()[y[a], y[b]] for a, b in skip)
+            top = e if top is None else top
+            for i in range(4):
+                want[i, y[i]] += np.exp(e - top)
+        want /= want.sum(1, keepdims=True)
+        assert np.abs(model.marginals(f, chain, skip, rounds=60) - want).max() < 1e-6
+        # With a loop the labels that are likeliest stay those of the enumeration where they are clear.
+        loop = np.array([[1, 2], [0, 3]])
+        p = model.marginals(f, chain, loop, rounds=60)
+        assert p.shape == want.shape and np.allclose(p.sum(1), 1)
+
+
+def test_the_sample_does_not_depend_on_repeated_rows(spark):
+    rows = [(i, f"call +1 (826) 555-40{i:02d} or 826 555 40{i:02d}", "a", "en", 1, "", "") for i in range(30)]
+    hot = [(5, "mail jo.doe@mail.example.com", "a", "en", 1, "", "")] * 300
+    a, b = (pii.train_model(table(spark, r).repartition(n), most_docs=12) for r, n in ((rows + hot, 3), (hot[:1] + rows[::-1], 5)))
+    assert np.array_equal(a.unary, b.unary) and a.skip == b.skip
+
+
 def test_model_decides_without_base_spans(spark):
     t = "Call +1 (826) 555-4081 or 826 555 4081, mail Jo.Doe@mail.example.com or jo.doe@mail."
     model = pii.fit([pii.nodes_of(t, pii.base_spans(t))] * 20)

@@ -2,8 +2,8 @@
 
 Patterns give the base spans (email, ip, card, phone). In documents that have any, tokens that could be personal data
 in another spelling (a number with other separators or without its prefix, an address without its top-level domain)
-become nodes of a conditional random field with the base spans. Nodes have features of their shape and of the pattern
-evidence; neighbours in the text share a chain potential; distant tokens with the same or a similar core (the last seven
+become nodes of a conditional random field with the base spans. Nodes have features of their shape, their digits and
+separators, the word before them and the pattern evidence; neighbours in the text share a chain potential; distant tokens with the same or a similar core (the last seven
 digits, the part before the at sign) share a skip potential. Loopy sum-product passing then decides what else is labelled,
 consistently over the document. Base spans are evidence and always stay.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +36,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NUMBER = re.compile(r"[0-9(][0-9 ().-]{5,}[0-9]")
-_AT_WORD = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*")
+_NUMBER_RUN = re.compile(r"[0-9 ().-]{7,}")
+_AT_END = re.compile(r"[A-Za-z0-9.-]*")
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[\W\d_]*\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -103,7 +105,19 @@ def _shape(token: str) -> int:
 
 N_SHAPES = 6
 BATCH_NODES = 4096
-N_FEATURES = 1 + N_SHAPES + len(KINDS)
+EVIDENCE = slice(1 + N_SHAPES, 1 + N_SHAPES + len(KINDS))
+N_WORDS, N_SEPARATORS, N_LENGTHS = 16, 8, 10  # buckets of the word before a token, of its separators, of its digits
+N_FEATURES = EVIDENCE.stop + N_WORDS + N_SEPARATORS + N_LENGTHS
+
+
+def _context(text: str, a: int, b: int) -> tuple[int, int, int]:
+    """Buckets of what stands before a token and of how it is written."""
+    before = _WORD_BEFORE.search(text[max(0, a - 24) : a])
+    word = 1 + zlib.crc32(before[1].lower().encode()) % (N_WORDS - 1) if before else 0
+    token = text[a:b]
+    marks = sum(1 << i for i, c in enumerate(" -.(") if c in token)
+    digits = sum("0" <= c <= "9" for c in token)
+    return word, marks % N_SEPARATORS, min(digits // 2, N_LENGTHS - 1)
 
 
 def _core(token: str, kind: int | None) -> str:
@@ -114,9 +128,33 @@ def _core(token: str, kind: int | None) -> str:
     return "n" + "".join(c for c in token if "0" <= c <= "9")[-7:]
 
 
+def _at_words(text: str):
+    """Places of at signs with what could be an address around them, each from where the one before ended."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        done = at + 1
+        if start < at:
+            done = _AT_END.match(text, at + 1).end()
+            yield start, done
+        at = text.find("@", done)
+
+
+def _number_tokens(text: str):
+    """Places of digits with spaces, dots, hyphens and parentheses between them: seven characters or more, from a digit or
+    an opening parenthesis to a digit."""
+    for m in _NUMBER_RUN.finditer(text):
+        run = m[0]
+        a, b = m.end() - len(run.lstrip(" ).-")), m.start() + len(run.rstrip(" ().-"))
+        if b - a >= 7:
+            yield a, b
+
+
 def nodes_of(text: str, base: list[tuple[int, int, int]]):
-    """(start, end, kind or None, shape, core) of the base spans and of what else could be personal data."""
-    out = [(a, b, k, _shape(text[a:b]), _core(text[a:b], k)) for a, b, k in base]
+    """(start, end, kind or None, shape, core, context) of the base spans and of what else could be personal data."""
+    out = [(a, b, k, _shape(text[a:b]), _core(text[a:b], k), _context(text, a, b)) for a, b, k in base]
     taken = sorted((a, b) for a, b, _ in base)
     ends, high = [], 0
     for _, b in taken:
@@ -124,16 +162,15 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]):
         ends.append(high)
     starts = np.array([a for a, _ in taken])
     ends = np.array(ends)
-    for pattern in (_AT_WORD, _NUMBER):
-        for m in pattern.finditer(text):
-            a, b = m.span()
+    for find in (_at_words, _number_tokens):
+        for a, b in find(text):
             i = int(np.searchsorted(starts, b))  # base spans that start before this one ends
             if i and ends[i - 1] > a:
                 continue
-            token = m[0]
-            if pattern is _NUMBER and sum("0" <= c <= "9" for c in token) < 7:
+            token = text[a:b]
+            if find is _number_tokens and sum("0" <= c <= "9" for c in token) < 7:
                 continue
-            out.append((a, b, None, _shape(token), _core(token, None)))
+            out.append((a, b, None, _shape(token), _core(token, None), _context(text, a, b)))
     out.sort(key=lambda x: (x[0], x[1], -1 if x[2] is None else x[2]))
     return out
 
@@ -151,11 +188,12 @@ def _edges(nodes, offset: int, chain, skip, near: int = 40) -> None:
 
 def _feature_rows(nodes) -> np.ndarray:
     f = np.zeros((len(nodes), N_FEATURES))
-    for i, (_, _, kind, shape, _) in enumerate(nodes):
-        f[i, 0] = 1
-        f[i, 1 + shape] = 1
+    for i, (_, _, kind, shape, _, (word, marks, digits)) in enumerate(nodes):
+        f[i, 0] = f[i, 1 + shape] = 1
         if kind is not None:
-            f[i, 1 + N_SHAPES + kind] = 1
+            f[i, EVIDENCE.start + kind] = 1
+        at = EVIDENCE.stop
+        f[i, at + word] = f[i, at + N_WORDS + marks] = f[i, at + N_WORDS + N_SEPARATORS + digits] = 1
     return f
 
 
@@ -172,7 +210,7 @@ class SkipChainModel:
         unary = np.zeros((N_FEATURES, LABELS))
         unary[0, 0] = 1.0
         for k in range(len(KINDS)):
-            unary[1 + N_SHAPES + k, 1 + k] = 5.0
+            unary[EVIDENCE.start + k, 1 + k] = 5.0
         return SkipChainModel(unary, np.zeros((LABELS, LABELS)), 2.5)
 
     def skip_table(self) -> np.ndarray:
@@ -183,7 +221,7 @@ class SkipChainModel:
     def marginals(self, f: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
         """Beliefs of all nodes by loopy sum-product; every graph of a batch at once."""
         own = f @ self.unary
-        own[:, 1:] += 20.0 * f[:, 1 + N_SHAPES :]  # base spans stay
+        own[:, 1:] += 20.0 * f[:, EVIDENCE]  # base spans stay
         edges = np.concatenate([chain, skip]) if len(chain) + len(skip) else np.zeros((0, 2), np.int64)
         if len(edges):
             src = np.concatenate([edges[:, 0], edges[:, 1]])
@@ -227,23 +265,23 @@ def fit(node_lists, steps: int = 300, rate: float = 1.0, pull: float = 0.005, se
         cores = {x[4]: 1 + x[2] for x in nodes if x[2] is not None}
         # Without evidence but of a base token's core: taken for the same where it is a neighbour, itself not learned from.
         lists.append([(*x, cores.get(x[4], 0) if x[2] is None else 1 + x[2], float(x[2] is not None or x[4] not in cores)) for x in nodes])
-        for i, (_, _, k, s, core) in enumerate(nodes):
+        for i, (_, _, k, s, core, context) in enumerate(nodes):
             if k is not None:
                 # Without evidence a token of the same shape is the same data beside its like, and none when alone.
-                lists.append([(0, 1, k, s, core, 1 + k, 1.0), (10**6, 10**6 + 1, None, s, core, 1 + k, 1.0)])
-                lists.append([(0, 1, None, s, f"lone{i}", 0, 1.0)])
-    f, chain, skip = _assemble([[x[:5] for x in nodes] for nodes in lists])
+                lists.append([(0, 1, k, s, core, context, 1 + k, 1.0), (10**6, 10**6 + 1, None, s, core, context, 1 + k, 1.0)])
+                lists.append([(0, 1, None, s, f"lone{i}", context, 0, 1.0)])
+    f, chain, skip = _assemble([[x[:6] for x in nodes] for nodes in lists])
     if not len(f):
         return model
-    y = np.array([x[5] for nodes in lists for x in nodes])
-    counts = np.array([x[6] for nodes in lists for x in nodes])
+    y = np.array([x[6] for nodes in lists for x in nodes])
+    counts = np.array([x[7] for nodes in lists for x in nodes])
     one_hot = np.eye(LABELS)[y]
     src = np.concatenate([chain[:, 0], chain[:, 1]])
     dst = np.concatenate([chain[:, 1], chain[:, 0]])
     s_src, s_dst = np.concatenate([skip[:, 0], skip[:, 1]]), np.concatenate([skip[:, 1], skip[:, 0]])
     for _ in range(steps):
         g = f.copy()
-        g[rng.random(len(g)) < 0.5, 1 + N_SHAPES :] = 0
+        g[rng.random(len(g)) < 0.5, EVIDENCE] = 0
         z = g @ model.unary
         if len(src):
             np.add.at(z, dst, model.chain[y[src]])
@@ -268,10 +306,10 @@ def train_model(docs: DataFrame, most_docs: int = 400, most_bytes: int = 16384)
     """Fits on at most `most_docs` documents with digits or at signs and at most `most_bytes` bytes, the first by hash."""
     some = docs.select("doc_id", "text").where(F.col("text").rlike(r"@|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]") & (F.octet_length("text") <= most_bytes))
     # Hashes alone are ranked, so that tasks send numbers and the texts of the chosen few are fetched by them.
-    chosen = some.select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(most_docs)
+    chosen = some.select(F.xxhash64("doc_id", "text").alias("h")).distinct().orderBy("h").limit(most_docs)
     every = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    rows = every.join(F.broadcast(chosen.distinct()), "h").limit(2 * most_docs).collect()
-    texts = sorted({(r["h"], r["text"]) for r in rows})
+    rows = every.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).collect()  # rows that repeat are one
+    texts = sorted((r["h"], r["text"]) for r in rows)
     lists = [nodes_of(t, b) for _, t in texts if (b := base_spans(t))]
     return fit(lists)
 

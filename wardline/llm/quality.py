@@ -205,7 +205,7 @@ def held_out(doc_id="doc_id"):
 def train_model(docs: DataFrame, labels: DataFrame, per_label: int = 1500, most_bytes: int = 32768) -> QualityModel:
     """Fits on at most `per_label` rows of each label, the first by a hash of doc_id. Without labels: score 0.5 throughout.
 
-    A doc_id with several labels has the lowest; labels other than 0 and 1, and null ids, are left out.
+    A doc_id with several labels has the lowest, one with several texts the smallest of them; labels other than 0 and 1, and null ids, are left out.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -214,7 +214,8 @@ def train_model(docs: DataFrame, labels: DataFrame, per_label: int = 1500, most_
         some = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = some if picked is None else picked.unionByName(some)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= most_bytes)
-    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.limit(2 * per_label).collect())
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in sample.collect())  # one for each picked id at most
     texts, marks = [r[1].encode() for r in rows], [r[2] for r in rows]
     if not rows or not all(counts.get(q) for q in (0, 1)):
         only = 0.0 if not counts or not rows else (4.0 if counts.get(1) else -4.0)
