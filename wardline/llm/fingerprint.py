@@ -81,6 +81,39 @@ def fingerprint_text(exact: Column, signed: Column) -> Column:
     )
 
 
+def _lanes_of(text: Column, n: int, digits: int, at: int) -> Column:
+    place = lambda i: F.substr(text, F.lit(at + 1) + i * digits, F.lit(digits))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(place(i), 16, 10).cast("long"))
+
+
+def _combined(a: Column, b: Column, sign: int) -> Column:
+    parts = []
+    for n, digits, at in ((EXACT, 8, 0), (SIGNED, 4, 8 * EXACT)):
+        sums = F.zip_with(_lanes_of(a, n, digits, at), _lanes_of(b, n, digits, at), lambda x, y: F.pmod(x + sign * y, F.lit(1 << 4 * digits)))
+        parts.append(F.concat_ws("", F.transform(sums, lambda x: _hex(x, digits))))  # noqa: B023
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(*parts))
+
+
+def add(a: Column, b: Column) -> Column:
+    """The fingerprint of the paragraphs of a and those of b together; null if either is."""
+    return _combined(a, b, 1)
+
+
+def remove(a: Column, b: Column) -> Column:
+    """The fingerprint of the paragraphs of a without those of b, which it holds; null if either is."""
+    return _combined(a, b, -1)
+
+
+def fingerprint_paragraphs(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and fingerprint, from a row for each paragraph (piece): of texts in parts, or of what is to be added or removed.
+
+    Partial sums are taken before the shuffle, so a key with most of the rows costs a few rows for each task. Null pieces
+    count as empty ones.
+    """
+    sums = with_words(rows.select(*keys, F.coalesce("piece", F.lit("")).alias("piece"))).groupBy(*keys).agg(*lane_sums())
+    return sums.select(*keys, fingerprint_text(*lanes()).alias("fingerprint"))
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
 
