@@ -1,6 +1,8 @@
 import pytest
 
 from wardline.config import Engine, GapLimits, Route, from_dict, hash_order, load, parse_args, parse_limits
+from wardline.functions.markup import parse
+from wardline.plans import demo
 from wardline.sources.messages import flatten
 
 
@@ -27,3 +29,14 @@ def test_file_and_reload(tmp_path):
     assert e.config.words == {"l": ["w"]} and not e.config.reversed_too("l")
     p.write_text("banned-words:\n  l: [w, v]\n")
     assert e.reload().words == {"l": ["w", "v"]} and load(str(p)).words == e.config.words
+
+
+def test_defaults_are_written_where_there_is_no_file(tmp_path):
+    path = str(tmp_path / "new" / "engine.yml")
+    assert load(path, defaults=demo.SETTINGS).words == demo.CONFIG.words
+    assert load(path, defaults={"banned-words": {}}).routes == demo.CONFIG.routes  # a file that is there stays
+
+
+def test_ranges_are_masked():
+    marked = parse("a<b>b&cc")
+    assert marked.masked_ranges([(1, 2), (-4, 0), (2, 99)], "#") == "a<b>#&c#"

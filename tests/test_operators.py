@@ -45,6 +45,26 @@ def test_redact_messages_equals_kernel(spark):
     assert detect.flagged(df.select("id", "text"), CHAT).count() == sum(bool(t) and redact(t, CHAT.rules()).found != [] for t in texts)
 
 
+def test_words_of_wide_characters(spark):
+    config = from_dict({"banned-words": {"l": ["😀", "a😀b", "x"]}, "fuzzy-match": {"enable": True, "levels": {"l": {"max-char-gap": 1}}}})
+    texts = ["😀", "plain", "a😀b", "a-😀-b", "b😀a", "😁", "ok x", "😃😀", None, "a" * 40, "é😀é"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for r in detect.redact_messages(rows, config).collect():
+        d = redact(texts[r.id], config.rules())
+        assert r.filtered == d.filtered and [(x.word, x.level) for x in r.detected] == (d.found if texts[r.id] else [])
+    assert detect.flagged(rows, config).count() == sum(bool(t) and redact(t, config.rules()).found != [] for t in texts)
+    pages = ["one 😀", "two 😀 two", None, "", "three"]
+    books = spark.createDataFrame([(1, pages, "t", "a"), (2, ["no"], None, None), (3, [], None, None), (4, None, None, None)], "id long, parts array<string>, title string, author string")
+    out = {r.id: r for r in parts.redact_books(books, config).collect()}
+    assert out[1].pages == ["one **", "two ** two", "", "", "three"] and out[2].pages == ["no"] and out[3].pages == [] == out[4].pages
+    assert parts.redact_signs(books, config).where("id = 1").first().lines == ["one **", "two ** two", "", "", "three"]
+
+
+def test_small_tables_are_spread(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    assert detect.spread(d).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and detect.spread(d).count() == d.count()
+
+
 def test_native_gap_predicate_equals_kernel(spark):
     texts = ["idiot", "i.d.iot", "iiddiioott", "id iot", "i d i o t", "idi中ot", "toidi", "x" * 50 + "idioot", ""]
     g = GapLimits(1, 1, 2)
@@ -131,6 +151,35 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {(r.user_id, r.command) for r in got} == {("a", "mute a"), ("a", "say x"), ("d", "mute d"), ("d", "say x"), ("d", "ban d")}
 
 
+def test_messages_without_a_user_share_nothing(spark, tmp_path):
+    d = chat(spark, [(None, "fu", 0), (None, "ck", 1), (None, "fuck", 2), ("a", "fu", 0), ("a", "ck", 1)])
+    out = [(r.user_id, r.text, r.crossed, r.filtered) for r in track.track_messages(d, CHAT).collect()]
+    want = [(None, "ck", False, "ck"), (None, "fu", False, "fu"), (None, "fuck", False, "****"), ("a", "ck", True, "c*"), ("a", "fu", False, "fu")]
+    assert sorted(out, key=str) == sorted(want, key=str)
+    d.coalesce(1).select("msg_id", "user_id", F.lit("").alias("user_name"), F.lit("chat").alias("surface"), "text", "seq", "ts").write.parquet(str(tmp_path / "in"))
+    stream = messages.read(spark, str(tmp_path / "in"), stream=True)
+    sinks.start(tracker.track_stream(stream, CHAT), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = [(r.user_id, r.text, r.crossed, r.filtered) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_streams_reset_and_escalate(spark, tmp_path):
+    d = chat(spark, [("a", "fu", 0), ("a", "!", 1), ("a", "ck", 2), ("b", "fu", 0), ("b", "ck", 1), ("b", "ck", 2), ("b", "ck", 3), ("b", "!", 4), ("b", "ck", 5), ("b", "ck", 31), ("b", "ck", 32), ("b", "ck", 33)])
+    d.coalesce(1).select("msg_id", "user_id", F.lit("").alias("user_name"), F.lit("chat").alias("surface"), "text", "seq", "ts").write.parquet(str(tmp_path / "in"))
+    stream = messages.read(spark, str(tmp_path / "in"), stream=True)
+    clear = F.col("text") == "!"
+    sinks.start(tracker.track_stream(stream.withColumn("r", clear), CHAT, reset="r", commands=True), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    columns = ["msg_id", "filtered", "hit_word", "crossed"]
+    batch = track.track_messages(d.withColumn("r", clear), CHAT, reset="r", commands=True)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+    v = stream.select(F.col("msg_id").alias("event_id"), "user_id", F.lit("level-1").alias("level"), "ts", clear.alias("r"))
+    sinks.start(tracker.escalate_events(v, CHAT, reset="r"), str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination()
+    rows = d.select(F.col("msg_id").alias("event_id"), "user_id", F.lit("level-1").alias("level"), "ts", clear.alias("r"))
+    numbered = alerts.violation_numbers(rows, 15, ("ts", "event_id"), reset="r").join(CHAT.punish_table(spark).withColumnRenamed("threshold", "number"), ["level", "number"])
+    got = sorted((r.event_id, r.number, r.command) for r in spark.read.parquet(str(tmp_path / "out2")).collect())
+    assert got == sorted((r.event_id, r.number, r.command.replace("%player%", r.user_id)) for r in numbered.collect()) and len(got) == 4
+
+
 def test_shout(spark):
     d = chat(spark, [("a", "fu", 0), ("a", "ck", 1), ("b", "fu", 0), ("b", "ck", 1), ("b", "fuck", 2)])
     online = spark.createDataFrame([("a",), ("a",)], "user_id string")

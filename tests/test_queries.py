@@ -12,10 +12,10 @@ def test_equals_sql(name, spark, sf, duck, same):
     same(QUERIES[name](spark, sf).toPandas(), duck.execute(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(name, spark, sf):
-    df = QUERIES[name](spark, sf)
-    assert df.count() >= 0 and df.columns
+def test_every_query_has_sql_and_rows(duck):
+    assert set(SQL) == set(QUERIES)
+    empty = [k for k in SQL if not duck.execute(f"SELECT count(*) FROM ({SQL[k]})").fetchone()[0]]
+    assert empty == []
 
 
 def test_scans_are_narrow(spark, sf):

@@ -6,6 +6,7 @@ Order counts: levels, words and routes keep the order in which they are written,
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,9 +166,14 @@ def from_dict(d: dict, profile: str = "server", ordered_by_hash: bool = False, c
     )
 
 
-def load(path: str, **options) -> EngineConfig:
+def load(path: str, defaults: dict | None = None, **options) -> EngineConfig:
+    """The configuration in a YAML file on the driver; where there is none and defaults are given, they are written first."""
     import yaml
 
+    if defaults is not None and not os.path.exists(path):
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            yaml.safe_dump(defaults, f, allow_unicode=True, sort_keys=False)
     with open(path, encoding="utf-8") as f:
         return from_dict(yaml.safe_load(f) or {}, **options)
 

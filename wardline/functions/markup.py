@@ -124,6 +124,10 @@ class Marked:
         gone = {self.at[i] for i in mask if i < len(self.at)} - {-1}
         return "".join(sign if i in gone else c for i, c in enumerate(self.raw)) if gone else self.raw
 
+    def masked_ranges(self, ranges, sign: str = "*") -> str:
+        """The same for ranges (start, end) of shown positions; what lies outside the text counts for nothing."""
+        return self.masked({i for a, b in ranges for i in range(max(0, a), min(b, len(self.at)))}, sign)
+
 
 def strip_codes(text: str) -> str:
     """Text outside tags without its colour codes."""

@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
 from .charmap import CHINESE, ENGLISH, CharMap
@@ -86,6 +87,12 @@ def normalize_each(shown: str, charmap: CharMap) -> tuple[str, list[int]]:
     """NFKC, lower case and character map unit by unit, and the shown position of each result unit."""
     if shown.isascii() and not charmap.replace:
         return shown.lower(), list(range(len(shown)))
+    if _wide.isdisjoint(shown):
+        normal = shown.translate(_letters)
+        if _wide.isdisjoint(shown) and len(normal) == len(shown):  # the first look may have met new letters
+            normal = charmap.normalize(normal)
+            if len(normal) == len(shown):
+                return normal, list(range(len(shown)))
     out, at = [], []
     for i, c in enumerate(shown):
         n = c if "\ud800" <= c <= "\udfff" else to_units(unicodedata.normalize("NFKC", c).lower())
@@ -95,6 +102,23 @@ def normalize_each(shown: str, charmap: CharMap) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+_wide: set[str] = set()  # units that normalise to none or several
+
+
+class _Letters(dict):
+    """NFKC in lower case by unit, as far as units have been asked for."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        n = self[code] = c if 0xD800 <= code <= 0xDFFF else to_units(unicodedata.normalize("NFKC", c).lower())
+        if len(n) != 1:
+            _wide.add(c)
+        return n
+
+
+_letters = _Letters()
+
+
 def normalize_word(word: str, charmap: CharMap) -> str:
     known = _normal_words.get((word, id(charmap)))
     if known is None:
@@ -181,10 +205,17 @@ def exact_spans(t: Text, word: str):
         at = t.text.find(word, at + 1)
 
 
+@lru_cache(maxsize=65536)
+def _embedding(word: str, most: int) -> re.Pattern:
+    """Every gap may be as long as the largest limit: what this does not find no start embeds."""
+    return re.compile(re.escape(word[0]) + "".join(f"[^{re.escape(c)}]{{0,{most}}}{re.escape(c)}" for c in word[1:]), re.S)
+
+
 def gap_spans(t: Text, word: str, limits: GapLimits):
     """Places of the word's characters for every start whose earliest embedding keeps to the limits."""
     text, reach = t.text, len(word) + limits.most
-    start = text.find(word[0])
+    first = _embedding(word, limits.most).search(text)
+    start = first.start() if first else -1
     own = None
     while start >= 0:
         stop, places = start + reach, [start]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def to_units(text: str) -> str:
     """Astral characters become their two surrogates; all else stays."""
     if text.isascii() or max(text) <= "￿":
         return text
-    data = text.encode("utf-16-le", "surrogatepass")
-    return "".join(chr(data[i] | data[i + 1] << 8) for i in range(0, len(data), 2))
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").astype("<u4")
+    return units.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def from_units(units: str) -> str:

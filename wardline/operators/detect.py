@@ -18,6 +18,7 @@ from ..config import EngineConfig
 from ..functions import columns as C
 from ..functions.columns import embedding_pattern
 from ..functions.matching import Rules, contains_any, normalize_word, redact, redact_once, redact_word
+from ..functions.units import from_units, to_units
 
 DETECTION = "filtered string, detected array<struct<word:string,level:string>>"
 
@@ -27,14 +28,26 @@ PLAIN = r"\x00-\x7FÀ-ÿ¡¿«»©®°"
 MOST_PATTERNS = 400
 
 
+SMALL_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cores where a table is so small that its files hold fewer than SMALL_BYTES for each core:
+    its few row groups would keep the others idle. Larger tables stay as they are scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES * cores else df
+
+
 def _patterns(rules: Rules) -> list[str]:
     """For each spelling of each word a pattern that finds it, or more: every gap may be as long as the largest limit."""
     out = []
     for word, _, limits, both in rules.words:
-        for spelling in [word, word[::-1]] if both else [word]:
+        for spelling in [word, word[::-1]] if both and len(to_units(word)) >= 2 else [word]:
             needle = normalize_word(spelling, rules.charmap)
             if needle:
-                out.append(embedding_pattern(needle, limits.most if rules.fuzzy else 0))
+                # The native side counts characters, of which a gap has no more than units.
+                out.append(embedding_pattern(from_units(needle), limits.most if rules.fuzzy else 0))
     return list(dict.fromkeys(out))
 
 

@@ -19,8 +19,9 @@ def combine(parts) -> Column:
 
 def starts(parts) -> Column:
     """0-based start of each part in the combined text, in characters."""
-    sizes = F.transform(parts, lambda p: F.length(F.coalesce(p, F.lit(""))) + 1)
-    return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(F.coalesce(p, F.lit(""))) + 1).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found"))
+    return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
 
 def split(text, at, count) -> Column:
@@ -83,6 +84,14 @@ def split_text(text: str, parts: list[str]) -> list[str]:
     return out
 
 
+def _split_units(text: Column, parts: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else split_text(t, list(p)) for t, p in zip(texts, lists)])
+
+    return run(text, parts)
+
+
 def redact_books(books: DataFrame, config: EngineConfig) -> DataFrame:
     """books: parts (pages), title, author. Adds pages, new_title, new_author, detected (pages, then title, then author,
     not merged), first_word and changed. Pages are checked together, so words across page ends are found."""
@@ -91,7 +100,13 @@ def redact_books(books: DataFrame, config: EngineConfig) -> DataFrame:
     d = d.withColumn("_p", detection("_whole", rules)).withColumn("_t", detection("title", rules))
     d = d.withColumn("_a", detection("author", rules) if author else F.lit(None).cast("struct<filtered:string,detected:array<struct<word:string,level:string>>>"))
     filtered = F.coalesce("_p.filtered", "_whole")
-    d = d.withColumn("pages", split(filtered, starts(F.col("parts")), F.size("parts")))
+    # Masks are one for one in units: texts with characters of two units are split by units.
+    wide = F.col("_whole").rlike(r"[^\x{0}-\x{FFFF}]") & (filtered != F.col("_whole"))
+    empty = F.array().cast("array<string>")
+    none = F.transform(F.coalesce("parts", empty), lambda p: F.coalesce(p, F.lit("")))
+    native = F.when(F.size("parts") > 0, split(filtered, starts(F.col("parts")), F.size("parts"))).otherwise(empty)
+    by_units = _split_units(F.when(wide, filtered), F.when(wide, none))
+    d = d.withColumn("pages", F.when(wide, by_units).when(filtered == F.col("_whole"), none).otherwise(native))
     d = d.withColumn("new_title", F.coalesce("_t.filtered", "title")).withColumn("new_author", F.coalesce("_a.filtered", "author"))
     none = F.array().cast("array<struct<word:string,level:string>>")
     d = d.withColumn("detected", F.concat(*[F.coalesce(f"{x}.detected", none) for x in ("_p", "_t", "_a")]))

@@ -146,12 +146,14 @@ def track_messages(messages: DataFrame, config: EngineConfig, user: str = "user_
 
     One shuffle by user; rows of a partition are sorted and stream through the step, so memory follows the states. A user's
     messages are one after the other by nature; users are independent. reset: a boolean column; such rows clear the
-    user's states and give no hit of their own (violations elsewhere do that).
+    user's states and give no hit of their own (violations elsewhere do that). A message without a user is on its own.
     """
     rules = TrackRules.of(config, commands)
     ms = F.unix_millis(F.col(order[0]).cast("timestamp"))
     d = messages.withColumn("_ms", ms).withColumn("_reset", F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False))
-    d = d.repartition(user).sortWithinPartitions(user, *order)
+    # Messages without a user belong to nobody: they have no states, and lie wherever there is room.
+    nobody = F.when(F.col(user).isNull(), F.pmod(F.xxhash64(*order, text), F.lit(4096)))
+    d = d.repartition(F.col(user), nobody).sortWithinPartitions(user, *order)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +162,7 @@ def track_messages(messages: DataFrame, config: EngineConfig, user: str = "user_
             rows = []
             for u, t, now, clear in zip(b[user], b[text], b["_ms"], b["_reset"]):
                 u = None if pd.isna(u) else u
-                if not begun or u != who:
+                if not begun or u is None or u != who:
                     who, states, begun = u, [], True
                 t = None if t is None or t != t else t
                 if clear:

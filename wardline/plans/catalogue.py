@@ -1,7 +1,7 @@
 """The engine's queries over the driver's tables, and the same in DuckDB's SQL.
 
-Every query runs over its whole table and whole texts. Queries whose kernel has no SQL (markup with positions, fixpoints,
-keyed state) have none; tests hold them against golden cases.
+Every query runs over its whole table and whole texts and returns values, and each has SQL. Where the tables hold nothing that
+an operator looks for, words, markup or commands are put into the texts first.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.charmap import CharMap
-from ..functions.markup import parse, styled_runs, visible
-from ..functions.matching import GapLimits, normalize_whole
+from ..config import Engine, from_dict, load
+from ..functions.charmap import CharMap, parse_charmap
+from ..functions.markup import first_plain_colon, parse, split_tags, styled_runs, visible
+from ..functions.matching import GapLimits, Text, candidates, contains_word, mask_raw_suffix, mask_suffix, normalize_each, normalize_whole, reverse_word, select
 from ..functions.units import from_units, to_units
 from ..operators import alerts, detect, parts, route, track
 from ..sources import messages as sources
+from ..sources import sinks
 from . import demo
 
 WORDS = [(level, w) for level, ws in demo.LEXICON.items() for w in ws]
@@ -27,7 +29,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return _t(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    return detect.spread(_t(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+
+
+def _md5(text):
+    return F.md5(text.cast("binary"))
 
 
 def _places(words, *extra):
@@ -92,8 +98,9 @@ def fuzzy_gap_classes(spark, d):
 
 
 def compressed_flag(spark, d):
-    docs = _docs(spark, d).select("doc_id", C.compress(F.lower("text")).alias("t"))
-    hit = [F.when(F.contains("t", F.lit(w)), F.lit(w)) for _, w in WORDS]
+    """Words with gaps, as the text stands or with repeats taken together."""
+    docs = _docs(spark, d).select("doc_id", F.lower("text").alias("t"))
+    hit = [F.when(C.contains_gap("t", w, GAP), F.lit(w)) for _, w in WORDS]
     return docs.select("doc_id", F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("word"))
 
 
@@ -139,7 +146,8 @@ def strip_everything(spark, d):
 
 
 def any_tags(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.size(C.any_tags("html")).cast("bigint").alias("n_tags"))
+    tags = C.any_tags("html")
+    return _t(spark, d, "pages").select("page_id", F.size(tags).cast("bigint").alias("n_tags"), _md5(F.array_join(tags, "\n")).alias("tags_md5"))
 
 
 def charmap_fold(spark, d):
@@ -153,7 +161,7 @@ def class_counts(spark, d):
 
 
 def compress_text(spark, d):
-    return _docs(spark, d).select("doc_id", F.length(C.compress("text")).cast("bigint").alias("n"), F.md5(F.reverse("text").cast("binary")).alias("reversed_md5"))
+    return _docs(spark, d).select("doc_id", _md5(C.compress("text")).alias("compressed_md5"), _md5(F.reverse("text")).alias("reversed_md5"))
 
 
 def redact_exact(spark, d):
@@ -226,10 +234,12 @@ def split_parts(spark, d):
 
 
 def merge_detections(spark, d):
-    """Per conversation: the words of its first turn before those of all turns, each once (union), and with repeats (union all)."""
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.explode(F.filter(F.array(*[F.when(C.contains_exact("text", w), F.lit(w)) for w in ("thing", "then", "than", "this")]), lambda x: x.isNotNull())).alias("word"))
-    all_words = rows.groupBy("conv_id").agg(F.count("*").alias("n_all"), F.countDistinct("word").alias("n_distinct"))
-    return all_words
+    """Per conversation: the words of its first turn before those of all turns, each once, and the words of all turns as they come."""
+    words = ("thing", "then", "than", "this")
+    found = lambda text: F.filter(F.array(*[F.when(C.contains_exact(text, w), F.struct(F.lit(w).alias("word"), F.lit("l").alias("level"))) for w in words]), lambda x: x.isNotNull())
+    p = _pages_of(spark, d).select("conv_id", found(F.get("parts", F.lit(0))).alias("title"), F.flatten(F.transform("parts", lambda t: F.coalesce(found(t), F.array().cast("array<struct<word:string,level:string>>")))).alias("pages"))
+    merged = alerts.merge_detections(F.get(F.coalesce("title", "pages"), F.lit(0)), F.col("pages"))
+    return p.select("conv_id", alerts.words_of(merged).alias("merged"), alerts.words_of(F.col("pages")).alias("every"))
 
 
 def suffix_mask(spark, d):
@@ -250,13 +260,21 @@ def escalation(spark, d):
 
 
 def punish_actions(spark, d):
-    out = alerts.escalate(_violations(spark, d), demo.CONFIG.punish_table(spark), demo.CONFIG.profile.sweep_seconds, ("ts", "event_id"))
+    """Each day's events within its first minute, so that intervals of 15 seconds hold several."""
+    close = _violations(spark, d).withColumn("ts", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 86400) * 86400 + F.col("event_id") % 60))
+    out = alerts.escalate(close, demo.CONFIG.punish_table(spark), demo.CONFIG.profile.sweep_seconds, ("ts", "event_id"))
     return out.select("event_id", "user_id", "level", F.col("number").cast("bigint").alias("number"), "command")
 
 
 def violation_numbers(spark, d):
     out = alerts.violation_numbers(_violations(spark, d), 86400, ("ts", "event_id"))
-    return out.groupBy("level").agg(F.max("number").cast("bigint").alias("most"), F.sum("number").cast("bigint").alias("total"))
+    return out.select("event_id", "level", F.col("number").cast("bigint").alias("number"))
+
+
+def violation_resets(spark, d):
+    """Every tenth event starts its user's counters anew."""
+    out = alerts.violation_numbers(_violations(spark, d).withColumn("clear", F.col("event_id") % 10 == 0), 86400, ("ts", "event_id"), reset="clear")
+    return out.select("event_id", "level", F.col("number").cast("bigint").alias("number"))
 
 
 def _hits(spark, d):
@@ -276,7 +294,7 @@ def player_warning(spark, d):
 
 def admin_fanout(spark, d):
     admins = _t(spark, d, "nation").select(F.col("n_name").alias("user_id"))
-    return alerts.admin_alerts(_hits(spark, d), demo.CATALOG, F.broadcast(admins)).groupBy("audience").agg(F.count("*").alias("n"))
+    return alerts.admin_alerts(_hits(spark, d), demo.CATALOG, admins)
 
 
 def context_fallback(spark, d):
@@ -287,17 +305,10 @@ def permission_filter(spark, d):
     """Grants: customers of one segment are administrators, users of events the messages."""
     grants = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("user_id"), F.lit("admin").alias("permission"))
     v = _violations(spark, d)
-    return route.has_permission(v, grants, "admin").select("user_id", F.lit(True).alias("admin")).union(route.has_permission(v, grants, "admin", without=True).select("user_id", F.lit(False))).groupBy("admin").agg(F.count("*").alias("n"))
-
+    return route.has_permission(v, grants, "admin").select("event_id", F.lit(True).alias("admin")).union(route.has_permission(v, grants, "admin", without=True).select("event_id", F.lit(False)))
 
-def sender_online(spark, d):
-    """Senders that are online are followed with state, others are only redacted."""
-    online = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.lit(True).alias("online"))
-    v = _violations(spark, d).join(online, "user_id", "left")
-    return v.select(F.when(F.col("online"), "stateful").otherwise("stateless").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
 
-
-# Queries of the kernel, without SQL.
+# Queries of the kernel.
 
 
 def redact_fuzzy(spark, d):
@@ -306,28 +317,79 @@ def redact_fuzzy(spark, d):
     return out.where("changed").select("doc_id", "filtered", alerts.words_of(F.col("detected")).alias("words"), "first_word", "first_level")
 
 
-recheck_fixpoint = redact_fuzzy
-
-
 def redact_pass(spark, d):
     out = detect.redact_messages(_docs(spark, d), demo.CONFIG, recheck=False)
     return out.where("changed").select("doc_id", "filtered")
 
 
+def rewritten_messages(spark, d):
+    out = sinks.rewritten(detect.redact_messages(_docs(spark, d), demo.CONFIG), "doc_id")
+    return out.select("doc_id", _md5(F.col("old_text")).alias("old_md5"), "new_text")
+
+
+def refilter_stored(spark, d):
+    """A deferred second pass over documents that are stored as they came."""
+    out = sinks.refilter(_docs(spark, d).withColumnRenamed("text", "stored"), lambda s: detect.redact_messages(s, demo.CONFIG, "stored"))
+    return out.select("doc_id", "filtered", F.size("detected").cast("bigint").alias("n_words"))
+
+
+def detected_long(spark, d):
+    out = detect.detections_long(detect.redact_messages(_docs(spark, d), demo.CONFIG).where("changed"), "doc_id")
+    return out.select("doc_id", "word", "level", F.col("place").cast("bigint").alias("place"))
+
+
 def contains_any(spark, d):
     return detect.flagged(_docs(spark, d), demo.CONFIG).select("doc_id")
 
 
+def candidate_union(spark, d):
+    """All matches before any is chosen: words and reversed ones, as the text stands and with repeats taken together."""
+    rules = demo.CONFIG.rules()
+
+    def rows(text):
+        return [{"start": m.start, "end": m.end, "word": m.word, "level": m.level} for m in candidates(Text(normalize_each(text, rules.charmap)[0], rules.allow), rules)]
+
+    found = _scalar(rows, "array<struct<start:bigint,end:bigint,word:string,level:string>>")
+    docs = _docs(spark, d).where(detect.may_match("text", rules))
+    return docs.select("doc_id", F.explode(found("text")).alias("x")).select("doc_id", "x.*")
+
+
+def chosen_matches(spark, d):
+    """The matches of the first round that do not overlap, with the places they mask."""
+    rules = demo.CONFIG.rules()
+
+    def rows(text):
+        chosen = select(candidates(Text(normalize_each(text, rules.charmap)[0], rules.allow), rules))
+        return [{"start": m.start, "word": m.word, "places": ",".join(map(str, m.places))} for m in chosen]
+
+    found = _scalar(rows, "array<struct<start:bigint,word:string,places:string>>")
+    docs = _docs(spark, d).where(detect.may_match("text", rules))
+    return docs.select("doc_id", F.explode(found("text")).alias("x")).select("doc_id", "x.*")
+
+
+def contains_one(spark, d):
+    hits = [F.when(_scalar(lambda x, w=w: contains_word(x, w, GAP, allow=("trashy",)), "boolean")("text"), F.lit(w)) for w in ("trash", "idiot")]
+    return _docs(spark, d).select("doc_id", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("word"))
+
+
 def redact_one_word(spark, d):
     out = detect.redact_one_word(_docs(spark, d), "trash", limits=GAP)
     return out.where("filtered <> text").select("doc_id", "filtered")
 
 
+def wide_words(spark, d):
+    """Words outside the basic plane: each of their characters is two units, and is masked by two signs."""
+    config = from_dict({"banned-words": {"level-1": ["😀x", "😈😈"]}, "fuzzy-match": {"enable": True, "levels": {"level-1": {"max-char-gap": 0}}}, "reverse-match": {"enable": False}})
+    text = F.concat(F.lit("a 😀x "), F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, F.lit(" 𝒴😀xx")).otherwise(F.lit("")))
+    out = detect.redact_messages(_docs(spark, d).select("doc_id", text.alias("text")), config)
+    return out.select("doc_id", _md5(F.col("filtered")).alias("filtered_md5"), alerts.words_of(F.col("detected")).alias("words"))
+
+
 def markup_detect(spark, d):
     """Pages with two words put before them in tags: what the tags show is found and masked inside them."""
-    p = _t(spark, d, "pages").select("page_id", F.concat(F.lit("<hover:show_text:'<red>tra"), F.lit("sh'><lang:k:'<blue>id&ciot'>"), F.col("html")).alias("text"))
+    p = _t(spark, d, "pages").select("page_id", F.concat(F.lit("<hover:show_text:'<red>tra"), F.lit("sh'><lang:k:'<blue>id&ciot'> "), F.col("html")).alias("text"))
     out = detect.redact_messages(p, demo.CONFIG)
-    return out.select("page_id", "changed", F.substring("filtered", 1, 60).alias("head"), alerts.words_of(F.col("detected")).alias("words"))
+    return out.select("page_id", "changed", _md5(F.col("filtered")).alias("filtered_md5"), alerts.words_of(F.col("detected")).alias("words"))
 
 
 def _scalar(fn, kind="string"):
@@ -338,37 +400,185 @@ def _scalar(fn, kind="string"):
     return run
 
 
+def _tipped(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.concat(F.lit(TIP), F.col("html")).alias("html"))
+
+
+TIP = "<hover:show_text:'<red>tip'>"
+
+
 def visible_text(spark, d):
     show = _scalar(lambda x: from_units(visible(to_units(x))))
-    return _t(spark, d, "pages").select("page_id", F.md5(show("html").cast("binary")).alias("shown_md5"))
+    return _tipped(spark, d).select("page_id", _md5(show("html")).alias("shown_md5"))
+
+
+def _quotable(spark, d):
+    """Turns with what has a meaning in tags taken out."""
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"""[<>'"\\&§:]""", "").alias("t"))
+
+
+PAYLOADS = ("<hover:show_text:'<red>", "</red>'>one<click:run_command:'/x ", "'>two<insert:", "><lang:key:'", "':'b ", "'></hover><hover:show_item:'no'><!b>")
+
+
+def tag_payloads(spark, d):
+    """Texts in every kind of tag that shows one."""
+    show = _scalar(lambda x: from_units(visible(to_units(x))))
+    whole = [x for p in PAYLOADS for x in (F.lit(p), F.col("t"))][:-1]
+    return _quotable(spark, d).select("conv_id", "turn", show(F.concat(*whole)).alias("shown"))
+
+
+def tag_tokens(spark, d):
+    """Pages as tags and what is between them."""
+    tokens = _scalar(lambda x: [{"token": from_units(p), "tag": t} for p, t in split_tags(to_units(x))], "array<struct<token:string,tag:boolean>>")
+    x = _t(spark, d, "pages").select("page_id", F.posexplode(tokens("html")).alias("place", "x"))
+    return x.select("page_id", F.col("place").cast("bigint").alias("place"), _md5(F.col("x.token")).alias("token_md5"), "x.tag")
+
+
+def plain_colons(spark, d):
+    """The first colon outside quotes."""
+    at = _scalar(lambda x: first_plain_colon(to_units(x)), "bigint")
+    return _quotable(spark, d).select("conv_id", "turn", at(F.concat(F.lit("'a:b\\':"), F.col("t"), F.lit("' \"c:\""), F.when(F.col("turn") % 2 == 0, F.lit(":")).otherwise(F.lit("")), F.col("t"))).alias("at"))
 
 
 def normalize_text(spark, d):
+    """Plain ASCII only needs lower case; other texts go to the kernel."""
     norm = _scalar(lambda x: from_units(normalize_whole(x)))
-    return _docs(spark, d).select("doc_id", F.md5(norm("text").cast("binary")).alias("normal_md5"))
+    plain = F.col("text").rlike(r"\A[\x00-\x25\x27-\x3B\x3D-\x7F]*\z")
+    return _docs(spark, d).select("doc_id", _md5(F.when(plain, F.lower("text")).otherwise(norm.asNondeterministic()(F.when(~plain, F.col("text"))))).alias("normal_md5"))
+
+
+def normalize_letters(spark, d):
+    """Character by character, with a map, and how long the list of places is."""
+    charmap = CharMap(dict(zip(demo.FOLD_FROM, demo.FOLD_TO)))
+    norm = _scalar(lambda x: from_units(normalize_each(to_units(x), charmap)[0]))
+    size = _scalar(lambda x: len(normalize_each(to_units(x), charmap)[1]), "bigint")
+    return _docs(spark, d).select("doc_id", _md5(norm("text")).alias("normal_md5"), size("text").alias("n_places"))
 
 
 def position_map(spark, d):
-    size = _scalar(lambda x: len(parse(to_units(x)).at), "bigint")
-    return _t(spark, d, "pages").select("page_id", size("html").alias("n_places"))
+    """Runs of places in the raw text behind what is shown, as start+length."""
+
+    def runs(x):
+        at = parse(to_units(x)).at
+        edges = [i for i in range(len(at)) if not i or at[i] != at[i - 1] + 1] + [len(at)]
+        return " ".join(f"{at[a]}+{b - a}" for a, b in zip(edges, edges[1:]))
+
+    return _tipped(spark, d).select("page_id", _md5(_scalar(runs)("html")).alias("places_md5"))
+
+
+def mask_ranges(spark, d):
+    """Ranges of what is shown, replaced in the raw text."""
+
+    def masked(x):
+        marked = parse(to_units(x))
+        return from_units(marked.masked_ranges([(0, 3), (len(marked.shown) - 4, len(marked.shown))], "#"))
+
+    return _quotable(spark, d).select("conv_id", "turn", _scalar(masked)(F.concat(F.lit("<b>a&cbc</b>"), F.col("t"), F.lit("w<red>x&ayz"))).alias("masked"))
+
+
+def spread_hex(spark, d):
+    coded = F.concat(F.regexp_replace("text", " the ", " &x&1&2&a&B&9&fthe&#abc "), F.lit("&x&1&2&3&4&5&g"))
+    return _docs(spark, d).select("doc_id", _md5(C.spread_hex(coded)).alias("coded_md5"))
+
+
+STYLED = "<red>one<bold>two</bold>three§9four§lfive§zsix<i>seven</red>"
 
 
 def styled_text(spark, d):
-    runs = _scalar(lambda x: len(styled_runs(x)), "bigint")
-    return _t(spark, d, "pages").select("page_id", runs("html").alias("n_runs"))
+    """Runs of one style: the style and the text of each."""
+    runs = _scalar(lambda x: "\n".join(f"{style}|{from_units(text)}" for text, style in styled_runs(to_units(x))))
+    return _t(spark, d, "pages").select("page_id", _md5(runs(F.concat(F.lit(STYLED), F.col("html")))).alias("runs_md5"))
+
+
+def suffix_mask_kernel(spark, d):
+    """The end of a message, and of a command as it was typed, that a word ends with too."""
+    shown, raw = _scalar(lambda x: mask_suffix(x, "anything")), _scalar(lambda x: mask_raw_suffix(x, "anything"))
+    c = _t(spark, d, "conversations").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    return c.select("conv_id", "turn", shown(F.concat("text", F.lit("<b>"))).alias("masked"), raw(F.concat("text", F.lit("<b>"))).alias("cut"))
+
+
+def config_tables(spark, d):
+    """A configuration written to a file, read again, as the tables that joins use."""
+    import json
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "config", "engine.yml")
+        first = load(path, defaults=demo.SETTINGS)  # there is no file yet: the defaults are written
+        engine = Engine(path=path)
+        assert json.dumps(engine.reload().words) == json.dumps(first.words)
+    c, info = engine.config, engine.info()
+    lexicon = c.lexicon(spark).select(F.lit("word").alias("kind"), F.col("level").alias("name"), F.col("word").alias("value"), (F.col("level_ord") * 100 + F.col("word_ord")).cast("bigint").alias("ord"))
+    routes = c.routes_table(spark).select(F.lit("route"), "name", F.concat_ws("|", F.array_join(F.transform("args", lambda a: a.cast("string")), ","), F.array_join("commands", ","), F.array_join("prefixes", ",")), F.col("ord").cast("bigint"))
+    punish = c.punish_table(spark).select(F.lit("punish"), "level", "command", (F.col("threshold") * 100 + F.col("cmd_ord")).cast("bigint"))
+    allow = c.allow_table(spark).select(F.lit("allow"), "word", "word", F.lit(0).cast("bigint"))
+    counts = spark.createDataFrame([("info", k, str(info[k]), 0) for k in ("words", "levels", "routes")] + [("missing", x, x, 0) for x in engine.missing(["a", "c"], ["b", "c", "a", "d"])], "kind string, name string, value string, ord bigint")
+    return lexicon.union(routes).union(punish).union(allow).union(counts)
+
+
+def reversed_spellings(spark, d):
+    """Words that are also looked for backwards, by the flags of their levels."""
+    c = from_dict({"banned-words": demo.LEXICON, "reverse-match": {"enable": True, "levels": {"level-2": False}}})
+    rows = [(level, w, reverse_word(w) if c.reversed_too(level) else None) for level, ws in c.words.items() for w in ws]
+    return spark.createDataFrame(rows, "level string, word string, reversed string")
+
+
+def catalog_rows(spark, d):
+    nested = {"warnings": {"player-warning": "p", "admin-warning": "a"}, "levels": {"level-1": {"player-warning": "l"}}, "top": 3}
+    return sources.read_catalog(spark, nested, "en").union(sources.read_catalog(spark, {}, "de", {"fallback": {"x": "y"}}))
+
+
+def charmap_tables(spark, d):
+    """Look-alike characters from tables of variants; which of them count as Chinese or English."""
+    charmap = parse_charmap([("english", ["序号,基准", *[f"{i},{b},{a}/{a.upper()}" for i, (a, b) in enumerate(zip(demo.FOLD_FROM, demo.FOLD_TO))]]), ("chinese", ["1,x,ß"])])
+    kind = _scalar(lambda x: "".join(str(charmap.classify(c)) for c in x))
+    return _docs(spark, d).select("doc_id", _md5(C.fold("text", charmap)).alias("folded_md5"), _md5(kind("text")).alias("kinds_md5"))
+
+
+def _chat(spark, d):
+    """Turns as chat, with the two halves of a word put before every fourth turn and the one after it."""
+    half = F.when(F.col("seq") % 4 == 0, F.lit("th ")).when(F.col("seq") % 4 == 1, F.lit("ing ")).otherwise(F.lit(""))
+    return sources.conversations_as_chat(_t(spark, d, "conversations")).withColumn("text", F.concat(half, "text"))
+
+
+HIT = ("user_id", "seq", "hit_word", "hit_level", "crossed", "filtered")
 
 
 def cross_message(spark, d):
-    chat = sources.conversations_as_chat(_t(spark, d, "conversations"))
-    out = track.track_messages(chat, demo.CHAT)
-    return out.where("hit_word is not null").select("user_id", "seq", "hit_word", "hit_level", "crossed", "filtered")
+    out = track.track_messages(_chat(spark, d), demo.CHAT)
+    return out.where("hit_word is not null").select(*HIT)
+
+
+def cross_message_idle(spark, d):
+    """Turns 25 seconds apart, every third one two minutes late: states go when they have been idle for a minute."""
+    late = F.timestamp_seconds(F.col("seq") * 25 + F.floor(F.col("seq") / 3) * 120)
+    out = track.track_messages(_chat(spark, d).withColumn("ts", late), demo.CHAT)
+    return out.where("hit_word is not null").select(*HIT)
+
+
+def cross_message_reset(spark, d):
+    """Every fourth turn is a violation elsewhere, which clears its user's states."""
+    out = track.track_messages(_chat(spark, d).withColumn("clear", F.col("seq") % 4 == 2), demo.CHAT, reset="clear")
+    return out.select(*HIT)
+
+
+def cross_message_commands(spark, d):
+    """As commands: a word that came over several of them is cut off the raw text."""
+    out = track.track_messages(_chat(spark, d), demo.CHAT, commands=True)
+    return out.where("crossed").select(*HIT)
+
+
+def cross_message_nobody(spark, d):
+    """Messages without a user have no states."""
+    out = track.track_messages(_chat(spark, d).withColumn("user_id", F.when(F.col("seq") % 2 == 0, F.col("user_id"))), demo.CHAT)
+    return out.where("hit_word is not null").select("seq", *HIT[2:])
 
 
 def shout_api(spark, d):
     """Conversations of users that are online (those with a customer of their number) are tracked, others only redacted."""
-    chat = sources.conversations_as_chat(_t(spark, d, "conversations"))
-    online = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
-    out = track.shout_messages(chat, online, demo.CHAT)
+    online = _t(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("user_id"))
+    out = track.shout_messages(_chat(spark, d), online, demo.CHAT)
     return out.select("user_id", "seq", "filtered", "hit_word", "crossed")
 
 
@@ -377,29 +587,39 @@ def violation_counts(spark, d):
     return out.select("user_id", "level", F.date_format("bucket", "yyyy-MM-dd").alias("day"), "n")
 
 
+def _broken(spark, d):
+    """Conversations as parts, with a word put across the ends of even turns and the beginnings of odd ones."""
+    c = _t(spark, d, "conversations")
+    text = F.concat(F.when(F.col("turn") % 2 == 1, F.lit("sh ")).otherwise(F.lit("")), F.coalesce("text", F.lit("")), F.when(F.col("turn") % 2 == 0, F.lit(" tra")).otherwise(F.lit("")))
+    return parts.collect_parts(c.select("conv_id", "turn", text.alias("text")), "conv_id", "turn")
+
+
 def signs(spark, d):
     """Conversations as signs: lines one by one and combined."""
-    p = _pages_of(spark, d)
-    return parts.redact_signs(p, demo.CHAT).select("conv_id", F.array_join("lines", "\n").alias("lines"), "changed", alerts.words_of(F.col("detected")).alias("words"))
+    return parts.redact_signs(_broken(spark, d), demo.CONFIG).select("conv_id", F.array_join("lines", "\n").alias("lines"), "changed", alerts.words_of(F.col("detected")).alias("words"))
 
 
 def books(spark, d):
     """Conversations as books, the first turn as title too."""
-    p = _pages_of(spark, d).withColumn("title", F.get("parts", F.lit(0))).withColumn("author", F.lit("nobody"))
-    return parts.redact_books(p, demo.CHAT).select("conv_id", F.array_join("pages", "\n").alias("pages"), "new_title", "changed", "first_word")
+    p = _broken(spark, d).withColumn("title", F.concat(F.get("parts", F.lit(0)), F.lit(" id.iot"))).withColumn("author", F.when(F.col("conv_id") % 2 == 0, F.lit("clown")))
+    out = parts.redact_books(p, demo.CONFIG)
+    sizes = F.array_join(F.transform("pages", lambda p: F.length(p).cast("string")), ",")
+    return out.select("conv_id", F.array_join("pages", "\n").alias("pages"), sizes.alias("sizes"), "new_title", "new_author", "changed", "first_word", alerts.words_of(F.col("detected")).alias("words"))
 
 
 def item_names(spark, d):
-    names = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("user_id"), (F.col("p_partkey") % 10 == 0).alias("bypass"), F.col("p_name").alias("name"))
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 7 == 0, F.lit(" i.d.iot hsart")).otherwise(F.lit("")))
+    names = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("user_id"), (F.col("p_partkey") % 10 == 0).alias("bypass"), name.alias("name"))
     return parts.redact_names(names, demo.CONFIG).select("user_id", "name", "filtered", "changed")
 
 
 def sql_redact(spark, d):
-    """The SQL function over the benchmark's texts."""
+    """The SQL functions over the benchmark's texts, with words put into some."""
     from ..operators import sqlfunctions
 
     sqlfunctions.register(spark, demo.CONFIG)
-    return _t(spark, d, "benchmark").selectExpr("item_id", "redact(text) AS filtered", "contains_banned(text) AS banned")
+    b = _t(spark, d, "benchmark").select("item_id", F.concat("text", F.when(F.col("item_id") % 3 == 0, F.lit(" you id iot, nwolc!")).otherwise(F.lit(""))).alias("t"))
+    return b.selectExpr("item_id", "redact(t) AS filtered", "contains_banned(t) AS banned", "redact_word(t, 'you') AS without_you", "get(detect(t).detected, 0).word AS first_word")
 
 
 def chat_union(spark, d):
@@ -407,21 +627,22 @@ def chat_union(spark, d):
     chat = sources.conversations_as_chat(_t(spark, d, "conversations"))
     shout = sources.as_messages(_t(spark, d, "benchmark"), "shout", msg_id="item_id", text="text", user_id=F.lit("shouter"))
     item = sources.as_messages(_t(spark, d, "part"), "anvil", msg_id="p_partkey", text="p_name")
-    return sources.union(chat, shout, item).groupBy("surface").agg(F.count("*").alias("n"))
+    return sources.union(chat, shout, item).select("surface", "user_id", "user_name", "text", F.coalesce("seq", F.lit(-1)).alias("seq"), F.coalesce(F.unix_seconds("ts"), F.lit(-1)).alias("at"))
 
 
-_NO_SQL = (redact_fuzzy, redact_pass, contains_any, redact_one_word, markup_detect, visible_text, normalize_text, position_map, styled_text, cross_message, shout_api, signs, books, item_names, sql_redact)
-_WITH_SQL = (
-    exact_flag, exact_count_by_level, exact_positions, fuzzy_flag, fuzzy_gap_classes, compressed_flag, reverse_flag, allowlist_anti, nonoverlap_select, strip_codes, canonical_hex, strip_tags,
+QUERIES = (
+    flagship, exact_flag, exact_count_by_level, exact_positions, fuzzy_flag, fuzzy_gap_classes, compressed_flag, reverse_flag, allowlist_anti, nonoverlap_select, strip_codes, canonical_hex, strip_tags,
     strip_everything, any_tags, charmap_fold, class_counts, compress_text, redact_exact, detected_agg, first_detection, limits_default_join, lexicon_size, route_commands, extract_args,
-    rebuild_command, combine_parts, split_parts, merge_detections, suffix_mask, escalation, punish_actions, violation_numbers, violation_counts, render_alert, player_warning, admin_fanout, context_fallback,
-    permission_filter, sender_online, chat_union,
+    rebuild_command, combine_parts, split_parts, merge_detections, suffix_mask, escalation, punish_actions, violation_numbers, violation_resets, violation_counts, render_alert, player_warning, admin_fanout,
+    context_fallback, permission_filter, chat_union, redact_fuzzy, redact_pass, rewritten_messages, refilter_stored, detected_long, contains_any, candidate_union, chosen_matches, contains_one,
+    redact_one_word, wide_words, markup_detect, visible_text, tag_payloads, tag_tokens, plain_colons, normalize_text, normalize_letters, position_map, mask_ranges, spread_hex, styled_text,
+    suffix_mask_kernel, config_tables, reversed_spellings, catalog_rows, charmap_tables, cross_message, cross_message_idle, cross_message_reset, cross_message_commands, cross_message_nobody,
+    shout_api, signs, books, item_names, sql_redact,
 )
 
 
 def queries():
-    out = {f.__name__: f for f in (*_WITH_SQL, *_NO_SQL)}
-    return {"flagship_redact": flagship, **out}
+    return {"flagship_redact" if f is flagship else f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():

@@ -21,15 +21,18 @@ def redact_stream(messages: DataFrame, config: EngineConfig) -> DataFrame:
     return redact_messages(messages, config)
 
 
-def track_stream(messages: DataFrame, config: EngineConfig, lateness: str = "1 minute") -> DataFrame:
+def track_stream(messages: DataFrame, config: EngineConfig, lateness: str = "1 minute", reset: str | None = None, commands: bool = False) -> DataFrame:
     """track_messages over a stream: msg_id, user_id, text, seq, ts and the columns of TRACKED.
 
     States live in the state store by user. A user's rows of a micro-batch are put in order of (ts, seq); states go when the
-    watermark has left them behind for a minute, or when a message comes that late.
+    watermark has left them behind for a minute, or when a message comes that late. reset: a boolean column; such rows (a
+    sign, a book or a name that was masked, say) clear their user's states. Messages without a user have no states.
     """
-    rules = TrackRules.of(config)
+    rules = TrackRules.of(config, commands)
     columns = ["msg_id", "user_id", "text", "seq", "ts"]
-    d = messages.withWatermark("ts", lateness).select(*columns, F.unix_millis("ts").alias("ms"))
+    clear = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
+    nobody = F.when(F.col("user_id").isNull(), F.pmod(F.xxhash64("msg_id"), F.lit(4096)))
+    d = messages.withWatermark("ts", lateness).select(*columns, F.unix_millis("ts").alias("ms"), clear.alias("clear"), nobody.alias("nobody"))
     schema = f"msg_id bigint, user_id string, text string, seq bigint, ts timestamp, {TRACKED}"
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,8 +42,13 @@ def track_stream(messages: DataFrame, config: EngineConfig, lateness: str = "1 m
         states = [State(*x) for x in json.loads(state.get[0])] if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
         out = []
-        for t, now in zip(rows["text"], rows["ms"]):
-            hit, states = step(t, int(now), states, rules)
+        for t, now, gone in zip(rows["text"], rows["ms"], rows["clear"]):
+            if gone:
+                states = []
+                out.append((t, None, None, False, []))
+                continue
+            hit, after = step(t, int(now), states, rules)
+            states = after if key[0] is not None else []
             out.append(_row(t, hit, rules))
         if states:
             state.update((json.dumps([s.pack() for s in states]),))
@@ -50,7 +58,46 @@ def track_stream(messages: DataFrame, config: EngineConfig, lateness: str = "1 m
         found = pd.DataFrame(out, columns=[x.split()[0] for x in TRACKED.split(", ")], index=rows.index)
         yield pd.concat([rows[columns], found], axis=1)
 
-    return d.groupBy("user_id").applyInPandasWithState(run, schema, "states string", "append", GroupStateTimeout.EventTimeTimeout)
+    return d.groupBy("user_id", "nobody").applyInPandasWithState(run, schema, "states string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def escalate_events(violations: DataFrame, config: EngineConfig, lateness: str = "1 minute", reset: str | None = None) -> DataFrame:
+    """alerts.escalate over a stream, violation by violation: event_id, user_id, level, number, cmd_ord, command.
+
+    violations: event_id, user_id, level, ts. A user's counters live in the state store, for the sweep interval that the user's last
+    violation fell in; one of a later interval starts them anew, and so does a row with reset. Rows of a micro-batch are
+    put in order of (ts, event_id); of an interval that has gone by they are counted by themselves.
+    """
+    seconds, punish = config.profile.sweep_seconds, config.punish
+    clear = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
+    d = violations.withWatermark("ts", lateness).select("event_id", "user_id", "level", "ts", clear.alias("clear"), F.floor(F.unix_seconds("ts") / seconds).alias("bucket"))
+    schema = "event_id bigint, user_id string, level string, number bigint, cmd_ord int, command string"
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        counters = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        out, latest = [], 0
+        for event, level, gone, bucket in zip(rows["event_id"], rows["level"], rows["clear"], rows["bucket"]):
+            if gone:
+                counters = {}
+                continue
+            at, n = counters.get(level, (bucket, 0))
+            n = n + 1 if at == bucket else 1
+            if bucket >= at:
+                counters[level] = (int(bucket), n)
+            latest = max(latest, int(bucket))
+            out += [(event, key[0], level, n, i, c.replace("%player%", key[0] or "")) for i, c in enumerate(punish.get(level, {}).get(n, []))]
+        if counters:
+            state.update((json.dumps(counters),))
+            state.setTimeoutTimestamp(max((max(latest, *(at for at, _ in counters.values())) + 1) * seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "level", "number", "cmd_ord", "command"])
+
+    return d.groupBy("user_id").applyInPandasWithState(run, schema, "counters string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def escalate_stream(violations: DataFrame, config: EngineConfig, lateness: str = "1 minute") -> DataFrame:
