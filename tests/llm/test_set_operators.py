@@ -353,13 +353,46 @@ def test_archives_keep_ids_of_any_bigint(spark):
 
 
 def test_only_reachable_records_count():
+    import gzip
+
     body = EVIL.encode()
     one = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
     assert [r[1] for r in warc.records_of(one * 3)] == [len(body)] * 3
-    assert len(list(warc.candidates(one * 3))) > 3
+    assert len(list(warc.candidates([one * 3]))) > 3
     assert warc.records_of(b"junk" + one) == [] and warc.records_of(b"") == []
     at = np.arange(0, 5000, 5)
     assert warc.reachable(at, at + 5).all() and warc.reachable(at, at + 10).sum() == 500
+    # However the text is cut into parts, and into gzip streams, edges are the same; digests are those of the payloads.
+    rng = random.Random(2)
+    bodies = [body, b"", b"z" * 5000, b"\r\n\r\n", body * 3, b"\r\n\r\nWARC/1.0\r\nContent-Length: 99999999\r\n\r\n" * 50]
+    data = b"".join(b"WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(x), x) for i, x in enumerate(bodies * 3))
+    whole = sorted(warc.candidates([data]))
+    import base64
+
+    assert [r[2] for r in warc.records_of(data)] == [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in bodies * 3]
+    for _ in range(20):
+        cuts = sorted(rng.randrange(len(data)) for _ in range(rng.choice([1, 5, 300])))
+        parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        assert sorted(warc.candidates(parts)) == whole
+        zipped = b"".join(map(gzip.compress, parts))
+        assert b"".join(warc.text_of(zipped, 1000)) == data and warc.records_of(zipped) == warc.records_of(data)
+    assert warc.records_of(data[:-2]) == warc.records_of(data)[:-1]
+
+
+def test_large_pages_and_files(spark, tmp_path):
+    rows = [(i, f"http://x/{i % 5}", "é" * 700_000 + str(i // 2)) for i in range(8)] + [(100 + i, None, "small") for i in range(40)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert warc.records_a_file(d) == 286 and warc.records_a_file(d.where("page_id < 8"), file_bytes=1) == 1 and warc.records_a_file(d.limit(0)) == 2000
+    path = str(tmp_path / "out")
+    warc.write_archives(warc.plan_records(d), path, 10)
+    got = warc.read_archives(spark, path).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.digest_ok) for r in got) == [(i, len(h.encode()), "response" if i in (0, 2, 4, 6, 100) else "revisit", True) for i, _, h in rows]
+    import glob
+    import gzip
+
+    text = b"".join(gzip.open(f).read() for f in glob.glob(f"{path}/*.gz"))
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", text)
+    assert len(ids) == len(set(ids)) == len(rows) and text.count(b"WARC-Refers-To-Target-URI: http://x/") == 4 and text.count(b"WARC-Refers-To-Date: ") == 43
 
 
 def test_digest_is_base32(spark):
