@@ -303,6 +303,27 @@ def test_mixing(spark, seed):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_documents(table(spark, rows[::-1]).repartition(7)).collect()), key=str)
 
 
+def test_shards_of_the_mix_hold_their_quotas(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([1, 7, 40, 90]), rng.choice("aaabc"), "en", 1, "", "") for i in range(300)] + [(7, "w x", "a", "en", 1, "", ""), (7, "y z", "a", "en", 1, "", "")]
+    got = mixing.mix_documents(table(spark, rows), keep=("text",), keep_source=True, n_shards=5).collect()
+    sizes = {s: sum(r.size for r in got if r.source == s) for s in "abc"}
+    quotas = {(r.source, r.shard): r.quota * 16 for r in mixing.source_quotas(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), 5).collect()}
+    for s in "abc":
+        due = sum(quotas[s, k] for k in range(1, 6))
+        assert sum(r.taken for r in got if r.source == s) == due
+        # Documents that begin in a shard hold its quota but for the parts that reach over its ends.
+        once = [r for r in got if r.source == s and r.taken and r.passes == 0]
+        longest = max(r.size for r in got)
+        if due <= sizes[s]:
+            for k in range(1, 6):
+                assert abs(sum(r.taken for r in once if r.shard == k) - quotas[s, k]) <= longest, (s, k)
+    assert all((r.shard is None) == (r.taken == 0) and (r.shard is None or 1 <= r.shard <= 5) for r in got)
+    again = mixing.mix_documents(table(spark, rows[::-1]).repartition(7), keep=("text",), keep_source=True, n_shards=5).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix_documents(table(spark, rows), n_shards=1).collect())
+
+
 def test_quotas_of_shards_add_up_and_equal_brute_force(spark):
     sizes = {"a": 10_000, "b": 700, "c": 90, "d": 3, "e": 5000}
     s = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
