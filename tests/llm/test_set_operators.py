@@ -218,9 +218,10 @@ def brute_repeats(rows, n):
 KEY = lambda r: (r[0] is None, r[0] or 0, *r[1:])
 
 
-@pytest.mark.parametrize("length", [100, 33, 8])
-def test_substrings(spark, length, monkeypatch):
+@pytest.mark.parametrize("length,hot", [(100, 32), (100, 1), (33, 3), (8, 1)])
+def test_substrings(spark, length, hot, monkeypatch):
     monkeypatch.setattr(substring, "PART", 700)
+    monkeypatch.setattr(substring, "HOT_SHARDS", hot)
     rng = random.Random(length)
     rows = [(None, None), (None, "x" * 300), (1, ""), (2, "ab" * 200), (3, "ab" * 150 + "q" + "ab" * 90), (3, "zz"), (3, "ab" * 150), (5, "é" * 120), (6, "x" * 5000)]
     rows += [(i, "".join(rng.choice("ab") for _ in range(rng.choice([20, 60, 150])))) for i in range(10, 60)]
@@ -232,6 +233,37 @@ def test_substrings(spark, length, monkeypatch):
     assert substring.remove_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [70, 95, 130])
+def test_a_common_line_does_not_meet_in_one_task(spark, size, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_SHARDS", 4)
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    line = text(size)
+    rows = [(i, text(150) + line + text(150) if i % 3 == 0 else text(300)) for i in range(900)]
+    d = table(spark, rows)
+    _, _, runs = substring.runs_of(d, 100, 20_000)
+    sent = {}
+    for r in runs.collect():
+        sent[r.part] = sent.get(r.part, 0) + len(r.bytes or b"") + len(r.windows or b"")
+    assert len(sent) > 10 and max(sent.values()) <= 3 * float(np.median(list(sent.values())))
+    got = substring.remove_repeats(d, shard_bytes=20_000).collect()
+    assert sorted((tuple(r) for r in got), key=KEY) == sorted(brute_repeats(rows, 100), key=KEY)
+
+
+def test_bytes_are_compared():
+    data = np.frombuffer(b"abcdefabcdxyabc", np.uint8)
+    a, b, n = np.array([0, 0, 0, 1]), np.array([6, 6, 12, 13]), np.array([4, 5, 3, 2])
+    assert substring.same_bytes(data, a, b, n, n).tolist() == [True, False, True, True]
+    assert substring.same_bytes(data, a, b, n, n + 1).tolist() == [False] * 4 and len(substring.same_bytes(data, a[:0], b[:0], n[:0], n[:0])) == 0
+    big = np.tile(np.arange(250, dtype=np.uint8), 20_000)
+    at, sizes = np.arange(0, 4_000_000, 250), np.full(16_000, 250)
+    other = at + 250
+    big[other[7777] + 3] += 1
+    same = substring.same_bytes(big, at, other, sizes, sizes)
+    assert np.flatnonzero(~same).tolist() == [7777, 7778]
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(1)
     for _ in range(60):

@@ -8,13 +8,16 @@ follow each other with the same key place form a run, and only runs whose key oc
    search at the bounds of the merging tasks; a merging task tells each shard which of its keys occur again.
 2. A shard sends the runs with such keys (the bytes that their windows cover) to the merging tasks, cut by binary search
    again; runs that are the same throughout are sent once a shard.
-3. A merging task joins equal runs. Where a key has different runs, it builds a suffix array over them: Larsson-Sadakane
+   A key that more than HOT_SHARDS shards name (a line that very many documents share, say) is not brought together: its
+   windows are sent one by one, by a hash of their bytes, so they spread evenly; a shard sends a window once.
+3. A merging task joins equal runs, which are compared by their bytes. Where a key has different runs, it builds a suffix array over them: Larsson-Sadakane
    refinement (only groups that are still tied are sorted again), then Kasai's common prefixes, walked over all runs side
    by side, and neighbours that share `length` bytes are one class whose earliest window stays.
 4. A shard takes the windows that repeat, removes the bytes they cover and hashes the rest.
 
 Scale: the texts are shuffled once, and that exchange serves steps 1, 2 and 4. A passage in many documents is a key that a
-shard names twice at most and a run that it sends once, so a merging task gets a few rows of it for each shard.
+shard names twice at most and a run that it sends once, so a merging task gets a few rows of it for each shard; beyond
+HOT_SHARDS shards they are 40 bytes for each window and shard, dealt by the windows' hashes (two of 64 bits decide there).
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 2 << 20
 PART = 1 << 18
+HOT_SHARDS = 32
 
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _U = np.uint64
@@ -76,6 +80,24 @@ class RangeHash:
         return _mix((self.sums[b] - self.sums[a]) * self.down[a])
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of [start, start + size) of each range, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the bytes at a and at b are the same, range by range, about a megabyte at a time."""
+    out = size_a == size_b
+    live = np.flatnonzero(out)
+    ends = np.cumsum(size_a[live])
+    for lo in np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, 1 << 20), "right")):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+        some = live[lo:hi]
+        differ = data[_ranges(a[some], size_a[some])] != data[_ranges(b[some], size_a[some])]
+        out[some] = np.add.reduceat(differ, np.cumsum(size_a[some]) - size_a[some]) == 0
+    return out
+
+
 def _window_min(key: np.ndarray, width: int) -> np.ndarray:
     n = len(key) - width + 1
     m, span = key, 1
@@ -97,7 +119,7 @@ class Shard:
         self.rank = np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64)
         self.ends = np.cumsum([len(x) for x in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
         self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if texts else np.zeros(0, np.int64)
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.data, self.length = np.frombuffer(b"".join(texts), np.uint8), length
         self._runs(length)
 
     def _runs(self, length: int) -> None:
@@ -149,9 +171,25 @@ class Shard:
         order = np.lexsort((self.start, self.g2, self.g1, self.key))
         k, a, b = self.key[order], self.g1[order], self.g2[order]
         out = np.zeros(len(order), bool)
-        out[order[1:]] = (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        like = np.flatnonzero((k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
+        one, two, size = order[like], order[like + 1], self.count + self.length - 1
+        out[two[same_bytes(self.data, self.start[one], self.start[two], size[one], size[two])]] = True
         return out
 
+    def windows(self, runs: np.ndarray):
+        """Starts of the windows of some runs with two hashes of their bytes, sorted by these, and which of them are the
+        first of their like."""
+        at = _ranges(self.start[runs], self.count[runs])
+        h = np.empty((2, len(at)), np.uint64)
+        powers = [_power_tables(base, self.length)[0][: self.length] for base in (_B1, _B2)]
+        for a in range(0, len(at), 8192):
+            m = self.data[at[a : a + 8192, None] + np.arange(self.length)].astype(np.uint64) + _U(1)
+            for i, p in enumerate(powers):
+                h[i, a : a + 8192] = _mix((m * p).sum(1, dtype=np.uint64))
+        order = np.lexsort((at, h[1], h[0]))
+        at, h = at[order], h[:, order]
+        return at, h, np.concatenate([[True], (h[0, 1:] != h[0, :-1]) | (h[1, 1:] != h[1, :-1])]) if len(at) else np.zeros(0, bool)
+
 
 def _cuts(sorted_keys: np.ndarray, parts: int) -> np.ndarray:
     """Where the merging tasks' ranges begin in a sorted list of keys, by binary search."""
@@ -165,6 +203,8 @@ def _by_part(cuts: np.ndarray):
 
 
 KEYS = "part int, shard int, keys binary"
+AGAIN = "part int, shard int, keys binary, hot binary"
+_AGAIN_FIELDS = [("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())]
 
 
 def _send_keys(parts: int, length: int):
@@ -183,43 +223,64 @@ def _table(rows, fields) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], schema=pa.schema(fields))
 
 
-def _repeated_keys(key, t):
-    lists = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-    k, n = np.unique(np.concatenate(lists), return_counts=True)
-    again = k[n > 1]
-    rows = []
-    for shard, own in zip(t.column("shard").to_pylist(), lists):
-        at = np.minimum(np.searchsorted(again, own), max(0, len(again) - 1))
-        hit = np.unique(own[again[at] == own]) if len(again) else own[:0]
-        if len(hit):
-            rows.append((key[0].as_py(), shard, hit.tobytes()))
-    return _table(rows, [("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary())])
+def _repeated_keys(most: int):
+    def run(key, t):
+        """For each shard those of its keys that occur again, hot ones apart."""
+        lists = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+        k, n = np.unique(np.concatenate(lists), return_counts=True)
+        own = [np.unique(x) for x in lists]
+        named, shards = np.unique(np.concatenate(own), return_counts=True)
+        hot = named[shards > most]
+        again = np.setdiff1d(k[n > 1], hot, assume_unique=True)
+        rows = []
+        for shard, x in zip(t.column("shard").to_pylist(), own):
+            some, warm = np.intersect1d(x, again, assume_unique=True), np.intersect1d(x, hot, assume_unique=True)
+            if len(some) or len(warm):
+                rows.append((key[0].as_py(), shard, some.tobytes(), warm.tobytes()))
+        return _table(rows, _AGAIN_FIELDS)
+
+    return run
 
 
-RUNS = "part int, shard int, runs binary, bytes binary"
+RUNS = "part int, shard int, runs binary, bytes binary, windows binary"
+_RUN_FIELDS = [("part", pa.int32()), ("shard", pa.int32()), ("runs", pa.binary()), ("bytes", pa.binary()), ("windows", pa.binary())]
 _RUN = np.dtype([("key", "<u8"), ("g1", "<u8"), ("g2", "<u8"), ("rank", "<i8"), ("row", "<i4"), ("offset", "<i8"), ("count", "<i8")])
+_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("rank", "<i8"), ("row", "<i4"), ("offset", "<i8")])
+
+
+def _numbers_in(column) -> np.ndarray:
+    return np.sort(np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), np.uint64))
+
+
+def _among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
 def _send_runs(parts: int, length: int):
     def run(key, docs, keys):
-        fields = [("part", pa.int32()), ("shard", pa.int32()), ("runs", pa.binary()), ("bytes", pa.binary())]
         if not keys.num_rows or not docs.num_rows:
-            return _table([], fields)
-        s = Shard(docs, length)
-        again = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in keys.column("keys").to_pylist()]))
-        at = np.minimum(np.searchsorted(again, s.key), len(again) - 1)
-        some = np.flatnonzero((again[at] == s.key) & ~s.later_copies())
+            return _table([], _RUN_FIELDS)
+        s, shard = Shard(docs, length), key[-1].as_py()
+        fresh = ~s.later_copies()
+        some = np.flatnonzero(_among(_numbers_in(keys.column("keys")), s.key) & fresh)
         some = some[np.argsort(s.key[some], kind="stable")]
         out = np.zeros(len(some), _RUN)
         for name, values in (("key", s.key), ("g1", s.g1), ("g2", s.g2), ("row", s.row), ("offset", s.offset), ("count", s.count)):
             out[name] = values[some]
         out["rank"] = s.rank[s.row[some]]
         size = s.count[some] + length - 1
-        skip = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        data = s.data[np.repeat(s.start[some], size) + skip]
+        data = s.data[_ranges(s.start[some], size)]
         ends = np.concatenate([[0], np.cumsum(size)])
-        rows = [(p, key[-1].as_py(), out[a:b].tobytes(), data[ends[a] : ends[b]].tobytes()) for p, a, b in _by_part(_cuts(out["key"], parts))]
-        return _table(rows, fields)
+        rows = [(p, shard, out[a:b].tobytes(), data[ends[a] : ends[b]].tobytes(), None) for p, a, b in _by_part(_cuts(out["key"], parts))]
+        at, h, first = s.windows(np.flatnonzero(_among(_numbers_in(keys.column("hot")), s.key) & fresh))
+        at, h = at[first], h[:, first]
+        wide = np.zeros(len(at), _WINDOW)
+        row = np.searchsorted(s.ends, at, "right")
+        wide["h1"], wide["h2"], wide["rank"], wide["row"], wide["offset"] = h[0], h[1], s.rank[row], row, at - s.begins[row]
+        rows += [(p, shard, None, None, wide[a:b].tobytes()) for p, a, b in _by_part(_cuts(wide["h1"], parts))]
+        return _table(rows, _RUN_FIELDS)
 
     return run
 
@@ -302,7 +363,9 @@ def repeats_of(runs: np.ndarray, data: np.ndarray, shard: np.ndarray, length: in
     begin = np.cumsum(size) - size
     order = np.lexsort((runs["offset"], runs["row"], runs["rank"], runs["g2"], runs["g1"], runs["key"]))
     k, a, b = runs["key"][order], runs["g1"][order], runs["g2"][order]
-    copy = np.concatenate([[False], (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+    copy = np.zeros(len(order), bool)
+    like = np.flatnonzero((k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
+    copy[like + 1] = same_bytes(data, begin[order[like]], begin[order[like + 1]], size[order[like]], size[order[like + 1]])
     found = [np.stack([order[copy], np.zeros(copy.sum(), np.int64), runs["count"][order[copy]]], 1)]
     kept = order[~copy]
     keys = runs["key"][kept]
@@ -314,8 +377,8 @@ def repeats_of(runs: np.ndarray, data: np.ndarray, shard: np.ndarray, length: in
         sizes = size[some]
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        skip = np.arange(int(ends[-1])) - np.repeat(starts, sizes)
-        text = data[np.repeat(begin[some], sizes) + skip]
+        skip = _ranges(np.zeros(len(sizes), np.int64), sizes)
+        text = data[_ranges(begin[some], sizes)]
         sa = suffix_order(text)
         lcp = common_prefixes(text, sa, starts, sizes, length)
         window = skip < np.repeat(runs["count"][some], sizes)  # where a whole window begins
@@ -333,18 +396,32 @@ def repeats_of(runs: np.ndarray, data: np.ndarray, shard: np.ndarray, length: in
     return np.concatenate(found)
 
 
+def _later_windows(t):
+    """(shard, row, offset) of the windows that also start earlier, of those that came one by one."""
+    lists = [(shard, np.frombuffer(x, _WINDOW)) for shard, x in zip(t.column("shard").to_pylist(), t.column("windows").to_pylist()) if x]
+    w = np.concatenate([np.zeros(0, _WINDOW), *[x for _, x in lists]])
+    shard = np.repeat(np.array([i for i, _ in lists], np.int64), [len(x) for _, x in lists])
+    order = np.lexsort((w["offset"], w["row"], w["rank"], w["h2"], w["h1"]))
+    w, shard = w[order], shard[order]
+    later = np.flatnonzero((w["h1"][1:] == w["h1"][:-1]) & (w["h2"][1:] == w["h2"][:-1])) + 1
+    out = np.zeros(len(later), _REPEAT)
+    out["row"], out["offset"], out["count"] = w["row"][later], w["offset"][later], 1
+    return shard[later], out
+
+
 def _merge(length: int):
     def run(key, t):
-        blobs = [np.frombuffer(x, _RUN) for x in t.column("runs").to_pylist()]
-        runs = np.concatenate(blobs)
-        shard = np.repeat(t.column("shard").to_numpy(), [len(x) for x in blobs])
-        data = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8)
+        lists = [(shard, np.frombuffer(x, _RUN)) for shard, x in zip(t.column("shard").to_pylist(), t.column("runs").to_pylist()) if x]
+        runs = np.concatenate([np.zeros(0, _RUN), *[x for _, x in lists]])
+        shard = np.repeat(np.array([i for i, _ in lists], np.int64), [len(x) for _, x in lists])
+        data = np.frombuffer(b"".join(x or b"" for x in t.column("bytes").to_pylist()), np.uint8)
         found = repeats_of(runs, data, shard, length)
         out = np.zeros(len(found), _REPEAT)
         out["row"] = runs["row"][found[:, 0]]
         out["offset"] = runs["offset"][found[:, 0]] + found[:, 1]
         out["count"] = found[:, 2]
-        to = shard[found[:, 0]]
+        to, more = _later_windows(t)
+        to, out = np.concatenate([shard[found[:, 0]], to]), np.concatenate([out, more])
         by = np.argsort(to, kind="stable")
         out, to = out[by], to[by]
         rows = []
@@ -370,8 +447,11 @@ def _remove(length: int, emit_text: bool):
         late = s.later_copies()
         np.add.at(delta, s.start[late], 1)
         np.add.at(delta, s.start[late] + s.count[late] + length - 1, -1)
+        at, _, first = s.windows(np.flatnonzero(_among(_numbers_in(repeats.column("hot")), s.key) & ~late))
+        np.add.at(delta, at[~first], 1)
+        np.add.at(delta, at[~first] + length, -1)
         for x in repeats.column("repeats").to_pylist():
-            r = np.frombuffer(x, _REPEAT)
+            r = np.frombuffer(x or b"", _REPEAT)
             at = s.begins[r["row"]] + r["offset"]
             np.add.at(delta, at, 1)
             np.add.at(delta, at + r["count"] + length - 1, -1)
@@ -394,16 +474,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     Null texts count as empty, null ids come last. Rows that repeat a doc_id are documents of their own, in the order of
     their texts. Empty input gives an empty result; columns other than doc_id and text are ignored.
     """
+    by_shard, again, runs = runs_of(docs, length, shard_bytes)
+    repeats = runs.groupBy("part").applyInArrow(_merge(length), REPEATS)
+    told = repeats.unionByName(again.select("part", "shard", "hot").where("length(hot) > 0"), allowMissingColumns=True)
+    return by_shard.cogroup(told.groupBy("shard")).applyInArrow(_remove(length, emit_text), RESULT + (", kept binary" if emit_text else ""))
+
+
+def runs_of(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES):
+    """The documents by shard, which keys of a shard occur again, and what the shards send to the merging tasks."""
     d = docs.select(F.col("doc_id").cast("bigint"), "text")
     total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     by_shard = d.groupBy("shard")
     keys = by_shard.applyInArrow(_send_keys(n, length), KEYS)
-    again = keys.groupBy("part").applyInArrow(_repeated_keys, KEYS)
-    runs = by_shard.cogroup(again.groupBy("shard")).applyInArrow(_send_runs(n, length), RUNS)
-    repeats = runs.groupBy("part").applyInArrow(_merge(length), REPEATS)
-    return by_shard.cogroup(repeats.groupBy("shard")).applyInArrow(_remove(length, emit_text), RESULT + (", kept binary" if emit_text else ""))
+    again = keys.groupBy("part").applyInArrow(_repeated_keys(HOT_SHARDS), AGAIN)
+    return by_shard, again, by_shard.cogroup(again.groupBy("shard")).applyInArrow(_send_runs(n, length), RUNS)
 
 
 def op8_substring_suffix_array(spark, sf_dir: str) -> DataFrame:
