@@ -29,8 +29,8 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MOST_KEPT = 3_000_000
-SLICE = 3 << 20
+MOST_KEPT = 2_000_000
+SLICE = 1 << 20
 
 
 def _fields(data: bytes):
