@@ -141,3 +141,29 @@ def test_long_text_is_fast():
     random.seed(0)
     text = "".join(random.choice("fuckab ") for _ in range(200_000))
     assert len(redact_once(text, Rules((("fuckfuckfuck", "l", GapLimits(1, 2, 2), True),))).filtered) == len(text)
+
+
+def test_large_lexicons_find_the_same(monkeypatch):
+    import random
+    import time
+
+    from wardline.functions import matching as m
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdeé") for _ in range(n))
+    for fuzzy in (True, False):
+        words = tuple((word(rng.choice([1, 2, 3, 5])), f"l{i % 2}", m.GapLimits(1, i % 3, 2), i % 4 == 0) for i in range(90))
+        rules, few = m.Rules(words, ("ab",), fuzzy), m.Rules(words, ("ab",), fuzzy)
+        texts = ["", "a", "é"] + [word(rng.choice([3, 20, 80])) for _ in range(150)]
+        large = [(m.redact(t, rules).__dict__, m.contains_any(t, rules)) for t in texts]
+        assert m.lexicon_of(rules).large
+        monkeypatch.setattr(m, "FEW", 10**9)
+        assert large == [(m.redact(t, few).__dict__, m.contains_any(t, few)) for t in texts]
+        monkeypatch.undo()
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    words = tuple(("".join(rng.choice(letters) for _ in range(8)), "l", m.GapLimits(1, 2, 2), True) for _ in range(10_000))
+    rules, text = m.Rules(words), " ".join("".join(rng.choice(letters[:16]) for _ in range(6)) for _ in range(350))
+    m.redact_once(text, rules)
+    began = time.process_time()
+    m.redact_once(text, rules)
+    assert time.process_time() - began < 3

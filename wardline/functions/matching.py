@@ -1,8 +1,9 @@
 """The central operator: words found exactly, with gaps, through repeated characters and reversed; masked to a fixpoint.
 
-Pure Python on text units. A gap match from s is the earliest embedding of the word that starts there; it holds if no class
+Python on text units. A gap match from s is the earliest embedding of the word that starts there; it holds if no class
 of gap characters exceeds its limit and all of them together do not exceed the largest limit. A start costs one `find` for
-each character of the word; classes are counted only in windows that hold it.
+each character of the word; classes are counted only in windows that hold it. Of a large lexicon only words are tried all of
+whose neighbouring characters stand near enough to each other somewhere in the text, which one pass over the text tells.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
+
 from .charmap import CHINESE, ENGLISH, CharMap
 from .markup import parse, visible
 from .units import from_units, to_units
@@ -258,34 +261,87 @@ def contains_word(text: str | None, word: str | None, limits: GapLimits = GapLim
     return bool(needle) and any(not t.covered(p[0], p[-1] + 1) for p in spans(t, needle, limits, fuzzy))
 
 
+FEW = 64
+_PAIRS = 1 << 20
+
+
+class Lexicon:
+    """The spellings of some rules, normalised, in the order in which they are tried."""
+
+    def __init__(self, rules: Rules, whole: bool):
+        self.rules, self.entries = rules, []
+        for word, level, limits, both in rules.words:
+            for spelling in [word, reverse_word(word)] if both and len(to_units(word)) >= 2 else [word]:
+                needle = normalize_whole(spelling) if whole else normalize_word(spelling, rules.charmap)
+                if not needle:
+                    break
+                self.entries.append((spelling, level, limits, needle, frozenset(needle)))
+        self.large = len(self.entries) > FEW
+        if self.large:
+            self.reach = 1 + max((e[2].most for e in self.entries), default=0) * rules.fuzzy
+            longest = max(len(e[3]) for e in self.entries)
+            codes = np.full((len(self.entries), longest), -1, np.int64)
+            for i, e in enumerate(self.entries):
+                codes[i, : len(e[3])] = [ord(c) for c in e[3]]
+            ahead = np.concatenate([codes[:, 1:], np.full((len(codes), 1), -1)], 1)
+            # A pair of neighbours is a place in a table; words of one character are a pair with themselves.
+            self.pairs = np.where(ahead >= 0, self._place(codes, ahead), _PAIRS)
+            alone = codes[:, min(1, longest - 1)] < 0 if longest > 1 else np.ones(len(codes), bool)
+            self.pairs[alone, 0] = self._place(codes[alone, 0], codes[alone, 0])
+
+    @staticmethod
+    def _place(a, b):
+        return (a * 8191 + b) & (_PAIRS - 1)
+
+    def _near(self, text: str) -> np.ndarray:
+        """Which entries have all their pairs of neighbours in the text, near enough for the largest limit."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        seen = np.zeros(_PAIRS + 1, bool)
+        seen[_PAIRS] = True
+        seen[self._place(codes, codes)] = True
+        for d in range(1, min(self.reach, len(codes) - 1) + 1):
+            seen[self._place(codes[:-d], codes[d:])] = True
+        return seen[self.pairs].all(1)
+
+    def possible(self, t: Text):
+        """Entries that may be in a text; all that are, are among them."""
+        if not self.large:
+            have = set(t.text)
+            return [e for e in self.entries if e[4] <= have]
+        near = self._near(t.text)
+        if self.rules.fuzzy and t.compressed() is not t:
+            near |= self._near(t.compressed().text)
+        return [self.entries[i] for i in np.flatnonzero(near)]
+
+
+_lexicons: dict = {}
+
+
+def lexicon_of(rules: Rules, whole: bool = False) -> Lexicon:
+    """Built once for some rules; the few last ones are kept."""
+    known = _lexicons.get((id(rules), whole))
+    if known is None or known.rules is not rules:
+        if len(_lexicons) > 32:
+            _lexicons.clear()
+        known = _lexicons[id(rules), whole] = Lexicon(rules, whole)
+    return known
+
+
 def contains_any(text: str | None, rules: Rules) -> bool:
     """Any word of the rules, as it is or reversed; the text is normalised once."""
     if not text:
         return False
     t = Text(normalize_whole(text), rules.allow, rules.charmap)
-    have = set(t.text)
-    for word, _, limits, both in rules.words:
-        for spelling in [word, reverse_word(word)] if both and len(to_units(word)) >= 2 else [word]:
-            needle = normalize_whole(spelling)
-            if needle and set(needle) <= have and any(not t.covered(p[0], p[-1] + 1) for p in spans(t, needle, limits, rules.fuzzy)):
-                return True
-    return False
+    possible = lexicon_of(rules, True).possible(t)
+    return any(not t.covered(p[0], p[-1] + 1) for _, _, limits, needle, _ in possible for p in spans(t, needle, limits, rules.fuzzy))
 
 
 def candidates(t: Text, rules: Rules) -> list[Match]:
-    have, out = set(t.text), []
-    for word, level, limits, both in rules.words:
-        if not word:
-            continue
-        for spelling in [word, reverse_word(word)] if both and len(to_units(word)) >= 2 else [word]:
-            needle = normalize_word(spelling, rules.charmap)
-            if not needle:
-                break
-            if not set(needle) <= have:
-                continue
-            for p in spans(t, needle, limits, rules.fuzzy):
-                if not t.covered(p[0], p[-1] + 1):
-                    out.append(Match(p[0], p[-1] + 1, p, spelling, level))
+    out = []
+    for spelling, level, limits, needle, _ in lexicon_of(rules).possible(t):
+        for p in spans(t, needle, limits, rules.fuzzy):
+            if not t.covered(p[0], p[-1] + 1):
+                out.append(Match(p[0], p[-1] + 1, p, spelling, level))
     return out
 
 

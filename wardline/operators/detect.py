@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import columns as C
+from ..functions.charmap import CharMap
 from ..functions.columns import embedding_pattern
-from ..functions.matching import Rules, contains_any, normalize_word, redact, redact_once, redact_word
+from ..functions.matching import GapLimits, Rules, contains_any, normalize_word, redact, redact_once, redact_word
 from ..functions.units import from_units, to_units
 
 DETECTION = "filtered string, detected array<struct<word:string,level:string>>"
@@ -113,14 +114,15 @@ def detections_long(redacted: DataFrame, key: str) -> DataFrame:
 
 
 def redact_one_word(messages: DataFrame, word: str, text: str = "text", **options) -> DataFrame:
-    """Adds filtered: every match of one word masked."""
+    """Adds filtered: every match of one word masked. options: those of redact_word."""
+    rules = Rules(((word, "", options.get("limits", GapLimits()), False),), (), options.get("fuzzy", True), options.get("charmap", CharMap()))
 
     @F.pandas_udf("string")
     def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([redact_word(t, word, **options) for t in texts])
 
-    return messages.withColumn("filtered", kernel(F.col(text)))
+    return messages.withColumn("filtered", F.coalesce(kernel(F.when(may_match(text, rules), F.col(text))), F.col(text)))
 
 
 def words_in(messages: DataFrame, config: EngineConfig, key: str, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from .detect import DETECTION, detection, redact_messages
+from .detect import DETECTION, detection, may_match, redact_messages
 
 
 def combine(parts) -> Column:
@@ -54,7 +54,10 @@ def redact_signs(signs: DataFrame, config: EngineConfig, parts: str = "parts") -
         for rows in batches:
             out = []
             for lines in rows:
-                lines = [x or "" for x in lines] if lines is not None else []
+                if lines is None:
+                    out.append((None, None, None))
+                    continue
+                lines = [x or "" for x in lines]
                 each = [redact(x, rules) for x in lines]
                 new = [d.filtered for d in each]
                 found = list(dict.fromkeys(w for d, x in zip(each, lines) if d.filtered != x for w in d.found))
@@ -67,9 +70,13 @@ def redact_signs(signs: DataFrame, config: EngineConfig, parts: str = "parts") -
                 out.append((new, "\n".join(new), [{"word": w, "level": x} for w, x in found]))
             yield pd.DataFrame(out, columns=["lines", "filtered", "detected"])
 
-    d = signs.withColumn("_d", kernel.asNondeterministic()(F.col(parts)))
-    changed = F.col("_d.lines") != F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")))
-    return d.withColumn("lines", F.col("_d.lines")).withColumn("detected", F.col("_d.detected")).withColumn("changed", changed).drop("_d")
+    # What a line holds its combination with the others holds too, so that says which signs the kernel need not see.
+    plain = F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")))
+    d = signs.withColumn("_plain", plain).withColumn("_whole", combine("_plain"))
+    d = d.withColumn("_d", kernel.asNondeterministic()(F.when(may_match("_whole", rules), F.col("_plain"))))
+    none = F.array().cast("array<struct<word:string,level:string>>")
+    d = d.withColumn("lines", F.coalesce("_d.lines", "_plain")).withColumn("detected", F.coalesce("_d.detected", none))
+    return d.withColumn("changed", F.col("lines") != F.col("_plain")).drop("_d", "_plain", "_whole")
 
 
 def split_text(text: str, parts: list[str]) -> list[str]:
