@@ -256,6 +256,17 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.abs(together - alone).max() < 1e-9 and together[2] == together[6]
 
 
+def test_slices_change_no_score(monkeypatch):
+    import pyarrow as pa
+
+    model = quality.QualityModel(np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32), 0.1)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "bb", "ccc", "dddd"]) for _ in range(rng.choice([3, 40, 400]))) + rng.choice(["", "  ", "\n"]) for _ in range(60)]
+    whole = model.score(*quality._bytes_of(pa.array(texts)))
+    monkeypatch.setattr(quality, "SLICE", 50)
+    assert np.abs(model.score(*quality._bytes_of(pa.array(texts))) - whole).max() < 1e-9
+
+
 def test_quality_odd_tables(spark):
     d = table(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

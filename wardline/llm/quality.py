@@ -109,7 +109,7 @@ def features(data: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.nda
 
 
 def _slices(data: np.ndarray, begin: int, end: int):
-    """Pieces of [begin, end) of at most SLICE bytes, cut at white space; a longer word is cut as it comes."""
+    """Pieces of [begin, end) of at most SLICE bytes, cut at white space; only a word that is longer is cut as it comes."""
     while end - begin > SLICE:
         gaps = np.flatnonzero(_SPACE[data[begin + 1 : begin + SLICE]])
         cut = begin + 1 + int(gaps[-1]) if len(gaps) else begin + SLICE
@@ -118,6 +118,16 @@ def _slices(data: np.ndarray, begin: int, end: int):
     yield begin, end
 
 
+def _outer_words(data: np.ndarray) -> tuple[bytes, bytes]:
+    """The first and the last word of some bytes; empty if there is none."""
+    word = np.flatnonzero(~_SPACE[data])
+    if not len(word):
+        return b"", b""
+    gaps = np.flatnonzero(np.diff(word) > 1)
+    first_end, last_start = (word[gaps[0]], word[gaps[-1] + 1]) if len(gaps) else (word[-1], word[0])
+    return data[word[0] : first_end + 1].tobytes(), data[last_start : word[-1] + 1].tobytes()
+
+
 @dataclass
 class QualityModel:
     """weight: what a bucket adds to the log odds of label 1, before the mean; bias: the rest.
@@ -139,10 +149,17 @@ class QualityModel:
             while j < n and offsets[j + 1] - offsets[i] <= SLICE:
                 j += 1
             if j == i + 1:
+                before = b""
                 for b, e in _slices(data, int(offsets[i]), int(offsets[j])):
                     h, _ = features(data[b:e])
                     total[i] += self.weight[h].sum(dtype=np.float64)
                     count[i] += len(h)
+                    if offsets[j] - offsets[i] > SLICE:  # a word may follow itself across a cut
+                        first, last = _outer_words(data[b:e])
+                        if first and first == before:
+                            total[i] += float(self.weight[REPEATED])
+                            count[i] += 1
+                        before = last or before
             else:
                 # Texts are set apart by a space, so that words of two texts never meet.
                 sizes = np.diff(offsets[i : j + 1])
