@@ -33,11 +33,11 @@ SMALL_BYTES = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over the cores where a table is so small that its files hold fewer than SMALL_BYTES for each core:
-    its few row groups would keep the others idle. Larger tables stay as they are scanned."""
+    """Rows dealt evenly over the cores where a table is in fewer files than there are cores and holds fewer than
+    SMALL_BYTES for each: its few row groups would keep the others idle. Larger tables stay as they are scanned."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_BYTES * cores else df
+    return df.repartition(cores) if size < SMALL_BYTES * cores and len(df.inputFiles()) < cores else df
 
 
 def _patterns(rules: Rules) -> list[str]:
