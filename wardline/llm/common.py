@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.detect import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, even: bool = False) -> DataFrame:
+    """even: a table of a few small files is dealt over all cores, for what is done to its rows one by one."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if even else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

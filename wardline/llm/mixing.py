@@ -122,7 +122,7 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, cap: int = 3,
 
 def op7_mix_sainte_lague(spark, sf_dir: str) -> DataFrame:
     """All of `documents` mixed: weights 1, 2, 3 repeating over the sources, nothing beyond three times its size. Shard 0: not taken."""
-    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.coalesce("shard", F.lit(0)).alias("shard"))
+    return mix_documents(table(spark, sf_dir, "documents", even=True)).select("doc_id", "size", "source_size", "target", "taken", F.coalesce("shard", F.lit(0)).alias("shard"))
 
 
 #: The same by brute force: every quotient of every source is ranked.

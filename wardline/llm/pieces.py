@@ -443,4 +443,4 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op1_pieces_suffix_array(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(table(spark, sf_dir, "documents", even=True))

@@ -412,5 +412,5 @@ def mask_documents(docs: DataFrame, model: SkipChainModel) -> DataFrame:
 
 
 def op3_pii_skip_chain(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", even=True)
     return find_personal_data(docs, train_model(docs))

@@ -273,6 +273,6 @@ def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 def op5_quality_subword(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", even=True).select("doc_id", "text")
     model = train_model(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
