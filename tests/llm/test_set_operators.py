@@ -88,6 +88,41 @@ def test_groups_of_a_part_of_a_quota_are_not_cut(spark, n, size):
     assert max(counts.values()) - min(counts.values()) <= 1 and not any(r.cut_links for r in got)
 
 
+def fewest_cut_links(sizes, rooms):
+    """Over all ways to put groups into rooms, splitting them as one likes, the fewest links between rooms (in both directions)."""
+    best = [10**9]
+
+    def place(i, rooms, cost):
+        if cost >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = cost
+            return
+        n = sizes[i]
+
+        def share(j, left, taken):
+            if j == len(rooms):
+                if not left:
+                    place(i + 1, [r - t for r, t in zip(rooms, taken)], cost + n * n - sum(t * t for t in taken))
+                return
+            for t in range(min(left, rooms[j]), -1, -1):
+                share(j + 1, left - t, [*taken, t])
+
+        share(0, n, [])
+
+    place(0, rooms, 0)
+    return best[0]
+
+
+@pytest.mark.parametrize("sizes,single", [([4, 3, 3, 2], 3), ([6, 3], 3), ([3, 3, 3, 3], 0)])
+def test_cut_links_are_the_fewest(spark, sizes, single):
+    texts = [f"group {i}" for i, n in enumerate(sizes) for _ in range(n)] + [f"single {i}" for i in range(single)]
+    got = sharding.shard_documents(table(spark, list(enumerate(texts))), n_shards=3).collect()
+    check_cut_links(got)
+    rooms = list(Counter(r.shard for r in got).values())
+    assert sum(r.cut_links for r in got) == fewest_cut_links(sizes, rooms) and max(rooms) - min(rooms) <= 1
+
+
 def test_groups_up_to_a_quota_are_not_cut(spark):
     # quota 100: groups of 100, 99, 60 and 30 fit whole; one of 250 needs three shards and no more
     sizes = [100, 99, 99, 60, 60, 30, 30, 30, 250]

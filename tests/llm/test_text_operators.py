@@ -256,6 +256,48 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.abs(together - alone).max() < 1e-9 and together[2] == together[6]
 
 
+def brute_buckets(text):
+    """Buckets of words, n-grams and repeated words, character by character in plain integers."""
+    data = text.encode()
+    white = b"\t\n\v\f\r "
+    padded = bytes([32]) + bytes(32 if c in white else c for c in data) + bytes([32])
+    out = []
+    for k in quality.ORDERS:
+        for i in range(len(padded) - k + 1):
+            gram = padded[i : i + k]
+            if 32 in gram[1:-1]:
+                continue
+            h = sum(c * int(quality._MULT[j]) for j, c in enumerate(gram)) % 2**32
+            h = (h ^ h >> 15) * int(quality._FINAL) % 2**32
+            out.append((h + k) * int(quality._FINAL) % 2**32 >> 32 - quality.BITS)
+    before = None
+    for w in padded.split(b" "):
+        if not w:
+            continue
+        h = sum((c + 1) * pow(int(quality._BASE), j, 2**64) for j, c in enumerate(w)) % 2**64
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        out.append(h >> 64 - quality.BITS)
+        if h == before:
+            out.append(quality.REPEATED)
+        before = h
+    return out
+
+
+def test_scores_equal_brute_force():
+    import math
+
+    import pyarrow as pa
+
+    model = quality.QualityModel(np.random.default_rng(2).normal(size=1 << quality.BITS).astype(np.float32), -0.3)
+    rng = random.Random(8)
+    texts = [None, "", " ", "a", "a a", "ab  ab\tab", "é\u00a0é ü"] + ["".join(rng.choice("abé  \n.") for _ in range(rng.choice([5, 30, 200]))) for _ in range(40)]
+    got = model.score(*quality._bytes_of(pa.array(texts)))
+    for t, x in zip(texts, got):
+        found = brute_buckets(t or "")
+        z = (sum(float(model.weight[b]) for b in found) / len(found) if found else 0.0) + model.bias
+        assert abs(x - 1 / (1 + math.exp(-z))) < 1e-9, t
+
+
 def test_slices_change_no_score(monkeypatch):
     import pyarrow as pa
 
