@@ -212,6 +212,24 @@ def test_sql_functions(spark):
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("****", True, "fuck", "**", None, "a")
 
 
+def test_sql_functions_equal_the_kernel(spark):
+    from wardline.functions.charmap import CharMap
+    from wardline.functions.matching import contains_any
+
+    config = from_dict({"banned-words": {"l": ["o'n", "fuck", "a\\b", "x]y", "é"]}, "fuzzy-match": {"enable": True, "levels": {"l": {"max-char-gap": 1}}}}, charmap=CharMap({"'": "’", "\\": "/", "û": "u"}))
+    rng = random.Random(4)
+    texts = [None, "", "o'n", "o’n", "a\\b", "x]y", "É", "fûck", "ffuucckk", "<b>fuck</b>", "&cf"] + ["".join(rng.choice("fuckoon'x]y\\ab û") for _ in range(20)) for _ in range(150)]
+    sqlfunctions.register(spark, config)
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rules = config.rules()
+    for r in d.selectExpr("id", "redact(text) a", "contains_banned(text) b", "detect(text) c").collect():
+        t = texts[r.id]
+        k = redact(t, rules)
+        assert r.a == k.filtered and r.b == (None if t is None else contains_any(t, rules)), t
+        assert r.c is None if t is None else (r.c.filtered, [(x.word, x.level) for x in r.c.detected]) == (k.filtered, k.found if t else []), t
+    sqlfunctions.register(spark, CHAT)
+
+
 def test_sources(spark, tmp_path):
     nested = {"warnings": {"a": "x"}}
     assert messages.read_catalog(spark, {}, "de", nested).first().key == "warnings.a"

@@ -52,6 +52,10 @@ def _patterns(rules: Rules) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def _unusual() -> str:
+    return f"[^{PLAIN}]|[<&§]"
+
+
 def may_match(text, rules: Rules) -> Column:
     """False only where the kernel would find nothing: one scan for all words, and one more with repeats taken together."""
     t = F.col(text) if isinstance(text, str) else text
@@ -65,7 +69,26 @@ def may_match(text, rules: Rules) -> Column:
     hit = low.rlike(every)
     if rules.fuzzy:
         hit = hit | C.compress(low).rlike(every)
-    return t.rlike(f"[^{PLAIN}]|[<&§]") | hit
+    return t.rlike(_unusual()) | hit
+
+
+def may_match_sql(text: str, rules: Rules) -> str:
+    """may_match as SQL text, for functions that are defined in SQL."""
+    raw = lambda p: "r'" + p.replace("'", r"\x27") + "'"
+    plain = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    patterns = _patterns(rules)
+    if not patterns:
+        return "false"
+    if len(patterns) > MOST_PATTERNS:
+        return f"{text} IS NOT NULL"
+    low, keys = f"lower({text})", "".join(rules.charmap.replace)
+    if keys:
+        low = f"translate({low}, {plain(keys)}, {plain(''.join(rules.charmap.replace[k] for k in keys))})"
+    every = raw("(?s)" + "|".join(patterns))
+    tests = [f"{text} RLIKE {raw(_unusual())}", f"{low} RLIKE {every}"]
+    if rules.fuzzy:
+        tests.append(f"regexp_replace({low}, r'(?s)(.)\\1+', '$1') RLIKE {every}")
+    return "(" + " OR ".join(tests) + ")"
 
 
 def detection(text, rules: Rules, recheck: bool = True) -> Column:
