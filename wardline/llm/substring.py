@@ -17,7 +17,9 @@ follow each other with the same key place form a run, and only runs whose key oc
 
 Scale: the texts are shuffled once, and that exchange serves steps 1, 2 and 4. A passage in many documents is a key that a
 shard names twice at most and a run that it sends once, so a merging task gets a few rows of it for each shard; beyond
-HOT_SHARDS shards they are 40 bytes for each window and shard, dealt by the windows' hashes (two of 64 bits decide there).
+HOT_SHARDS shards they are 36 bytes for each window and shard, dealt by the windows' hashes (two of 64 bits decide there).
+A window costs about fifteen times its share of a run, so HOT_SHARDS is no lower than a task's memory asks for: what a few
+hundred shards send of one key is tens of megabytes at most.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 2 << 20
 PART = 1 << 18
-HOT_SHARDS = 32
+HOT_SHARDS = 512
 
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _U = np.uint64
