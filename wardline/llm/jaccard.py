@@ -228,10 +228,11 @@ def _small_candidate_edges(least: np.ndarray):
 SMALL = 8
 
 
-def candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges (a, b) that connect all classes (id, sig) whose pairs survive the pruning."""
+def candidate_edges(ids: DataFrame, signatures: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Edges (a, b) that connect all classes (ids: id; signatures: id, sig, of these and others) whose pairs survive the pruning."""
     least = least_matches(threshold, tolerance)
-    bands = cut(reps.select("id", "sig").mapInArrow(_bands, "id bigint, band bigint"))
+    # Bands are made twice from the same exchange rather than kept: that costs less than writing them.
+    bands = signatures.join(ids, "id", "left_semi").mapInArrow(_bands, "id bigint, band bigint")
     count = {"c": F.count("*"), "x": F.bit_xor(F.xxhash64("id")), "s": F.min("id")}, {"m": F.sum("c"), "x": F.bit_xor("x"), "s": F.min("s")}
     sized = attach_by_key(bands, ["band"], ["id"], *count, salts=8).where("m > 1")
     # Bands whose buckets have the same members: one of them is enough.
@@ -245,7 +246,7 @@ def candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> Data
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     placed = picked.withColumn("own", own).withColumn("other", other)
     placed = placed.select("band", "id", "m", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    full = placed.join(reps.select("id", "sig"), "id")
+    full = placed.join(signatures, "id")
     small = full.where(F.col("m") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("id", "sig")).alias("members"))
     few = small.select("members").mapInArrow(_small_candidate_edges(least), "a bigint, b bigint")
     many = full.where(F.col("m") > SMALL).groupBy("band", "x", "y").applyInArrow(_candidate_edges(least), "a bigint, b bigint")
@@ -349,10 +350,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     some = sketches.where("n > 0")
     same = {"node": F.min("row"), "first": F.min("doc_id"), "c": F.count("*")}, {"node": F.min("node"), "class_id": F.min("first"), "class_docs": F.sum("c")}
     members = cut(attach_by_key(some.select("row", "doc_id", "th", "n", "k1", "k2"), ["n", "k1", "k2"], ["row"], *same).select("row", "doc_id", "th", "n", "node", "class_id", "class_docs"))
-    firsts = members.where("row = node").select(F.col("row").alias("id"), "class_id", F.col("class_docs").alias("weight"))
-    reps = cut(some.select(F.col("row").alias("id"), "doc_id", "th", "n", "sig").join(firsts, "id"))
-    near = components(candidate_edges(reps, threshold, tolerance))
-    nodes = cut(near.join(reps.select("id", "doc_id", "th", "n", "weight"), F.col("node") == F.col("id")).select("id", "root", "doc_id", "th", "n", "weight"))
+    reps = members.where("row = node").select(F.col("row").alias("id"), "doc_id", "th", "n", "class_id", F.col("class_docs").alias("weight"))
+    near = components(candidate_edges(reps.select("id"), some.select(F.col("row").alias("id"), "sig"), threshold, tolerance))
+    nodes = cut(near.join(reps, F.col("node") == F.col("id")).select("id", "root", "doc_id", "th", "n", "weight"))
     sized = attach_by_key(nodes, ["root"], ["id"], {"m": F.count("*"), "w": F.sum("n")}, {"m": F.sum("m"), "w": F.sum("w")})
     blocks = F.greatest(F.ceil(F.col("m") / VERIFY_ROWS), F.ceil(F.col("w") * 8 / VERIFY_BYTES)).cast("int")
     todo = sized.select("id", "root", "weight", blocks.alias("nb"), F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     found = cut(sets.groupBy("root", "x", "y").applyInArrow(_verify(threshold), "id bigint, links bigint, docs bigint, root bigint"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     # A group is named by its smallest doc_id.
-    named = cut(groups.join(firsts.select(F.col("id").alias("node"), "class_id"), "node"))
+    named = cut(groups.join(reps.select(F.col("id").alias("node"), "class_id"), "node"))
     named = attach_by_key(named, ["root"], ["node"], {"name": F.min("class_id")}, {"name": F.min("name")})
     counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     linked = counts.join(named.select(F.col("node").alias("id"), "name", F.col("root").alias("group")), "id")
@@ -391,7 +391,7 @@ RESULT = ("doc_id", "n_shingles", "class_id", "class_docs", "class_links", "n_li
 
 
 def op9_jaccard_bayes(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select(*RESULT)
+    return near_duplicates(table(spark, sf_dir, "documents", even=True)).select(*RESULT)
 
 
 #: The same over all pairs of documents with a common shingle and the closure of their links.
